@@ -35,12 +35,12 @@ def from_flags(lines: DataFrame, column: str = "value") -> DataFrame:
     """Parse ``protocol:src_ip:dst_port`` strings; not three parts or a non-numeric port gives ``malformed = true``."""
     parts = F.split(F.col(column), ":", 3)
     port = F.get(parts, F.lit(2))
-    malformed = (F.size(parts) != 3) | ((port != "") & ~port.rlike(r"^\d{1,5}$"))
+    malformed = (F.size(parts) != 3) | ((port != "") & ~port.rlike(r"^\d{1,18}$"))
     value = {
         "src_ip": F.get(parts, F.lit(1)),
         "dst_ip": F.lit(None).cast("string"),
         "src_port": F.lit(None).cast("bigint"),
-        "dst_port": F.when(port.rlike(r"^\d{1,5}$"), port).try_cast("bigint"),
+        "dst_port": F.when(port.rlike(r"^\d{1,18}$"), port).try_cast("bigint"),
         "protocol": F.get(parts, F.lit(0)),
     }
     return lines.select(

@@ -56,10 +56,11 @@ def unique_ips(matched: DataFrame, exact: bool = False) -> DataFrame:
     """Unique source and destination addresses per rule, from sketches or exactly."""
     counts = address_counts(matched, {"filter_id": F.col("filter_id")}).filter("ip IS NOT NULL")
     # ``counts`` holds each address once per rule and side, so the exact answer is a plain count
-    return counts.groupBy("filter_id").agg(*_uniques(exact))
+    return counts.groupBy("filter_id").agg(*unique_columns(exact))
 
 
-def _uniques(exact: bool) -> list[Column]:
+def unique_columns(exact: bool) -> list[Column]:
+    """Aggregates over address counts: how many source and destination addresses."""
     out = []
     for side in ("src", "dst"):
         ip = F.when((F.col("side") == side), F.col("ip"))
@@ -72,7 +73,7 @@ def interval_uniques(matched: DataFrame, interval_ns: int, exact: bool = False)
     """Unique addresses per rule and interval, each interval starting from nothing."""
     keys = {"filter_id": F.col("filter_id"), "interval": interval_of(F.col("ts_ns"), interval_ns)}
     counts = address_counts(matched, keys).filter("ip IS NOT NULL")
-    return counts.groupBy("filter_id", "interval").agg(*_uniques(exact))
+    return counts.groupBy("filter_id", "interval").agg(*unique_columns(exact))
 
 
 def src_histogram(matched: DataFrame, interval_ns: int) -> DataFrame:

@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.functions.clock import ns_from_timestamp
+from framelake.functions.clock import interval_of, ns_from_timestamp
+from framelake.functions.net import ip_text
 from framelake.functions.packed import be_hex
 from framelake.operators import rules as R
+from framelake.operators.blocked import running
+from framelake.operators.monitor import with_throughput
 
 DAY_NS = 86_400_000_000_000
 HUNDRED_DAYS_NS = 100 * DAY_NS
@@ -63,8 +66,8 @@ def lineitem_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def frames(source: DataFrame) -> DataFrame:
-    """Ethernet frames, one per event; ``event_id`` rides along as the capture id."""
+def frames(source: DataFrame, capture: str = "event_id") -> DataFrame:
+    """Ethernet frames, one per event; the ``capture`` column rides along as the capture id."""
     eid, kind, user = F.col("event_id"), F.col("event_type"), F.col("user_id")
 
     def every(n: int):
@@ -93,7 +96,7 @@ def frames(source: DataFrame) -> DataFrame:
         F.lit("00000000"),
         F.repeat(F.lit("00"), (wire - 42).cast("int")),
     )
-    built = source.select(eid, eid.cast("string").alias("capture_id"), ns_from_timestamp(F.col("ts")).alias("ts_ns"),
+    built = source.select(eid, F.col(capture).cast("string").alias("capture_id"), ns_from_timestamp(F.col("ts")).alias("ts_ns"),
                           F.unhex(digits).alias("_full"))
     full = F.col("_full")
     kept = F.when(every(83), F.substring(full, 1, 20)).when(every(73), F.substring(full, 1, 36)).otherwise(full)
@@ -103,9 +106,95 @@ def frames(source: DataFrame) -> DataFrame:
                             "payload")
 
 
-def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(events(spark, sf_dir))
+def event_frames(spark: SparkSession, sf_dir: str, capture: str = "event_id") -> DataFrame:
+    return frames(events(spark, sf_dir), capture)
 
 
 def lineitem_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(lineitem_events(spark, sf_dir))
+
+
+def user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that grow with the data: one per customer (host route) and per supplier (network and port)."""
+    people = spark.read.schema("c_custkey long").parquet(f"{sf_dir}/customer.parquet")
+    shops = spark.read.schema("s_suppkey long").parquet(f"{sf_dir}/supplier.parquet")
+    key = F.col("c_custkey")
+    hosts = people.select(
+        key.alias("rule_id"),
+        ip_text(F.lit(167772160) + F.pmod(key, F.lit(4)) * 65536 + key).alias("src_ip"),
+        F.lit("").alias("dst_ip"), F.lit(0).cast("bigint").alias("src_port"), F.lit(0).cast("bigint").alias("dst_port"),
+        F.when(F.pmod(key, F.lit(2)) == 0, "tcp").otherwise("").alias("protocol"))
+    key = F.col("s_suppkey")
+    nets = shops.select(
+        (F.lit(100_000_000) + key).alias("rule_id"), F.lit("").alias("src_ip"),
+        F.concat(ip_text(F.lit(3232235520) + key * 4), F.lit("/30")).alias("dst_ip"),
+        F.lit(0).cast("bigint").alias("src_port"),
+        F.when(F.pmod(key, F.lit(3)) == 0, 443).otherwise(0).cast("bigint").alias("dst_port"),
+        F.lit("").alias("protocol"))
+    return R.accepted(R.compile_rules(hosts.unionByName(nets)))
+
+
+def spec_texts(source: DataFrame) -> DataFrame:
+    """Rule specs in text form from events: valid and invalid addresses, ports and protocols of every kind."""
+    eid, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    si = F.lit(167772160) + F.pmod(user, F.lit(4)) * 65536 + user
+    di = F.lit(3232235520) + F.pmod(eid, F.lit(1000))
+    return source.select(
+        "event_id",
+        F.when(kind == "click", F.concat(ip_text(si), F.lit("/"), F.pmod(eid, F.lit(33)).cast("string")))
+        .when(kind == "view", ip_text(si)).when(kind == "signup", "2001:db8::/32").when(kind == "error", "10.0.0.256")
+        .otherwise("").alias("src_ip"),
+        F.concat(ip_text(di), F.lit("/"), F.pmod(user, F.lit(40)).cast("string")).alias("dst_ip"),
+        F.when(kind == "purchase", 0).otherwise(F.lit(1024) + F.pmod(eid, F.lit(500))).alias("src_port"),
+        (user * 997).alias("dst_port"),
+        F.when(kind == "click", "tcp").when(kind == "purchase", "udp").when(kind == "signup", "icmp")
+        .when(kind == "error", "TCP").otherwise("").alias("protocol"),
+    )
+
+
+def rule_history(source: DataFrame) -> DataFrame:
+    """Rule events: every purchase registers the next rule, every error removes the rule numbered like its user."""
+    added = R.assign_ids(source.filter("event_type = 'purchase'").select("event_id", "ts"), "event_id")
+    adds = added.select(F.lit("add").alias("op"), "rule_id", ns_from_timestamp(F.col("ts")).alias("at_ns"),
+                        F.col("event_id").alias("seq"))
+    removes = source.filter("event_type = 'error'").select(
+        F.lit("remove").alias("op"), F.col("user_id").alias("rule_id"), ns_from_timestamp(F.col("ts")).alias("at_ns"),
+        F.col("event_id").alias("seq"))
+    return adds.unionByName(removes)
+
+
+def counter_samples(source: DataFrame) -> DataFrame:
+    """Cumulative capture counters per host (= user), one sample per event time."""
+    amount = F.lit(64) + F.floor("value").cast("bigint")
+    steps = source.groupBy(F.col("user_id").cast("string").alias("host"), "ts").agg(
+        F.sum(amount).alias("rx_packets"),
+        F.sum((F.col("event_type") == "error").cast("bigint")).alias("rx_drops"),
+        F.sum(amount - F.lit(1)).alias("tx_packets"),
+        F.sum((F.col("event_type") == "signup").cast("bigint")).alias("freeze_q_count"))
+    counters = ("rx_packets", "rx_drops", "tx_packets", "freeze_q_count")
+    timed = steps.withColumn("_us", F.unix_micros("ts"))
+    return running(timed, ["host"], "_us", 86_400_000_000, sums={c: c for c in counters}).select("host", "ts", *counters)
+
+
+def ramp_steps(source: DataFrame) -> DataFrame:
+    """Load ramps: one run per user, one step per day, drops accumulating; the last step is unbounded."""
+    day = interval_of(ns_from_timestamp(F.col("ts")), DAY_NS)
+    daily = source.groupBy(F.col("user_id").alias("run"), day.alias("step")).agg(
+        F.sum(F.lit(64) + F.floor("value").cast("bigint")).alias("actual_pps"),
+        F.sum((F.col("event_type") == "error").cast("bigint")).alias("lost"))
+    total = running(daily, ["run"], "step", 1024, sums={"lost": "rx_drops"})
+    first_day = 19723
+    offered = F.when(F.col("step") >= first_day + 29, 0).otherwise((F.col("step") - first_day + 1) * 100_000)
+    return total.select("run", "step", offered.alias("offered_pps"), "actual_pps", "rx_drops",
+                        F.lit(0).cast("bigint").alias("baseline_drops"))
+
+
+def bench_runs(source: DataFrame) -> DataFrame:
+    """Benchmark runs: one per event, the branch being the event type."""
+    return with_throughput(source.select(
+        F.col("event_type").alias("branch"), F.col("event_id").cast("string").alias("commit"),
+        F.lit("load test").alias("description"),
+        F.date_add(F.lit("1970-01-01").cast("date"),
+                   interval_of(ns_from_timestamp(F.col("ts")), DAY_NS).cast("int")).alias("date"),
+        F.floor(F.col("value") * 1000).cast("bigint").alias("pps"), F.lit(100.0).alias("cpu_percent"),
+        (F.col("value") > 60).cast("bigint").alias("rx_drops_at_pps"), F.lit("").alias("notes")), 1000)
