@@ -18,6 +18,11 @@ def be_uint(data: Column) -> Column:
     return F.conv(F.hex(data), 16, 10).try_cast("bigint")
 
 
+def be_int64(data: Column) -> Column:
+    """Eight network-order bytes as a bigint; the top bit becomes the sign."""
+    return F.conv(F.hex(data), 16, -10).try_cast("bigint")
+
+
 def le_uint(data: Column, width: int) -> Column:
     """Little-endian unsigned integer of ``width`` bytes (at most seven)."""
     digits = F.hex(data)

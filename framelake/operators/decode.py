@@ -11,11 +11,11 @@ query does not use is pruned from its plan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions.clock import timestamp_from_ns
-from framelake.functions.packed import be_uint, cut
+from framelake.functions.packed import be_int64, be_uint, cut
 
 # Ethernet and IPv4 layout.
 ETHERTYPE_IPV4 = b"\x08\x00"
@@ -52,9 +52,11 @@ def decode(frames: DataFrame) -> DataFrame:
         "stat_ok": ipv4 & version.between(F.lit(b"\x40"), F.lit(b"\x4f")),
     })
 
+    ported = F.col("match_ok") & proto.isin(*[F.lit(p) for p in PORTED])
+
     def port(skip: int):
-        found = F.when(proto.isin(*[F.lit(p) for p in PORTED]), cut(data, header + F.lit(ETH_LEN + skip), 2))
-        return F.when(F.col("match_ok"), found.otherwise(F.lit(b"\x00\x00")))
+        found = F.when(ported, cut(data, header + F.lit(ETH_LEN + skip), 2))
+        return F.when(F.col("match_ok"), F.coalesce(found, F.lit(b"\x00\x00")))
 
     raw = judged.withColumns({
         "ts": timestamp_from_ns(F.col("ts_ns")),
@@ -64,17 +66,29 @@ def decode(frames: DataFrame) -> DataFrame:
         "dst_raw": F.when(ipv4, cut(data, OFF_DST, 4)),
         "sport_raw": port(0),
         "dport_raw": port(2),
-        "ethertype": F.when(size >= ETH_LEN, be_uint(F.col("_type")).cast("int")),
-        "ip_version": F.when(ipv4, F.shiftright(be_uint(version), 4).cast("int")),
+        # one conversion for both addresses and one for both ports; common values need none
+        "_addresses": F.when(ipv4, be_int64(cut(data, OFF_SRC, 8))),
+        "_ports": F.when(ported, be_uint(cut(data, header + F.lit(ETH_LEN), 4))),
+        "ethertype": F.when(size >= ETH_LEN, _known(F.col("_type"), {ETHERTYPE_IPV4: 0x0800})),
+        "ip_version": F.when(ipv4, F.shiftright(_known(version, {b"\x45": 0x45}), 4)),
         "ihl": F.when(ipv4, header),
+        "ip_proto": F.when(ipv4, _known(proto, {b"\x06": 6, b"\x11": 17, b"\x01": 1})),
     })
-    return raw.drop("_size", "_type", "_version", "_proto", "_ipv4", "_header").withColumns({
-        "ip_proto": be_uint(F.col("proto_raw")).cast("int"),
-        "src_ip": be_uint(F.col("src_raw")),
-        "dst_ip": be_uint(F.col("dst_raw")),
-        "src_port": be_uint(F.col("sport_raw")).cast("int"),
-        "dst_port": be_uint(F.col("dport_raw")).cast("int"),
-    })
+    both, ports, none = F.col("_addresses"), F.col("_ports"), F.when(F.col("match_ok"), F.lit(0))
+    return raw.withColumns({
+        "src_ip": F.shiftrightunsigned(both, 32),
+        "dst_ip": both.bitwiseAND(F.lit(0xFFFFFFFF)),
+        "src_port": F.coalesce(F.shiftright(ports, 16).cast("int"), none),
+        "dst_port": F.coalesce(ports.bitwiseAND(F.lit(0xFFFF)).cast("int"), none),
+    }).drop("_size", "_type", "_version", "_proto", "_ipv4", "_header", "_addresses", "_ports")
+
+
+def _known(data: Column, values: dict[bytes, int]) -> Column:
+    """Small unsigned integer; the listed byte strings are translated without a numeric conversion."""
+    out = be_uint(data).cast("int")
+    for text, number in values.items():
+        out = F.when(data == F.lit(text), F.lit(number)).otherwise(out)
+    return out
 
 
 def packets(frames: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ Two plans with equal results:
   frame's fields by a shape turns range conditions into equality (tuple space search: Srinivasan, Suri and Varghese,
   SIGCOMM 1999).  A frame is tried against each shape, of which there are few, however many rules there are.  Rules are
   broadcast while their counted number is under a bound; above it the heavy shapes go through a shuffled join whose
-  frame side is salted, so that one hot key spreads over many tasks.
+  frame side is salted, so that one hot key spreads over many tasks.  Only columns selected afterwards are shuffled.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from framelake.operators.decode import RAW_KEYS
 
-INLINE_RULES = 48
+# Literal predicates stay fast while the generated method is small enough to be compiled to machine code; predicates on
+# raw bytes are longer than on integers.
+INLINE_RULES = {"raw": 16, "int": 40}
 BROADCAST_RULES = 400_000
 SALTS = 32
 
@@ -79,11 +81,15 @@ def predicate(rule, fields: Fields) -> Column | None:
 
 def usable(rules: DataFrame) -> DataFrame:
     """Rules that can match something, with only the columns matching reads."""
-    keep = [c for c in (*_COMPILED, *_VALID) if c in rules.columns]
+    keep = [c for c in (*_COMPILED, *_VALID, "_r") if c in rules.columns]
     return rules.filter("NOT never_matches").select(*keep)
 
 
-def few_rules(rules: DataFrame, bound: int = INLINE_RULES) -> list | None:
+def inline_bound(packets: DataFrame) -> int:
+    return INLINE_RULES["raw" if Fields.of(packets).raw else "int"]
+
+
+def few_rules(rules: DataFrame, bound: int) -> list | None:
     """The rules as driver rows when there are at most ``bound``, otherwise None; never reads more than that."""
     rows = usable(rules).limit(bound + 1).collect()
     return rows if len(rows) <= bound else None
@@ -98,7 +104,7 @@ def match(packets: DataFrame, rules: DataFrame, plan: str = "auto", **options) -
     if plan not in ("auto", "inline", "keyed"):
         raise ValueError(f"unknown plan {plan!r}")
     if plan != "keyed":
-        rows = few_rules(rules, bound=INLINE_RULES if plan == "auto" else 1000)
+        rows = few_rules(rules, bound=inline_bound(packets) if plan == "auto" else 1000)
         if rows is not None:
             return match_inline(packets, rows)
         if plan == "inline":
@@ -159,7 +165,7 @@ def rules_of_mask(rows: list, mask: Column) -> Column:
 
 # ---- keyed plan -----------------------------------------------------------------------------------------------------
 
-_KEY = ("_shape", "_kp", "_ks", "_kd", "_ksp", "_kdp")
+_KEY = ("_kp", "_ks", "_kd", "_ksp", "_kdp")
 _ABSENT = -1
 
 
@@ -174,15 +180,14 @@ def shape_code() -> Column:
     )
 
 
-def _rule_keys(rules: DataFrame) -> DataFrame:
+def rule_keys(rules: DataFrame) -> DataFrame:
     """Rules with their shape and the exact field values a frame masked by that shape must have."""
     def or_absent(column: Column) -> Column:
         return F.coalesce(column.cast("bigint"), F.lit(_ABSENT).cast("bigint"))
 
     constrained = {side: F.coalesce(F.col(f"{side}_len"), F.lit(0)) > 0 for side in ("src", "dst")}
     return usable(rules).select(
-        F.col("rule_id").alias("filter_id"),
-        *[F.col(c) for c in _VALID if c in rules.columns],
+        *[F.col(c) for c in ("_r",) if c in rules.columns],
         shape_code().alias("_shape"),
         or_absent(F.col("ip_proto")).alias("_kp"),
         or_absent(F.when(constrained["src"], F.col("src_lo"))).alias("_ks"),
@@ -192,34 +197,42 @@ def _rule_keys(rules: DataFrame) -> DataFrame:
     )
 
 
-def _frame_keys(shape: int) -> Column:
-    """A frame's fields masked by one shape."""
-    absent = F.lit(_ABSENT).cast("bigint")
+def network(address: Column, length: int) -> Column:
+    """An address with the host bits under a prefix length cleared."""
+    return address - F.pmod(address, F.lit(1 << (32 - length)).cast("bigint"))
 
-    def network(column: str, length: int) -> Column:
-        if length == 0:
-            return absent
-        return F.col(column) - F.pmod(F.col(column), F.lit(1 << (32 - length)).cast("bigint"))
 
+def frame_keys(shape: int) -> dict[str, Column]:
+    """A frame's fields masked by one shape; fields the shape leaves open are missing."""
     src_len, dst_len = (shape >> 1) & 63, (shape >> 7) & 63
-    return F.struct(
-        F.lit(shape).alias("_shape"),
-        (F.col("ip_proto").cast("bigint") if shape & 1 else absent).alias("_kp"),
-        network("src_ip", src_len).alias("_ks"),
-        network("dst_ip", dst_len).alias("_kd"),
-        (F.col("src_port").cast("bigint") if shape >> 13 & 1 else absent).alias("_ksp"),
-        (F.col("dst_port").cast("bigint") if shape >> 14 & 1 else absent).alias("_kdp"),
-    )
+    out = {}
+    if shape & 1:
+        out["_kp"] = F.col("ip_proto").cast("bigint")
+    if src_len:
+        out["_ks"] = network(F.col("src_ip"), src_len)
+    if dst_len:
+        out["_kd"] = network(F.col("dst_ip"), dst_len)
+    if shape >> 13 & 1:
+        out["_ksp"] = F.col("src_port").cast("bigint")
+    if shape >> 14 & 1:
+        out["_kdp"] = F.col("dst_port").cast("bigint")
+    return out
+
+
+def _frame_hash(shape: int) -> Column:
+    """One bigint for (shape, masked fields), to look up in a hash table with a primitive key."""
+    keys, absent = frame_keys(shape), F.lit(_ABSENT).cast("bigint")
+    return F.xxhash64(F.lit(shape), *[keys.get(k, absent) for k in _KEY])
 
 
 def shapes_of(rules: DataFrame) -> dict[int, int]:
     """Rule count per shape.  One small aggregate; the number of rows is bounded by the number of possible shapes."""
-    return {r["_shape"]: r["count"] for r in _rule_keys(rules).groupBy("_shape").count().collect()}
+    return {r["_shape"]: r["count"] for r in rule_keys(rules).groupBy("_shape").count().collect()}
 
 
 def match_keyed(packets: DataFrame, rules: DataFrame, broadcast_rules: int = BROADCAST_RULES,
                 salts: int = SALTS) -> DataFrame:
-    """Equality join on (shape, masked fields); see the module text."""
+    """Equality join on a hash of (shape, masked fields), checked exactly afterwards; see the module text."""
     counts = shapes_of(rules)
     light, room = [], broadcast_rules
     for shape, count in sorted(counts.items(), key=lambda item: item[1]):
@@ -227,31 +240,57 @@ def match_keyed(packets: DataFrame, rules: DataFrame, broadcast_rules: int = BRO
             light.append(shape)
             room -= count
     heavy = [s for s in counts if s not in set(light)]
-    keyed = _rule_keys(rules)
-    valid = packets.filter("match_ok")
     names = packets.columns
+    table = _rule_table(rules)
+    # raw frames are not filtered here: the filter would be pushed below and decode every frame twice
+    valid = packets if Fields.of(packets).raw else packets.filter("match_ok")
+
+    def tried(frames: DataFrame, shapes: list[int]) -> DataFrame:
+        hashes = [F.when(F.col("match_ok"), _frame_hash(s)) for s in shapes]
+        return frames.select("*", F.posexplode(F.array(*hashes)).alias("_pos", "_key"))
 
-    def tried(shapes: list[int]) -> DataFrame:
-        return valid.select("*", F.inline(F.array(*[_frame_keys(s) for s in shapes])))
+    def of_shapes(shapes: list[int]) -> DataFrame:
+        place = F.array_position(F.array(*[F.lit(s) for s in shapes]), F.col("_shape")) - 1
+        return table.withColumn("_place", place).filter("_place >= 0").drop("_shape")
 
-    def during(joined: DataFrame) -> DataFrame:
-        if "from_ns" in rules.columns:
-            joined = joined.filter("(from_ns IS NULL OR ts_ns >= from_ns) AND (to_ns IS NULL OR ts_ns < to_ns)")
-        return joined.select(*names, "filter_id")
+    def exact(joined: DataFrame) -> DataFrame:
+        """Hashes may collide: the rule must be of the shape that was tried, and must match."""
+        same = (F.col("_pos") == F.col("_place")) & _satisfied("from_ns" in rules.columns)
+        return joined.filter(same).select(*names, F.col("_r.rule_id").alias("filter_id"))
 
     parts = []
     if light:
-        side = keyed.filter(F.col("_shape").isin(light)) if heavy else keyed
-        parts.append(during(tried(light).join(F.broadcast(side), list(_KEY))))
+        parts.append(exact(tried(valid, light).join(F.broadcast(of_shapes(light)), "_key")))
     if heavy:
         # copies of one frame share every field, so the salt comes from the row's position, not its content
-        frames = tried(heavy).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-        side = keyed.filter(F.col("_shape").isin(heavy)).withColumn(
-            "_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-        parts.append(during(frames.hint("shuffle_hash").join(side.hint("shuffle_hash"), [*_KEY, "_salt"])))
+        salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+        frames = tried(valid.withColumn("_salt", salt), heavy)
+        side = of_shapes(heavy).withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+        parts.append(exact(frames.join(side.hint("shuffle_hash"), ["_key", "_salt"])))
     if not parts:
         return packets.withColumn("filter_id", F.lit(None).cast("bigint")).filter(F.lit(False))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def _rule_table(rules: DataFrame) -> DataFrame:
+    """What a lookup returns: the rule as one struct ``_r``, under the hash of its shape and key."""
+    body = [c for c in (*_COMPILED, *_VALID) if c in rules.columns and c != "never_matches"]
+    keys = rule_keys(usable(rules).withColumn("_r", F.struct(*body)))
+    return keys.select(F.xxhash64("_shape", *_KEY).alias("_key"), "_shape", "_r")
+
+
+def _satisfied(timed: bool) -> Column:
+    """The rule ``_r`` matches the frame it was found for."""
+    out = F.lit(True)
+    for frame, low, high in (("ip_proto", "ip_proto", "ip_proto"), ("src_ip", "src_lo", "src_hi"),
+                             ("dst_ip", "dst_lo", "dst_hi"), ("src_port", "src_port", "src_port"),
+                             ("dst_port", "dst_port", "dst_port")):
+        first, last = F.col(f"_r.{low}"), F.col(f"_r.{high}")
+        out = out & (first.isNull() | F.col(frame).between(first, last))
+    if timed:
+        since, until = F.col("_r.from_ns"), F.col("_r.to_ns")
+        out = out & (since.isNull() | (F.col("ts_ns") >= since)) & (until.isNull() | (F.col("ts_ns") < until))
+    return out

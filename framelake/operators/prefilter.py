@@ -14,22 +14,21 @@ def _flagged(packets: DataFrame, rules: DataFrame, broadcast_rules: int) -> Data
     A left join keeps the frame side splittable by the adaptive skew handling where keys are too many to broadcast.
     """
     counts = m.shapes_of(rules)
-    keyed = m._rule_keys(rules)
+    keyed = m.rule_keys(rules)
     out, flags = packets, []
     for i, shape in enumerate(sorted(counts)):
-        if shape == 0:  # a rule without conditions
+        mine = m.frame_keys(shape)
+        if not mine:  # a rule without conditions
             flags.append(F.col("match_ok"))
             continue
-        names = [f"_q{i}_{j}" for j in range(len(m._KEY))]
         keys = keyed.filter(F.col("_shape") == shape).select(
-            *[F.col(k).alias(n) for k, n in zip(m._KEY, names)]).distinct().withColumn(f"_hit{i}", F.lit(True))
+            *[F.col(k).alias(f"_q{i}{k}") for k in mine], F.lit(True).alias(f"_hit{i}")).distinct()
         if counts[shape] <= broadcast_rules:
             keys = F.broadcast(keys)
-        mine = m._frame_keys(shape)
         on = F.lit(True)
-        for key, name in zip(m._KEY, names):
-            on = on & (mine[key] == F.col(name))
-        out = out.join(keys, on & F.col("match_ok"), "left").drop(*names)
+        for name, value in mine.items():
+            on = on & (value == F.col(f"_q{i}{name}"))
+        out = out.join(keys, on & F.col("match_ok"), "left").drop(*[f"_q{i}{k}" for k in mine])
         flags.append(F.coalesce(F.col(f"_hit{i}"), F.lit(False)))
     kept = F.lit(False)
     for flag in flags:
@@ -40,7 +39,7 @@ def _flagged(packets: DataFrame, rules: DataFrame, broadcast_rules: int) -> Data
 def _split(packets: DataFrame, rules: DataFrame, keep: bool, broadcast_rules: int) -> DataFrame:
     if rules.isEmpty():
         return packets if keep else packets.filter(F.lit(False))
-    rows = m.few_rules(rules)
+    rows = m.few_rules(rules, m.inline_bound(packets))
     if rows is not None:
         hit = F.coalesce(m.any_predicate(rows, m.Fields.of(packets)), F.lit(False))
         return packets.filter(hit if keep else ~hit)

@@ -18,7 +18,6 @@ from framelake.operators.match import mask_column, rules_of_mask, Fields
 
 # Fixed value: sketch precision, 2^14 registers.
 SKETCH_LG_K = 14
-MASK_RULES = 62
 
 
 def _addresses(df: DataFrame) -> tuple[Column, Column]:

@@ -38,9 +38,7 @@ def _round(df: DataFrame, *columns: str) -> DataFrame:
 # ---- sources and decoding -------------------------------------------------------------------------------------------
 
 def frame_scan(spark, d):
-    path = work_path(spark, "frames")
-    w.event_frames(spark, d).write.parquet(path)
-    timed = frame_source.with_time(frame_source.read_frames(spark, path))
+    timed = frame_source.with_time(w.event_frames(spark, d))
     return timed.select("capture_id", "ts_ns", F.unix_micros("ts").alias("ts_us"), "snap_len", "wire_len",
                         F.length("payload").cast("bigint").alias("payload_len"))
 

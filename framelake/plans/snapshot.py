@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators import stats
 from framelake.operators.blocked import fill_intervals, running
-from framelake.operators.match import few_rules, match
+from framelake.operators.match import few_rules, inline_bound, match
 from framelake.session import stage
 
 BLOCK = 4096
@@ -18,7 +18,7 @@ SNAPSHOT_COLUMNS = ("filter_id", "interval", "packets", "bytes", "unique_src_ips
 
 def intervals_of_packets(packets: DataFrame, rules: DataFrame, interval_ns: int, exact: bool = False) -> DataFrame:
     """Interval table straight from decoded frames: rule sets as bit masks when few, the match join otherwise."""
-    rows = few_rules(rules, bound=stats.MASK_RULES)
+    rows = few_rules(rules, inline_bound(packets))
     if rows and "from_ns" not in rules.columns:
         return stats.interval_stats(stats.counts_of_packets(packets, rows, interval_ns), exact)
     return intervals_of_matched(match(packets, rules), interval_ns, exact)

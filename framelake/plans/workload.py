@@ -6,6 +6,7 @@ can repeat without looking at bytes.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from framelake.functions.packed import be_hex
 from framelake.operators import rules as R
 from framelake.operators.blocked import running
 from framelake.operators.monitor import with_throughput
+from framelake.session import work_path
+from framelake.sources.frames import read_frames
 
 DAY_NS = 86_400_000_000_000
 HUNDRED_DAYS_NS = 100 * DAY_NS
@@ -106,12 +109,29 @@ def frames(source: DataFrame, capture: str = "event_id") -> DataFrame:
                             "payload")
 
 
+_stored: dict[tuple, str] = {}
+
+
+def _stored_frames(spark: SparkSession, sf_dir: str, name: str, build, capture: str) -> DataFrame:
+    """Frames as a written table, built once per application: queries then scan bytes, as they would in production."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, capture)
+    if key in _stored:
+        try:
+            return read_frames(spark, _stored[key])
+        except AnalysisException:  # the work folder was cleared
+            del _stored[key]
+    path = work_path(spark, f"frames-{name}")
+    frames(build(spark, sf_dir), capture).write.parquet(path)
+    _stored[key] = path
+    return read_frames(spark, path)
+
+
 def event_frames(spark: SparkSession, sf_dir: str, capture: str = "event_id") -> DataFrame:
-    return frames(events(spark, sf_dir), capture)
+    return _stored_frames(spark, sf_dir, "events", events, capture)
 
 
-def lineitem_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(lineitem_events(spark, sf_dir))
+def lineitem_frames(spark: SparkSession, sf_dir: str, capture: str = "event_id") -> DataFrame:
+    return _stored_frames(spark, sf_dir, "lineitem", lineitem_events, capture)
 
 
 def user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
