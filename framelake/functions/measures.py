@@ -6,10 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def entropy_bits(total: Column, sum_c_log_c: Column) -> Column:
-    """Shannon entropy in bits from a histogram's total and its sum of ``c * log2(c)``; 0 for an empty histogram."""
-    bits = F.log2(total.cast("double")) - sum_c_log_c / total
-    return F.when(total > 0, F.greatest(bits, F.lit(0.0))).otherwise(F.lit(0.0))
+def entropy_terms(count: Column) -> list[Column]:
+    """Aggregates over a histogram's counts that ``entropy_bits`` needs; all of them can be combined map-side."""
+    return [F.sum(count * F.log2(count)).alias("_clog"), F.max(count).alias("_top")]
+
+
+def entropy_bits(total: Column) -> Column:
+    """Shannon entropy in bits of a histogram with ``total`` observations and the columns of ``entropy_terms``.
+
+    ``log2(n) - sum(c * log2(c)) / n`` needs no second pass over the histogram; an empty one and one with a single
+    value give exactly 0.
+    """
+    bits = F.log2(total.cast("double")) - F.col("_clog") / total
+    return F.when(F.col("_top") < total, F.greatest(bits, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def mbps(pps: Column, frame_bytes: Column) -> Column:

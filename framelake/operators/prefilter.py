@@ -41,8 +41,8 @@ def _split(packets: DataFrame, rules: DataFrame, keep: bool, broadcast_rules: in
         return packets if keep else packets.filter(F.lit(False))
     rows = m.few_rules(rules, m.inline_bound(packets))
     if rows is not None:
-        hit = F.coalesce(m.any_predicate(rows, m.Fields.of(packets)), F.lit(False))
-        return packets.filter(hit if keep else ~hit)
+        hit = m.any_predicate(rows, m.Fields.of(packets))
+        return packets.filter(hit if keep else ~F.coalesce(hit, F.lit(False)))
     flagged = _flagged(packets, rules, broadcast_rules)
     return flagged.filter("_kept" if keep else "NOT _kept").drop("_kept")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.clock import interval_of
-from framelake.functions.measures import entropy_bits
+from framelake.functions.measures import entropy_bits, entropy_terms
 from framelake.functions.packed import be_uint
 from framelake.operators.match import mask_column, rules_of_mask, Fields
 
@@ -88,10 +88,9 @@ def src_histogram(matched: DataFrame, interval_ns: int) -> DataFrame:
 def src_entropy(matched: DataFrame, interval_ns: int) -> DataFrame:
     """Source-address entropy in bits and the frames it is based on, per rule and interval."""
     hist = src_histogram(matched, interval_ns).groupBy("filter_id", "interval").agg(
-        F.sum("c").alias("src_window_packets"), F.sum(F.col("c") * F.log2("c")).alias("_clog"))
-    return hist.select("filter_id", "interval",
-                       entropy_bits(F.col("src_window_packets"), F.col("_clog")).alias("src_entropy_bits"),
-                       "src_window_packets")
+        F.sum("c").alias("src_window_packets"), *entropy_terms(F.col("c")))
+    bits = entropy_bits(F.col("src_window_packets"))
+    return hist.select("filter_id", "interval", bits.alias("src_entropy_bits"), "src_window_packets")
 
 
 def top_peers(matched: DataFrame, interval_ns: int, n: int) -> DataFrame:
@@ -155,7 +154,7 @@ def interval_stats(counts: DataFrame, exact: bool = False) -> DataFrame:
         F.sum(F.when(src, c)).alias("packets"),
         F.sum(F.when(src, F.col("b"))).alias("bytes"),
         F.coalesce(F.sum(F.when(src & known, c)), F.lit(0)).alias("src_window_packets"),
-        F.coalesce(F.sum(F.when(src & known, c * F.log2(c))), F.lit(0.0)).alias("_clog"),
+        *entropy_terms(F.when(src & known, c)),
     ]
     if exact:
         first = Window.partitionBy("filter_id", "side", "ip").orderBy("interval")
@@ -166,5 +165,5 @@ def interval_stats(counts: DataFrame, exact: bool = False) -> DataFrame:
         measures += [F.hll_sketch_agg(F.when(F.col("side") == s, F.col("ip")), F.lit(SKETCH_LG_K)).alias(f"{s}_sketch")
                      for s in ("src", "dst")]
     grouped = counts.groupBy(*INTERVAL_KEYS).agg(*measures)
-    entropy = entropy_bits(F.col("src_window_packets"), F.col("_clog"))
-    return grouped.withColumn("src_entropy_bits", entropy).drop("_clog")
+    entropy = entropy_bits(F.col("src_window_packets"))
+    return grouped.withColumn("src_entropy_bits", entropy).drop("_clog", "_top")

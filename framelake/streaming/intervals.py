@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from framelake.functions.measures import entropy_bits
+from framelake.functions.measures import entropy_bits, entropy_terms
 from framelake.operators.stats import SKETCH_LG_K
 from framelake.plans.snapshot import snapshots
 
@@ -34,14 +34,14 @@ def interval_stream(matched: DataFrame, interval_seconds: int, late: str = "0 se
         F.sum(F.when(src, c)).alias("packets"),
         F.sum(F.when(src, F.col("b"))).alias("bytes"),
         F.coalesce(F.sum(F.when(src & known, c)), F.lit(0)).alias("src_window_packets"),
-        F.coalesce(F.sum(F.when(src & known, c * F.log2(c))), F.lit(0.0)).alias("_clog"),
+        *entropy_terms(F.when(src & known, c)),
         *[F.hll_sketch_agg(F.when(F.col("side") == s, F.col("ip")), F.lit(SKETCH_LG_K)).alias(f"{s}_sketch")
           for s in ("src", "dst")],
     )
     number = F.call_function("div", F.unix_seconds(F.col("window.start")), F.lit(interval_seconds))
     return per_rule.select(
         "filter_id", number.alias("interval"), "packets", "bytes", "src_window_packets", "src_sketch", "dst_sketch",
-        entropy_bits(F.col("src_window_packets"), F.col("_clog")).alias("src_entropy_bits"))
+        entropy_bits(F.col("src_window_packets")).alias("src_entropy_bits"))
 
 
 def interval_writer(intervals: DataFrame, table: str, checkpoint: str) -> DataStreamWriter:

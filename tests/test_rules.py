@@ -1,17 +1,9 @@
-import pytest
 from packet_bytes import ip
 
 from framelake.operators import rules as R
 from framelake.sources.rules import read_flag_rules, read_json_rules
 
 
-def compiled(spark, **spec):
-    row = [(1, spec.get("src_ip"), spec.get("dst_ip"), spec.get("src_port"), spec.get("dst_port"), spec.get("protocol"))]
-    df = spark.createDataFrame(
-        row, "rule_id long, src_ip string, dst_ip string, src_port long, dst_port long, protocol string")
-    return R.compile_rules(df).first()
-
-
 def ranges(spark, texts):
     df = spark.createDataFrame([(i, t, None, None, None, None) for i, t in enumerate(texts)],
                                "n long, src_ip string, dst_ip string, src_port long, dst_port long, protocol string")
@@ -43,23 +35,31 @@ def test_ipv6_is_valid_but_never_matches(spark):
         assert r.reason is None and r.never_matches and r.src_lo > r.src_hi, text
 
 
-@pytest.mark.parametrize("name,number", [("tcp", 6), ("udp", 17), ("icmp", 1), ("", None), (None, None)])
-def test_protocols(spark, name, number):
-    r = compiled(spark, protocol=name)
-    assert (r.ip_proto, r.reason) == (number, None)
+def specs(spark, *rows):
+    fields = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
+    data = [(i, *[row.get(f) for f in fields]) for i, row in enumerate(rows)]
+    df = spark.createDataFrame(
+        data, "n long, src_ip string, dst_ip string, src_port long, dst_port long, protocol string")
+    return R.compile_rules(df).orderBy("n").collect()
+
+
+def test_protocols(spark):
+    cases = [("tcp", 6), ("udp", 17), ("icmp", 1), ("", None), (None, None)]
+    got = specs(spark, *[{"protocol": name} for name, _ in cases])
+    assert [(r.ip_proto, r.reason) for r in got] == [(number, None) for _, number in cases]
 
 
-@pytest.mark.parametrize("spec,reason", [
-    ({"protocol": "sctp"}, "unknown protocol"), ({"protocol": "TCP"}, "unknown protocol"),
-    ({"dst_port": 65536}, "port out of range"), ({"src_port": -1}, "port out of range"),
-    ({"dst_ip": "x"}, "invalid dst_ip"), ({"src_ip": "x", "dst_ip": "y", "protocol": "z"}, "invalid src_ip"),
-])
-def test_rejections(spark, spec, reason):
-    assert compiled(spark, **spec).reason == reason
+def test_rejections(spark):
+    cases = [
+        ({"protocol": "sctp"}, "unknown protocol"), ({"protocol": "TCP"}, "unknown protocol"),
+        ({"dst_port": 65536}, "port out of range"), ({"src_port": -1}, "port out of range"),
+        ({"dst_ip": "x"}, "invalid dst_ip"), ({"src_ip": "x", "dst_ip": "y", "protocol": "z"}, "invalid src_ip"),
+    ]
+    assert [r.reason for r in specs(spark, *[c for c, _ in cases])] == [reason for _, reason in cases]
 
 
 def test_zero_and_empty_mean_any(spark):
-    r = compiled(spark, src_ip="", dst_ip="", src_port=0, dst_port=0, protocol="")
+    r, = specs(spark, {"src_ip": "", "dst_ip": "", "src_port": 0, "dst_port": 0, "protocol": ""})
     assert r.reason is None
     assert [r[c] for c in ("src_lo", "dst_lo", "src_port", "dst_port", "ip_proto")] == [None] * 5
 
