@@ -64,7 +64,7 @@ def main() -> None:
     intervals = stage(S.intervals_of_packets(table, rules, WIDTH), "bench-intervals")
     dumped = m.match(decode(frames), rules_n[10]).select("filter_id", "ts_ns", "payload", "n_bytes")
     dump_path = work_path(spark, "bench-dump")
-    dump.write_dump(dumped, dump_path)
+    dump.write_dump(dumped, dump_path, by_time=True)
 
     runs = {
         "decode_frames": lambda: consume(packets(frames)),
@@ -80,7 +80,7 @@ def main() -> None:
         "snapshot_exact": lambda: consume(S.snapshot(table, rules, WIDTH, exact=True)),
         "top_peers": lambda: consume(stats.top_peers(m.match(table, rules_n[10]), WIDTH, 10)),
         "flow_summary": lambda: consume(flows.flow_summary(table)),
-        "dump_write": lambda: dump.write_dump(dumped, work_path(spark, "bench-dump-out")),
+        "dump_write": lambda: dump.write_dump(dumped, work_path(spark, "bench-dump-out"), by_time=True),
         "dump_read": lambda: consume(dump.read_dump(spark, dump_path)),
     }
     seconds = {}

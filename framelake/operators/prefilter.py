@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.operators import match as m
@@ -36,13 +36,25 @@ def _flagged(packets: DataFrame, rules: DataFrame, broadcast_rules: int) -> Data
     return out.select(*packets.columns, kept.alias("_kept"))
 
 
+def _filter_after_decoding(packets: DataFrame, condition: Column) -> DataFrame:
+    """Filter where the columns are computed.
+
+    A plain filter would be pushed below the decoding projection, which then runs twice per frame; a predicate over
+    bytes is of no use to the reader anyway.
+    """
+    marked = packets.select("*", F.explode(F.array(F.when(condition, F.lit(True)))).alias("_kept"))
+    return marked.filter("_kept IS NOT NULL").drop("_kept")
+
+
 def _split(packets: DataFrame, rules: DataFrame, keep: bool, broadcast_rules: int) -> DataFrame:
     if rules.isEmpty():
         return packets if keep else packets.filter(F.lit(False))
     rows = m.few_rules(rules, m.inline_bound(packets))
     if rows is not None:
-        hit = m.any_predicate(rows, m.Fields.of(packets))
-        return packets.filter(hit if keep else ~F.coalesce(hit, F.lit(False)))
+        fields = m.Fields.of(packets)
+        hit = m.any_predicate(rows, fields)
+        hit = hit if keep else ~F.coalesce(hit, F.lit(False))
+        return _filter_after_decoding(packets, hit) if fields.raw else packets.filter(hit)
     flagged = _flagged(packets, rules, broadcast_rules)
     return flagged.filter("_kept" if keep else "NOT _kept").drop("_kept")
 

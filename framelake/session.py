@@ -18,6 +18,7 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "12
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "2048")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

@@ -48,11 +48,18 @@ def stream_dump(spark: SparkSession, path: str, mode: str = "FAILFAST", time_hin
     return listed.mapInArrow(body, records.DUMP_DDL)
 
 
-def write_dump(matched: DataFrame, path: str, roll_bytes: int = records.ROLL_BYTES, batch_id: int | None = None) -> None:
-    """Append rows with ``filter_id``, ``ts_ns`` and ``payload`` as dump files."""
+def write_dump(matched: DataFrame, path: str, roll_bytes: int = records.ROLL_BYTES, batch_id: int | None = None,
+               by_time: bool = False) -> None:
+    """Append rows with ``filter_id``, ``ts_ns`` and ``payload`` as dump files.
+
+    A task writes one file per 3.258-day epoch it meets.  Captures read in time order need nothing more; ``by_time``
+    range-partitions other input by time first, so that it does not end up in many small files.
+    """
     register(matched.sparkSession)
-    writer = matched.select("filter_id", "ts_ns", "payload").write.format("dump").mode("append")
-    writer = writer.option("rollBytes", str(roll_bytes))
+    rows = matched.select("filter_id", "ts_ns", "payload")
+    if by_time:
+        rows = rows.repartitionByRange("ts_ns")
+    writer = rows.write.format("dump").mode("append").option("rollBytes", str(roll_bytes))
     if batch_id is not None:
         writer = writer.option("batchId", str(batch_id))
     writer.save(path)
