@@ -11,7 +11,7 @@ from framelake.operators import blocked, flows, match as m, monitor, prefilter,
 from framelake.operators.decode import decodable, decode, packets
 from framelake.plans import snapshot as S
 from framelake.plans import workload as w
-from framelake.session import stage, work_path
+from framelake.session import stage, stream_session, work_path
 from framelake.sources import dump, frames as frame_source, outputs
 from framelake.streaming import intervals as SI, match as SM
 
@@ -295,7 +295,8 @@ def stream_match(spark, d):
 def _interval_table(spark, d) -> str:
     path, table = work_path(spark, "frames"), work_path(spark, "intervals")
     w.event_frames(spark, d).write.parquet(path)
-    matched = m.match(decode(frame_source.stream_frames(spark, path)), w.fixed_rules(spark))
+    live = stream_session(spark)
+    matched = m.match(decode(frame_source.stream_frames(live, path)), w.fixed_rules(live))
     closed = SI.interval_stream(matched, 86_400)
     SI.interval_writer(closed, table, work_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     return table

@@ -58,3 +58,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = work_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stream_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+    """A sibling session for stateful streams with its own number of state partitions.
+
+    That number is fixed when a query first starts and is not adapted later, so it should follow the cluster's cores
+    (the default here: two per core, at most what the session uses for batch), not the batch setting.
+    """
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chosen = partitions or min(current, 2 * spark.sparkContext.defaultParallelism)
+    sibling = spark.newSession()
+    sibling.conf.set("spark.sql.shuffle.partitions", str(chosen))
+    sibling.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    sibling.conf.set("spark.sql.ansi.enabled", spark.conf.get("spark.sql.ansi.enabled"))
+    return sibling
