@@ -155,6 +155,17 @@ def mask_column(rows: list, fields: Fields) -> Column:
     return F.when(F.col("match_ok"), total).otherwise(F.lit(0).cast("bigint"))
 
 
+def with_mask(packets: DataFrame, rows: list) -> DataFrame:
+    """Frames that match at least one of ``rows``, with the set of matching rules as ``_mask``."""
+    fields = Fields.of(packets)
+    if not fields.raw:
+        return packets.filter(any_predicate(rows, fields)).withColumn("_mask", mask_column(rows, fields))
+    masked = packets.withColumn("_bits", mask_column(rows, fields))
+    hit = F.when(F.col("_bits") != 0, F.col("_bits"))
+    # as in match_inline, a plain filter would be pushed below the decoding and repeat it
+    return masked.select("*", F.explode(F.array(hit)).alias("_mask")).filter("_mask IS NOT NULL").drop("_bits")
+
+
 def rules_of_mask(rows: list, mask: Column) -> Column:
     """Array of rule numbers, NULL where a bit is not set; explode and drop the NULLs."""
     return F.array(*[

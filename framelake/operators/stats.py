@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from framelake.functions.clock import interval_of
 from framelake.functions.measures import entropy_bits, entropy_terms
 from framelake.functions.packed import be_uint
-from framelake.operators.match import mask_column, rules_of_mask, Fields
+from framelake.operators.match import rules_of_mask, with_mask
 
 # Fixed value: sketch precision, 2^14 registers.
 SKETCH_LG_K = 14
@@ -133,8 +133,8 @@ def counts_of_packets(packets: DataFrame, rows: list, interval_ns: int) -> DataF
     A frame carries the set of rules it matches as one bit mask through the aggregation and is unfolded to one row per
     rule only afterwards, so matching several rules does not multiply what is aggregated and shuffled.
     """
-    keys = {"_mask": mask_column(rows, Fields.of(packets)), "interval": interval_of(F.col("ts_ns"), interval_ns)}
-    counts = address_counts(packets, keys)
+    keys = {"_mask": F.col("_mask"), "interval": interval_of(F.col("ts_ns"), interval_ns)}
+    counts = address_counts(with_mask(packets, rows), keys)
     unfolded = counts.select(F.explode(rules_of_mask(rows, F.col("_mask"))).alias("filter_id"), "interval", "side",
                              "ip", "c", "b").filter("filter_id IS NOT NULL")
     # frames with the same address but different rule sets meet again under one rule

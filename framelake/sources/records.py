@@ -215,6 +215,8 @@ def encode(filter_id: np.ndarray, ts_ns: np.ndarray, payload: pa.Array) -> np.nd
     lengths = np.diff(ends)
     if n and lengths.max() > MAX_PAYLOAD:
         raise ValueError(f"payload of {lengths.max()} bytes does not fit a record (at most {MAX_PAYLOAD})")
+    if n and (filter_id.min() < 0 or filter_id.max() >= 1 << 32):
+        raise ValueError("filter_id does not fit a record (32 bits, not negative)")
     head = np.zeros(n, dtype=HEADER)
     head["magic"], head["version"], head["filter_id"], head["length"] = MAGIC, VERSION, filter_id, lengths
     for i in range(6):

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from framelake.operators.decode import decode
 from framelake.operators.match import match
+from framelake.sources.dump import write_dump
 
 
 def match_writer(frames: DataFrame, load_rules: Callable[[], DataFrame], out: str, checkpoint: str,
@@ -26,3 +27,11 @@ def match_writer(frames: DataFrame, load_rules: Callable[[], DataFrame], out: st
         matched.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return frames.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
+
+
+def dump_writer(frames: DataFrame, load_rules: Callable[[], DataFrame], out: str, checkpoint: str) -> DataStreamWriter:
+    """Like ``match_writer``, but into dump files; a replayed batch is recognised and not written again."""
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        write_dump(match(decode(batch), load_rules()), out, batch_id=batch_id)
+
+    return frames.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)

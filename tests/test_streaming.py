@@ -6,6 +6,7 @@ from framelake.operators.decode import decode
 from framelake.operators.match import match
 from framelake.plans import snapshot as S
 from framelake.session import stage
+from framelake.sources.dump import read_dump
 from framelake.sources.frames import stream_frames
 from framelake.streaming import intervals as SI
 from framelake.streaming import match as SM
@@ -60,6 +61,22 @@ def test_replayed_batch_replaces_itself(spark, work):
     assert spark.read.parquet(out).count() == 2
 
 
+def test_frames_to_dump_files_and_back(spark, work):
+    source, out, checkpoint = work(), work(), work()
+    rules = rules_df(spark, [{"protocol": "tcp"}, {}])
+
+    def run():
+        drain(SM.dump_writer(stream_frames(spark, source, max_files=1), lambda: rules, out, checkpoint))
+        return sorted((r.filter_id, r.ts_ns, r.wire_len) for r in read_dump(spark, out).collect())
+
+    frames_df(spark, [frame(size=50), frame(proto=17, size=60)], ts=[10**18, 2 * 10**18]).write.parquet(source)
+    first = [(1, 10**18, 50), (2, 10**18, 50), (2, 2 * 10**18, 60)]
+    assert run() == first
+    assert run() == first
+    frames_df(spark, [frame(size=70)], ts=[5]).write.mode("append").parquet(source)
+    assert run() == sorted([*first, (1, 5, 70), (2, 5, 70)])
+
+
 def test_closed_intervals_equal_batch_and_late_frames_are_left_to_it(spark, work):
     source, table, checkpoint = work(), work(), work()
     rules = rules_df(spark, [{}, {"protocol": "udp"}])
