@@ -4,26 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framelake.functions.net import (
     PROTOCOL_NUMBERS, ipv4_range, is_any, is_ipv4, is_ipv6, protocol_number, range_size,
 )
 from framelake.operators.blocked import running
+from framelake.schemas import RULE_REQUEST
 
 SPEC_FIELDS = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
+# Highest port, and the longest rule request that is read.
 MAX_PORT = 65535
+MAX_REQUEST_BYTES = 4096
 
 
 def from_json(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Parse rule requests ``{"filter": {...}}``; unreadable text gives ``malformed = true``.
+    """Parse rule requests ``{"filter": {...}}``.
 
-    Extra columns of ``lines`` (arrival order, operator name, ...) are kept.
+    Text that is no JSON, has a field of the wrong type, or is too long gives ``malformed = true``; it must not turn into
+    a rule that matches everything.  Extra columns of ``lines`` (arrival order, operator name, ...) are kept.
     """
-    from framelake.schemas import RULE_REQUEST
-
-    parsed = F.from_json(F.col(column), RULE_REQUEST)
+    schema = T.StructType([*RULE_REQUEST.fields, T.StructField("_bad", T.StringType())])
+    parsed = F.from_json(F.col(column), schema, {"columnNameOfCorruptRecord": "_bad"})
     out = lines.withColumn("_request", parsed)
-    malformed = F.col("_request").isNull() | F.get_json_object(F.col(column), "$").isNull()
+    malformed = (F.col("_request").isNull() | F.col("_request._bad").isNotNull()
+                 | (F.octet_length(F.col(column)) > MAX_REQUEST_BYTES))
     return out.select(
         *[c for c in lines.columns if c != column],
         *[F.col(f"_request.filter.{name}").alias(name) for name in SPEC_FIELDS],
@@ -125,3 +130,8 @@ def validity(events: DataFrame) -> DataFrame:
 def active_at(events: DataFrame, at_ns: int) -> DataFrame:
     """Rules registered at a moment: numbers whose latest effective operation is an add."""
     return validity(events.filter(F.col("at_ns") <= at_ns)).filter("to_ns IS NULL").select("rule_id", "from_ns")
+
+
+def listing(events: DataFrame, specs: DataFrame, at_ns: int) -> DataFrame:
+    """Registered rules with the specs they were added with (``specs``: rule_id and the spec fields)."""
+    return active_at(events, at_ns).join(specs.select("rule_id", *SPEC_FIELDS), "rule_id")

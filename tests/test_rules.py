@@ -78,10 +78,11 @@ def test_flag_strings(spark, work):
 def test_json_requests(spark, work):
     path = work()
     texts = ['{"filter":{"src_ip":"10.0.0.0/8","dst_port":443,"protocol":"tcp"}}', '{"filter":{}}', "{}", "not json",
-             '{"filter":{"dst_port":70000}}']
+             '{"filter":{"dst_port":70000}}', '{"filter":{"dst_port":"443"}}', '{"filter":{"protocol":"tcp"}}' + " " * 4096,
+             '{"filter":{"dst_port":443.5}}', '{"filter":{"dst_port":443', '{"filter":null}', '{"filter":{"other":1}}']
     spark.createDataFrame([(t,) for t in texts], "value string").coalesce(1).write.text(path)
     got = R.compile_rules(read_json_rules(spark, path)).collect()
-    assert [r.reason for r in got] == [None, None, None, "malformed", "port out of range"]
+    assert [r.reason for r in got] == [None, None, None, "malformed", "port out of range", *["malformed"] * 4, None, None]
     assert got[0].dst_port == 443 and got[1].ip_proto is None
 
 
@@ -99,3 +100,6 @@ def test_validity(spark):
     assert got == {1: (10, 30), 2: (20, None), 4: (5, None)}
     assert {r.rule_id for r in R.active_at(events, 25).collect()} == {1, 2, 4}
     assert {r.rule_id for r in R.active_at(events, 30).collect()} == {2, 4}
+    specs = spark.createDataFrame([(i, "", "", 0, 443, "tcp") for i in range(1, 5)], "rule_id long, src_ip string, "
+                                  "dst_ip string, src_port long, dst_port long, protocol string")
+    assert {(r.rule_id, r.protocol) for r in R.listing(events, specs, 30).collect()} == {(2, "tcp"), (4, "tcp")}
