@@ -15,16 +15,17 @@ def _flagged(packets: DataFrame, rules: DataFrame, broadcast_rules: int) -> Data
     """
     counts = m.shapes_of(rules)
     keyed = m.rule_keys(rules)
-    out, flags = packets, []
-    for i, shape in enumerate(sorted(counts)):
+    out, flags, room = packets, [], broadcast_rules
+    for i, shape in enumerate(sorted(counts, key=lambda s: (counts[s], s))):
         mine = m.frame_keys(shape)
         if not mine:  # a rule without conditions
             flags.append(F.col("match_ok"))
             continue
         keys = keyed.filter(F.col("_shape") == shape).select(
             *[F.col(k).alias(f"_q{i}{k}") for k in mine], F.lit(True).alias(f"_hit{i}")).distinct()
-        if counts[shape] <= broadcast_rules:
+        if counts[shape] <= room:  # one bound for all shapes together
             keys = F.broadcast(keys)
+            room -= counts[shape]
         on = F.lit(True)
         for name, value in mine.items():
             on = on & (value == F.col(f"_q{i}{name}"))

@@ -7,7 +7,7 @@ from framelake.operators.match import match
 from framelake.plans import snapshot as S
 from framelake.session import stage
 from framelake.sources.dump import read_dump
-from framelake.sources.frames import stream_frames
+from framelake.sources.frames import from_capture_clock, stream_frames
 from framelake.streaming import intervals as SI
 from framelake.streaming import match as SM
 
@@ -114,3 +114,8 @@ def test_closed_intervals_equal_batch_and_late_frames_are_left_to_it(spark, work
 def test_time_column_follows_nanoseconds(spark):
     r = decode(frames_df(spark, [frame()], ts=[1_704_067_200_123_456_789])).first()
     assert r.ts == dt.datetime(2024, 1, 1, 0, 0, 0, 123456)
+
+
+def test_capture_clock(spark):
+    rows = spark.createDataFrame([(1_704_067_200, 999_999_999)], "sec long, nsec long")
+    assert from_capture_clock(rows).first().ts_ns == 1_704_067_200_999_999_999
