@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import bpe, pii, secrets, url_filter
+from framelake.llm import bpe, language_id, line_dedup, pii, quality_net, quality_rules, secrets, url_filter
 from framelake.llm.common import table
+from framelake.llm.labelled import folded
 
 #: Rules that the url query applies, and the patterns where none of them fits.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -49,6 +50,53 @@ def op5_pii(spark: SparkSession, d: str) -> DataFrame:
                         F.array_max(F.transform("spans", lambda s: s["score"])).alias("top_score"))
 
 
+def op6_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, d, "labels")))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality_net.Model:
+    """The network with labels of the rows that are not held out."""
+    return quality_net.fit(docs, labels, allowed=folded("id", 3) != 1)
+
+
+def op8_quality_net(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    scored = quality_net.score(docs, quality_model(docs, table(spark, d, "labels")))
+    return scored.select("doc_id", F.coalesce(folded("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op9_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = language_id.fit(docs, allowed=F.coalesce(folded("doc_id", 5) != 0, F.lit(False)))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", F.coalesce(folded("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred",
+                        "score", "bits_per_char", "rejected")
+
+
+def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    done = line_dedup.drop_lines(table(spark, d, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+_LINE_SQL = r"""
+with lines as (
+  select row, doc_id, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as pos
+  from (select row_number() over () as row, doc_id, coalesce(text, '') as t from documents)
+), keyed as (
+  select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines
+), frequent as (
+  select key, max(doc_id) as keeper from keyed where length(key) >= 40 group by key having count(distinct doc_id) >= 5
+), marked as (
+  select k.*, f.key is not null and k.doc_id <> f.keeper as gone from keyed k left join frequent f using (key)
+)
+select doc_id, count(*) as n_lines, cast(sum(case when gone then 1 else 0 end) as bigint) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from marked group by row, doc_id
+"""
+
 _URL_SQL = r"""
 with parts as (
   select page_id, coalesce(url, '') as u, position('://' in coalesce(url, '')) as pos from pages
@@ -78,9 +126,10 @@ from ruled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_url_filter, op3_bpe, op4_secrets, op5_pii]
+    named = [op1_url_filter, op3_bpe, op4_secrets, op5_pii, op6_quality_rules, op8_quality_net, op9_language_id,
+             op10_line_dedup]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _URL_SQL}
+    return {"op1_url_filter": _URL_SQL, "op10_line_dedup": _LINE_SQL}
