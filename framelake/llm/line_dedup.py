@@ -19,14 +19,11 @@ from pyspark.sql import functions as F
 
 from framelake.llm.arrays import Texts, mix, owner
 from framelake.llm.common import chunks, texts_of
+from framelake.llm.twice_filter import PACKED, TWICE_BITS, pack, slices_for, suspected, twice_seen
 from framelake.session import stage
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-BITS_PER_KEY = 16
-PROBES = 4
-SLICE_BITS = 1 << 22  #: one slice's filter
-FILTER_BITS = 1 << 28  #: the whole twice-seen filter, which is broadcast, has at most so many bits (32 MB)
 BROADCAST_DECISIONS = 2_000_000  #: up to so many keys (48 MB) decisions are broadcast, beyond they are joined
 _CHUNK = 4 << 20
 
@@ -54,78 +51,17 @@ def _distinct(own: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return np.unique(mix(hashed ^ mix(own.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
 
 
-def line_hashes(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
-    """(h): hashes of all keys, each at most twice for a chunk of texts, whatever number of texts has it."""
+def line_hashes(docs: DataFrame, text_col: str, min_chars: int, slices: int) -> DataFrame:
+    """Hashes of all keys by slice, each at most twice for a chunk of texts, whatever number of texts has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, 0, _CHUNK):
                 laid, own, _, s, e = keys(texts_of(part, 0), min_chars)
                 hashed = laid.hashes(s, e)
-                once, times = np.unique(hashed[_distinct(own, hashed)], return_counts=True)
-                sent = np.concatenate((once, once[times > 1]))
-                yield pa.RecordBatch.from_arrays([pa.array(sent.view(np.int64))], names=["h"])
+                yield pack(hashed[_distinct(own, hashed)], slices)
 
-    return docs.select(text_col).mapInArrow(run, "h bigint")
-
-
-def _probes(hashed: np.ndarray, bits: int) -> np.ndarray:
-    """The places of each hash in a filter of ``bits`` bits (a power of two)."""
-    second = mix(hashed) | np.uint64(1)
-    mask = np.uint64(bits - 1)
-    return np.stack([(hashed + np.uint64(i) * second) & mask for i in range(PROBES)], axis=1)
-
-
-def _has(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return ((bitmap[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
-
-
-def _put(bitmap: np.ndarray, places: np.ndarray) -> None:
-    np.bitwise_or.at(bitmap, places.ravel() >> np.uint64(3),
-                     np.uint8(1) << (places.ravel() & np.uint64(7)).astype(np.uint8))
-
-
-def twice_seen(hashes: DataFrame, filter_bits: int = FILTER_BITS) -> np.ndarray:
-    """The filter of hashes that occur at least twice in ``hashes`` (h), one row of bytes per slice.
-
-    Every slice of the hash space belongs to one task, which holds two filters of 2^22 bits or less at a time.
-    """
-    n = hashes.count()
-    bits = 1 << max(10, min(filter_bits.bit_length() - 1, (n * BITS_PER_KEY).bit_length()))
-    slices = max(1, bits // SLICE_BITS)
-    size = bits // slices
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: dict[int, np.ndarray] = {}
-        twice: dict[int, np.ndarray] = {}
-        for batch in batches:
-            h = batch.column(0).to_numpy().view(np.uint64)
-            part = batch.column(1).to_numpy()
-            for k in np.unique(part).tolist():
-                if k not in once:
-                    once[k], twice[k] = np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)
-                found, times = np.unique(h[part == k], return_counts=True)
-                places = _probes(found, size)
-                _put(twice[k], places[(times > 1) | _has(once[k], places)])
-                _put(once[k], places)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(twice), pa.int32()), pa.array([b.tobytes() for b in twice.values()], pa.binary())],
-            names=["slice", "bits"])
-
-    numbered = hashes.select("h", F.expr(f"cast(shiftrightunsigned(h, 40) % {slices} as int)").alias("slice"))
-    rows = numbered.repartition(slices, "slice").mapInArrow(run, "slice int, bits binary").toArrow()
-    out = np.zeros((slices, size // 8), dtype=np.uint8)
-    for k, b in zip(rows.column("slice").to_pylist(), rows.column("bits").to_pylist(), strict=True):
-        out[k] |= np.frombuffer(b, np.uint8)
-    return out
-
-
-def suspected(bitmaps: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-    """Which hashes the filter may hold."""
-    slices, size = bitmaps.shape
-    part = (hashed >> np.uint64(40)) % np.uint64(slices)
-    places = _probes(hashed, size * 8) + (part * np.uint64(size * 8))[:, None]
-    return _has(bitmaps.reshape(-1), places)
+    return docs.select(text_col).mapInArrow(run, PACKED)
 
 
 def suspects(docs: DataFrame, bitmaps: np.ndarray, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -160,7 +96,7 @@ def _digest(key: bytes) -> bytes:
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
-               min_docs: int = MIN_DOCS, filter_bits: int = FILTER_BITS,
+               min_docs: int = MIN_DOCS, twice_bits: int = TWICE_BITS,
                broadcast_decisions: int = BROADCAST_DECISIONS) -> DataFrame:
     """``docs`` without lines that at least ``min_docs`` documents have, but for the largest id among them.
 
@@ -171,7 +107,9 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     made = {"n_lines", "n_dropped"}
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made])
-    bitmaps = twice_seen(stage(line_hashes(base, text_col, min_chars), "line-hashes"), filter_bits)
+    most = base.agg(F.sum(F.expr(f"octet_length(`{text_col}`) div {min_chars + 1} + 1"))).first()[0] or 0
+    slices = slices_for(int(most))  # no text has more keys than its length allows
+    bitmaps = twice_seen(line_hashes(base, text_col, min_chars, slices), slices, twice_bits)
     decided = stage(decide(suspects(base, bitmaps, id_col, text_col, min_chars), min_docs), "line-decisions")
     if decided.count() <= broadcast_decisions:
         return _drop_by_broadcast(base, decided, id_col, text_col, min_chars)
