@@ -244,10 +244,17 @@ def _vocabulary_file(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def _lists(counts: list[int], joined: list[str]) -> pa.Array:
+    """Lists of ids from ids joined by spaces."""
+    ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    values = np.array(" ".join([j for j in joined if j]).split(), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
 def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text",
            digests: bool = False) -> DataFrame:
     """One row per input row: the id, ``n_tokens``, and ``ids`` (array) with ``decoded``, or with ``digests`` only
-    their SHA-256 (ids joined by one space; decoded text in UTF-8).
+    their SHA-256, as ``ids_sha256`` (ids joined by one space) and ``decoded_sha256`` (decoded text in UTF-8).
 
     The vocabulary is a file of the driver, a few MB whatever the data, and is broadcast.  Null and empty texts have no
     ids and decode to the empty text; repeated rows stay; a text of any length is encoded whole.
@@ -263,11 +270,11 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
                 counts, first, second = [], [], []
                 for n, ids, text in coder.texts(texts_of(part)):
                     counts.append(n)
-                    first.append(digest(ids) if digests else [int(i) for i in ids.split()])
+                    first.append(digest(ids) if digests else ids)
                     second.append(digest(text) if digests else text)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(counts, pa.int64()),
-                     pa.array(first, pa.string() if digests else pa.list_(pa.int32())), pa.array(second, pa.string())],
+                     pa.array(first, pa.string()) if digests else _lists(counts, first), pa.array(second, pa.string())],
                     names=["id", "n_tokens", "ids", "decoded"])
 
     from pyspark.sql import functions as F

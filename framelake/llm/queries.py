@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import bpe, language_id, line_dedup, pii, quality_net, quality_rules, secrets, url_filter
+from framelake.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, pii, quality_net, quality_rules, secrets, url_filter
 from framelake.llm.common import table
 from framelake.llm.labelled import folded
 
@@ -27,6 +27,10 @@ def op1_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "pattern", "verdict")
 
 
+def op2_decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.find(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def op3_bpe(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"), tokenizer_path(), digests=True)
 
@@ -60,6 +64,10 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> quality_net.Model:
     return quality_net.fit(docs, labels, allowed=folded("id", 3) != 1)
 
 
+def op7_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard_join.link(table(spark, d, "documents"), words=4, percent=85)
+
+
 def op8_quality_net(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     scored = quality_net.score(docs, quality_model(docs, table(spark, d, "labels")))
@@ -97,6 +105,26 @@ select doc_id, count(*) as n_lines, cast(sum(case when gone then 1 else 0 end) a
 from marked group by row, doc_id
 """
 
+_LINK_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w from documents
+), sets as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as g from words
+), sizes as (select doc_id, count(*) as n from sets group by doc_id),
+pairs as (
+  select a.doc_id as x, b.doc_id as y, count(*) as k from sets a join sets b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
+), links as (
+  select x, y from pairs join sizes p on x = p.doc_id join sizes q on y = q.doc_id where 100 * k >= 85 * (p.n + q.n - k)
+), both as (select x, y from links union all select y, x from links),
+reach(d, c) as (select doc_id, doc_id from documents union select r.d, b.y from reach r join both b on r.c = b.x)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id, coalesce(n_links, 0) as n_links
+from documents d left join sizes using (doc_id)
+  left join (select d as doc_id, min(c) as component_id from reach group by d) using (doc_id)
+  left join (select x as doc_id, count(*) as n_links from both group by x) using (doc_id)
+"""
+
 _URL_SQL = r"""
 with parts as (
   select page_id, coalesce(url, '') as u, position('://' in coalesce(url, '')) as pos from pages
@@ -126,10 +154,12 @@ from ruled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_url_filter, op3_bpe, op4_secrets, op5_pii, op6_quality_rules, op8_quality_net, op9_language_id,
-             op10_line_dedup]
-    return {f.__name__: f for f in named}
+    import corpus_pipeline
+
+    named = [op1_url_filter, op2_decontaminate, op3_bpe, op4_secrets, op5_pii, op6_quality_rules, op7_jaccard_join,
+             op8_quality_net, op9_language_id, op10_line_dedup]
+    return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _URL_SQL, "op10_line_dedup": _LINE_SQL}
+    return {"op1_url_filter": _URL_SQL, "op7_jaccard_join": _LINK_SQL, "op10_line_dedup": _LINE_SQL}
