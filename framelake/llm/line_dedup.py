@@ -189,11 +189,8 @@ def _drop_by_join(base: DataFrame, bitmaps: np.ndarray, decided: DataFrame, id_c
     """Decisions too many to broadcast: they meet the suspected keys in a join, and the texts by id."""
     found = suspects(base, bitmaps, id_col, text_col, min_chars).distinct()
     lost = found.join(decided, "key").filter(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id").agg(
-        F.collect_list("key").alias("__lost"))
-    joined = base.join(lost, F.col(id_col).eqNullSafe(F.col("id")), "left").drop("id")
-    if "id" in base.columns:
-        renamed = lost.withColumnRenamed("id", "__id")
-        joined = base.join(renamed, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+        F.collect_list("key").alias("__lost")).withColumnRenamed("id", "__doc")
+    joined = base.join(lost, F.col(id_col).eqNullSafe(F.col("__doc")), "left").drop("__doc")
     names, place = base.columns, base.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -117,12 +117,12 @@ pairs as (
   select a.doc_id as x, b.doc_id as y, count(*) as k from sets a join sets b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
 ), links as (
   select x, y from pairs join sizes p on x = p.doc_id join sizes q on y = q.doc_id where 100 * k >= 85 * (p.n + q.n - k)
-), both as (select x, y from links union all select y, x from links),
-reach(d, c) as (select doc_id, doc_id from documents union select r.d, b.y from reach r join both b on r.c = b.x)
+), ways as (select x, y from links union all select y, x from links),
+reach(d, c) as (select doc_id, doc_id from documents union select r.d, b.y from reach r join ways b on r.c = b.x)
 select d.doc_id, coalesce(n, 0) as n_shingles, component_id, coalesce(n_links, 0) as n_links
 from documents d left join sizes using (doc_id)
   left join (select d as doc_id, min(c) as component_id from reach group by d) using (doc_id)
-  left join (select x as doc_id, count(*) as n_links from both group by x) using (doc_id)
+  left join (select x as doc_id, count(*) as n_links from ways group by x) using (doc_id)
 """
 
 _URL_SQL = r"""
