@@ -23,19 +23,6 @@ def be_int64(data: Column) -> Column:
     return F.conv(F.hex(data), 16, -10).try_cast("bigint")
 
 
-def le_uint(data: Column, width: int) -> Column:
-    """Little-endian unsigned integer of ``width`` bytes (at most seven)."""
-    digits = F.hex(data)
-    swapped = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(width))])
-    return F.conv(swapped, 16, 10).try_cast("bigint")
-
-
 def be_hex(value: Column, width: int) -> Column:
     """Hex digits of ``value`` in network order, zero-padded to ``width`` bytes."""
     return F.lpad(F.hex(value.cast("bigint")), 2 * width, "0")
-
-
-def le_hex(value: Column, width: int) -> Column:
-    """Hex digits of the low ``width`` bytes of ``value``, least significant byte first."""
-    digits = F.lpad(F.hex(value.cast("bigint")), 16, "0")
-    return F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(width)])

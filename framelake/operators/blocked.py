@@ -48,25 +48,36 @@ def running(df: DataFrame, keys: list[str], order: str, block: int, sums: dict[s
         *[_union(c).alias(f"_t_{o}") for c, o in sketches.items()],
     )
     before = Window.partitionBy(*_keyed(keys)).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = totals.select(
-        *keys, "_blk",
-        *[F.sum(f"_t_{o}").over(before).alias(f"_p_{o}") for o in sums.values()],
-        *[_union(f"_t_{o}", before).alias(f"_p_{o}") for o in sketches.values()],
+    # what came before a block enters it as a row ahead of its own, so nothing is joined after the window
+    carried = totals.select(
+        *keys, "_blk", F.lit(0).alias("_own"),
+        *[F.sum(f"_t_{o}").over(before).alias(f"_i_{o}") for o in sums.values()],
+        *[_union(f"_t_{o}", before).alias(f"_i_{o}") for o in sketches.values()],
     )
-    upto = Window.partitionBy(*_keyed(keys), "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = blocked.select(
-        "*",
-        *[F.sum(c).over(upto).alias(f"_l_{o}") for c, o in sums.items()],
-        *[_union(c, upto).alias(f"_l_{o}") for c, o in sketches.items()],
-    )
-    joined = _rejoin(local, prefix, keys)
-    out = {o: F.coalesce(F.col(f"_l_{o}"), F.lit(0)) + F.coalesce(F.col(f"_p_{o}"), F.lit(0)) for o in sums.values()}
-    for o in sketches.values():
-        mine, earlier = F.col(f"_l_{o}"), F.col(f"_p_{o}")
-        out[o] = F.when(earlier.isNull(), mine).when(mine.isNull(), earlier).otherwise(F.hll_union(mine, earlier))
+    inputs = sums | sketches
+    own = blocked.withColumns({"_own": F.lit(1), **{f"_i_{o}": F.col(c) for c, o in inputs.items()}})
+    rows = own.unionByName(carried, allowMissingColumns=True)
+    upto = Window.partitionBy(*_keyed(keys), "_blk").orderBy("_own", order).rowsBetween(Window.unboundedPreceding, 0)
+    out = {o: F.coalesce(F.sum(f"_i_{o}").over(upto), F.lit(0)) for o in sums.values()}
+    out |= {o: _union(f"_i_{o}", upto) for o in sketches.values()}
     # a column may be replaced by its own running value
     kept = [F.col(c) for c in df.columns if c not in out]
-    return joined.select(*kept, *[c.alias(o) for o, c in out.items()])
+    return rows.select(*kept, "_own", *[c.alias(o) for o, c in out.items()]).filter("_own = 1").drop("_own")
+
+
+def carry_forward(df: DataFrame, keys: list[str], order: str, block: int, columns: list[str]) -> DataFrame:
+    """Each of ``columns`` where NULL replaced by the key's latest earlier value; same conditions as ``running``."""
+    blocked = df.withColumn("_blk", floor_div(F.col(order), block))
+    ends = blocked.groupBy(*keys, "_blk").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
+    before = Window.partitionBy(*_keyed(keys)).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_blk", F.lit(0).alias("_own"),
+                          *[F.last(c, ignorenulls=True).over(before).alias(c) for c in columns])
+    rows = blocked.withColumn("_own", F.lit(1)).unionByName(carried, allowMissingColumns=True)
+    upto = Window.partitionBy(*_keyed(keys), "_blk").orderBy("_own", order).rowsBetween(Window.unboundedPreceding, 0)
+    kept = [F.col(c) for c in df.columns if c not in columns]
+    latest = [F.last(c, ignorenulls=True).over(upto).alias(c) for c in columns]
+    return rows.select(*kept, "_own", *latest).filter("_own = 1").select(*df.columns)
 
 
 def previous(df: DataFrame, keys: list[str], order: str, block: int, columns: dict[str, str]) -> DataFrame:
@@ -88,12 +99,12 @@ def previous(df: DataFrame, keys: list[str], order: str, block: int, columns: di
 def fill_intervals(df: DataFrame, keys: list[str], order: str, block: int, last: int | None = None) -> DataFrame:
     """Keys x every interval from the key's first to the last one seen by any key (or ``last``).
 
-    The range is expanded in two steps, blocks and then intervals, so that no row ever holds a long array.
+    Keys that start after ``last`` have no intervals.  The range is expanded in two steps, blocks and then intervals, so that no row ever holds a long array.
     """
     bounds = df.groupBy(*keys).agg(F.min(order).alias("_first"))
     end = F.lit(last).cast("bigint") if last is not None else df.select(F.max(order)).scalar()
     first_blk = floor_div(F.col("_first"), block)
-    blocks = bounds.withColumn("_end", end).withColumn(
+    blocks = bounds.withColumn("_end", end).filter("_first <= _end").withColumn(
         "_blk", F.explode(F.sequence(first_blk, floor_div(F.col("_end"), block))))
     start = F.greatest(F.col("_first"), F.col("_blk") * F.lit(block))
     stop = F.least(F.col("_end"), F.col("_blk") * F.lit(block) + F.lit(block - 1))

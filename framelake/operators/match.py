@@ -230,10 +230,35 @@ def frame_keys(shape: int) -> dict[str, Column]:
     return out
 
 
-def _frame_hash(shape: int) -> Column:
-    """One bigint for (shape, masked fields), to look up in a hash table with a primitive key."""
-    keys, absent = frame_keys(shape), F.lit(_ABSENT).cast("bigint")
-    return F.xxhash64(F.lit(shape), *[keys.get(k, absent) for k in _KEY])
+def shapes_literal(shapes: list[int]) -> Column:
+    """All shapes as one array literal, so that a plan does not grow with their number."""
+    return F.expr("array(" + ",".join(map(str, shapes)) + ")")
+
+
+def masked_fields() -> dict[str, Column]:
+    """A frame's fields masked by the shape in its column ``_shape``; one expression for all shapes."""
+    shape, absent = F.col("_shape"), F.lit(_ABSENT).cast("bigint")
+
+    def bit(place: int) -> Column:
+        return F.shiftright(shape, place).bitwiseAND(F.lit(1)) == 1
+
+    def net(address: str, place: int) -> Column:
+        length = F.shiftright(shape, place).bitwiseAND(F.lit(63))
+        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(32) - length)
+        return F.when(length > 0, F.col(address) - F.pmod(F.col(address), size)).otherwise(absent)
+
+    return {
+        "_kp": F.when(bit(0), F.col("ip_proto").cast("bigint")).otherwise(absent),
+        "_ks": net("src_ip", 1),
+        "_kd": net("dst_ip", 7),
+        "_ksp": F.when(bit(13), F.col("src_port").cast("bigint")).otherwise(absent),
+        "_kdp": F.when(bit(14), F.col("dst_port").cast("bigint")).otherwise(absent),
+    }
+
+
+def tried(frames: DataFrame, shapes: list[int]) -> DataFrame:
+    """``frames`` once for each shape, as ``_shape``; frames that are not decodable are gone."""
+    return frames.select("*", F.explode(F.when(F.col("match_ok"), shapes_literal(shapes))).alias("_shape"))
 
 
 def shapes_of(rules: DataFrame) -> dict[int, int]:
@@ -242,8 +267,13 @@ def shapes_of(rules: DataFrame) -> dict[int, int]:
 
 
 def match_keyed(packets: DataFrame, rules: DataFrame, broadcast_rules: int = BROADCAST_RULES,
-                salts: int = SALTS) -> DataFrame:
-    """Equality join on a hash of (shape, masked fields), checked exactly afterwards; see the module text."""
+                salts: int | None = None) -> DataFrame:
+    """Equality join on a hash of (shape, masked fields), checked exactly afterwards; see the module text.
+
+    ``salts`` is over how many tasks a hot key of a heavy shape is spread: by default as many as the session has cores,
+    32 at least.
+    """
+    salts = salts or max(SALTS, packets.sparkSession.sparkContext.defaultParallelism)
     counts = shapes_of(rules)
     light, room = [], broadcast_rules
     for shape, count in sorted(counts.items(), key=lambda item: item[1]):
@@ -256,26 +286,25 @@ def match_keyed(packets: DataFrame, rules: DataFrame, broadcast_rules: int = BRO
     # raw frames are not filtered here: the filter would be pushed below and decode every frame twice
     valid = packets if Fields.of(packets).raw else packets.filter("match_ok")
 
-    def tried(frames: DataFrame, shapes: list[int]) -> DataFrame:
-        hashes = [F.when(F.col("match_ok"), _frame_hash(s)) for s in shapes]
-        return frames.select("*", F.posexplode(F.array(*hashes)).alias("_pos", "_key"))
+    def looked_up(frames: DataFrame, shapes: list[int]) -> DataFrame:
+        return tried(frames, shapes).withColumn("_key", F.xxhash64("_shape", *masked_fields().values()))
 
     def of_shapes(shapes: list[int]) -> DataFrame:
-        place = F.array_position(F.array(*[F.lit(s) for s in shapes]), F.col("_shape")) - 1
-        return table.withColumn("_place", place).filter("_place >= 0").drop("_shape")
+        return table.filter(F.array_contains(shapes_literal(shapes), F.col("_rule_shape")))
 
     def exact(joined: DataFrame) -> DataFrame:
         """Hashes may collide: the rule must be of the shape that was tried, and must match."""
-        same = (F.col("_pos") == F.col("_place")) & _satisfied("from_ns" in rules.columns)
+        same = (F.col("_shape") == F.col("_rule_shape")) & _satisfied("from_ns" in rules.columns)
         return joined.filter(same).select(*names, F.col("_r.rule_id").alias("filter_id"))
 
     parts = []
     if light:
-        parts.append(exact(tried(valid, light).join(F.broadcast(of_shapes(light)), "_key")))
+        parts.append(exact(looked_up(valid, light).join(F.broadcast(of_shapes(light)), "_key")))
     if heavy:
-        # copies of one frame share every field, so the salt comes from the row's position, not its content
-        salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
-        frames = tried(valid.withColumn("_salt", salt), heavy)
+        # what tells frames of one flow apart, and is the same when a task runs again; also on streams
+        content = [c for c in ("ts_ns", "capture_id", "n_bytes") if c in names]
+        salt = F.pmod(F.xxhash64(*content) if content else F.lit(0), F.lit(salts)).cast("int")
+        frames = looked_up(valid.withColumn("_salt", salt), heavy)
         side = of_shapes(heavy).withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
         parts.append(exact(frames.join(side.hint("shuffle_hash"), ["_key", "_salt"])))
     if not parts:
@@ -290,7 +319,7 @@ def _rule_table(rules: DataFrame) -> DataFrame:
     """What a lookup returns: the rule as one struct ``_r``, under the hash of its shape and key."""
     body = [c for c in (*_COMPILED, *_VALID) if c in rules.columns and c != "never_matches"]
     keys = rule_keys(usable(rules).withColumn("_r", F.struct(*body)))
-    return keys.select(F.xxhash64("_shape", *_KEY).alias("_key"), "_shape", "_r")
+    return keys.select(F.xxhash64("_shape", *_KEY).alias("_key"), F.col("_shape").alias("_rule_shape"), "_r")
 
 
 def _satisfied(timed: bool) -> Column:

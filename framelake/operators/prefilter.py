@@ -37,6 +37,30 @@ def _flagged(packets: DataFrame, rules: DataFrame, broadcast_rules: int) -> Data
     return out.select(*packets.columns, kept.alias("_kept"))
 
 
+_TUPLE = ("ip_proto", "src_ip", "dst_ip", "src_port", "dst_port")
+
+
+def _by_tuples(packets: DataFrame, rules: DataFrame, keep: bool, broadcast_rules: int) -> DataFrame:
+    """One semi or anti join of frames with the distinct 5-tuples that some rule wants, however many shapes there are.
+
+    The tuples are combined before they are shuffled and tried against the distinct masked keys of all rules; payloads
+    take part in the last join only.
+    """
+    shapes = sorted(m.shapes_of(rules))
+    if not shapes:
+        return packets.filter(F.lit(False)) if keep else packets
+    keyed = m.rule_keys(rules).distinct()
+    keyed = F.broadcast(keyed) if keyed.count() <= broadcast_rules else keyed
+    tuples = packets.filter("match_ok").select(*_TUPLE).distinct().withColumn("match_ok", F.lit(True))
+    wanted = (m.tried(tuples, shapes).withColumns(m.masked_fields())
+              .join(keyed, ["_shape", *m.masked_fields()], "left_semi").select(*_TUPLE).distinct())
+    wanted = wanted.select(*[F.col(c).alias(f"_w_{c}") for c in _TUPLE])
+    on = F.col("match_ok")
+    for c in _TUPLE:
+        on = on & (F.col(c) == F.col(f"_w_{c}"))
+    return packets.join(wanted, on, "left_semi" if keep else "left_anti")
+
+
 def _filter_after_decoding(packets: DataFrame, condition: Column) -> DataFrame:
     """Filter where the columns are computed.
 
@@ -56,6 +80,8 @@ def _split(packets: DataFrame, rules: DataFrame, keep: bool, broadcast_rules: in
         hit = m.any_predicate(rows, fields)
         hit = hit if keep else ~F.coalesce(hit, F.lit(False))
         return _filter_after_decoding(packets, hit) if fields.raw else packets.filter(hit)
+    if not packets.isStreaming:
+        return _by_tuples(packets, rules, keep, broadcast_rules)
     flagged = _flagged(packets, rules, broadcast_rules)
     return flagged.filter("_kept" if keep else "NOT _kept").drop("_kept")
 

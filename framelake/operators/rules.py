@@ -13,22 +13,20 @@ from framelake.operators.blocked import running
 from framelake.schemas import RULE_REQUEST
 
 SPEC_FIELDS = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
-# Highest port, and the longest rule request that is read.
+# Fixed value: highest port.
 MAX_PORT = 65535
-MAX_REQUEST_BYTES = 4096
 
 
 def from_json(lines: DataFrame, column: str = "value") -> DataFrame:
     """Parse rule requests ``{"filter": {...}}``.
 
-    Text that is no JSON, has a field of the wrong type, or is too long gives ``malformed = true``; it must not turn into
-    a rule that matches everything.  Extra columns of ``lines`` (arrival order, operator name, ...) are kept.
+    Text that is no JSON or has a field of the wrong type gives ``malformed = true``; it must not turn into a rule that
+    matches everything.  Extra columns of ``lines`` (arrival order, operator name, ...) are kept.
     """
     schema = T.StructType([*RULE_REQUEST.fields, T.StructField("_bad", T.StringType())])
     parsed = F.from_json(F.col(column), schema, {"columnNameOfCorruptRecord": "_bad"})
     out = lines.withColumn("_request", parsed)
-    malformed = (F.col("_request").isNull() | F.col("_request._bad").isNotNull()
-                 | (F.octet_length(F.col(column)) > MAX_REQUEST_BYTES))
+    malformed = F.col("_request").isNull() | F.col("_request._bad").isNotNull()
     return out.select(
         *[c for c in lines.columns if c != column],
         *[F.col(f"_request.filter.{name}").alias(name) for name in SPEC_FIELDS],

@@ -18,6 +18,7 @@ from framelake.operators.match import rules_of_mask, with_mask
 
 # Fixed value: sketch precision, 2^14 registers.
 SKETCH_LG_K = 14
+PEER_PARTS = 32
 
 
 def _addresses(df: DataFrame) -> tuple[Column, Column]:
@@ -28,7 +29,10 @@ def _addresses(df: DataFrame) -> tuple[Column, Column]:
 
 
 def address_counts(matched: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """Frames and bytes per (keys, side, address); ``side`` is 'src' or 'dst', each covering every frame once."""
+    """Frames and bytes per (keys, side, address); ``side`` is 'src' or 'dst', each covering every frame once.
+
+    Addresses come out as numbers whatever the input keeps, so that sketches of raw and of stored frames can be united.
+    """
     src, dst = _addresses(matched)
     flat = matched.select(*[c.alias(k) for k, c in keys.items()], src.alias("_src"), dst.alias("_dst"),
                           F.col("n_bytes").alias("_b"))
@@ -38,10 +42,11 @@ def address_counts(matched: DataFrame, keys: dict[str, Column]) -> DataFrame:
         [[F.col(c) for c in s] for s in sets], *names, "_src", "_dst"
     ).agg(F.count("*").alias("c"), F.sum("_b").alias("b"), F.grouping("_dst").alias("_is_src"))
     is_src = F.col("_is_src") == 1
+    ip = F.when(is_src, F.col("_src")).otherwise(F.col("_dst"))
     return counted.select(
         *names,
         F.when(is_src, F.lit("src")).otherwise(F.lit("dst")).alias("side"),
-        F.when(is_src, F.col("_src")).otherwise(F.col("_dst")).alias("ip"),
+        (be_uint(ip) if "src_raw" in matched.columns else ip).alias("ip"),
         "c", "b",
     )
 
@@ -96,12 +101,15 @@ def src_entropy(matched: DataFrame, interval_ns: int) -> DataFrame:
 def top_peers(matched: DataFrame, interval_ns: int, n: int) -> DataFrame:
     """The ``n`` busiest source addresses per rule and interval, ties broken by address.
 
-    The rank filter is applied per task before the shuffle (window group limit), so a task receives at most ``n`` rows
-    per rule and interval from each upstream task.
+    In two steps for any ``n``: the ``n`` best of each of ``PEER_PARTS`` parts of a rule and interval, then the ``n``
+    best of those, so that a task ranks at most ``PEER_PARTS * n`` rows of a rule and interval in the second step.
     """
-    order = Window.partitionBy("filter_id", "interval").orderBy(F.desc("c"), F.asc("src_ip"))
-    ranked = src_histogram(matched, interval_ns).withColumn("peer_rank", F.row_number().over(order))
-    return ranked.filter(F.col("peer_rank") <= n)
+    best = [F.desc("c"), F.asc("src_ip")]
+    parts = src_histogram(matched, interval_ns).withColumn("_part", F.pmod(F.hash("src_ip"), F.lit(PEER_PARTS)))
+    inside = Window.partitionBy("filter_id", "interval", "_part").orderBy(*best)
+    first = parts.withColumn("_rank", F.row_number().over(inside)).filter(F.col("_rank") <= n).drop("_part", "_rank")
+    over = Window.partitionBy("filter_id", "interval").orderBy(*best)
+    return first.withColumn("peer_rank", F.row_number().over(over)).filter(F.col("peer_rank") <= n)
 
 
 def capture_totals(decoded: DataFrame, matched: DataFrame) -> DataFrame:
@@ -156,14 +164,15 @@ def interval_stats(counts: DataFrame, exact: bool = False) -> DataFrame:
         F.coalesce(F.sum(F.when(src & known, c)), F.lit(0)).alias("src_window_packets"),
         *entropy_terms(F.when(src & known, c)),
     ]
-    if exact:
-        first = Window.partitionBy("filter_id", "side", "ip").orderBy("interval")
-        counts = counts.withColumn("_new", (F.row_number().over(first) == 1) & known)
-        measures += [F.sum(F.when((F.col("side") == s) & F.col("_new"), 1).otherwise(0)).alias(f"new_{s}")
-                     for s in ("src", "dst")]
-    else:
+    if not exact:
         measures += [F.hll_sketch_agg(F.when(F.col("side") == s, F.col("ip")), F.lit(SKETCH_LG_K)).alias(f"{s}_sketch")
                      for s in ("src", "dst")]
     grouped = counts.groupBy(*INTERVAL_KEYS).agg(*measures)
+    if exact:
+        # an address counts as new in its first interval; a plain minimum, so that no address has a task of its own
+        first = counts.filter(known).groupBy("filter_id", "side", "ip").agg(F.min("interval").alias("interval"))
+        new = first.groupBy(*INTERVAL_KEYS).agg(
+            *[F.count(F.when(F.col("side") == s, 1)).alias(f"new_{s}") for s in ("src", "dst")])
+        grouped = grouped.join(new, INTERVAL_KEYS, "left").fillna(0, ["new_src", "new_dst"])
     entropy = entropy_bits(F.col("src_window_packets"))
     return grouped.withColumn("src_entropy_bits", entropy).drop("_clog", "_top")

@@ -12,7 +12,7 @@ from framelake.operators.decode import decodable, decode, packets
 from framelake.plans import snapshot as S
 from framelake.plans import workload as w
 from framelake.session import stage, stream_session, work_path
-from framelake.sources import dump, frames as frame_source, outputs
+from framelake.sources import dump, frames as frame_source, outputs, rules as rule_source
 from framelake.streaming import intervals as SI, match as SM
 
 ACTIVE_AT_NS = 1_705_276_800_000_000_000
@@ -115,6 +115,23 @@ def rules_active_at(spark, d):
     return R.active_at(w.rule_history(w.events(spark, d)), ACTIVE_AT_NS)
 
 
+def rules_listing(spark, d):
+    source = w.events(spark, d)
+    numbered = R.assign_ids(source.filter("event_type = 'purchase'").select("event_id"), "event_id")
+    specs = w.spec_texts(source).join(numbered, "event_id")
+    return R.listing(w.rule_history(source), specs, ACTIVE_AT_NS)
+
+
+def rules_file_numbered(spark, d):
+    """Flag strings written to several files and numbered in the order of their lines."""
+    path = work_path(spark, "rule-lines")
+    text = F.concat_ws(":", "protocol", "src_ip", F.col("dst_port").cast("string"))
+    _specs(spark, d).select("event_id", text.alias("value")).repartitionByRange(3, "event_id").sortWithinPartitions(
+        "event_id").select("value").write.text(path)
+    valid = R.accepted(R.compile_rules(rule_source.read_flag_rules(spark, path)))
+    return R.assign_ids(valid, arrival="line_no").select("rule_id", "line_no", "src_lo", "dst_port", "ip_proto")
+
+
 def rule_validity(spark, d):
     return R.validity(w.rule_history(w.events(spark, d)))
 
@@ -144,6 +161,22 @@ def match_many_rules_salted(spark, d):
     return _hits(m.match(_decoded(spark, d), w.user_rules(spark, d), broadcast_rules=40, salts=4))
 
 
+def match_many_shapes(spark, d):
+    return _hits(m.match(_decoded(spark, d), w.shape_rules(spark, d)))
+
+
+def match_many_shapes_salted(spark, d):
+    return _hits(m.match(_decoded(spark, d), w.shape_rules(spark, d), broadcast_rules=0))
+
+
+def prefilter_many_shapes(spark, d):
+    return prefilter.prefilter(_decoded(spark, d), w.shape_rules(spark, d)).select("capture_id", "n_bytes")
+
+
+def rejected_many_rules(spark, d):
+    return prefilter.rejected(_decoded(spark, d), w.user_rules(spark, d), broadcast_rules=0).select("capture_id", "n_bytes")
+
+
 def _some_rules(spark):
     return w.fixed_rules(spark, [r for r in w.RULES if r[0] in (2, 3, 6, 9)])
 
@@ -252,6 +285,43 @@ def gap_fill(spark, d):
     return blocked.fill_intervals(stage(_intervals(spark, d), "intervals"), ["filter_id"], "interval", block=8)
 
 
+UNTIL = 19_728  #: a day early in the table
+
+
+def gap_fill_until(spark, d):
+    """Rules first hit after the last interval have none."""
+    return blocked.fill_intervals(stage(_intervals(spark, d), "intervals"), ["filter_id"], "interval", block=4, last=UNTIL)
+
+
+def snapshot_until(spark, d):
+    return _round(S.snapshots(stage(_intervals(spark, d), "intervals"), last=UNTIL, block=4), "src_entropy_bits")
+
+
+def snapshot_hll(spark, d):
+    """The default mode: sketch counts judged against exact ones in every row."""
+    keys, counts = ["filter_id", "interval"], ["unique_src_ips", "unique_dst_ips"]
+    rough = S.snapshot(_decoded(spark, d), w.fixed_rules(spark), w.DAY_NS)
+    exact = snapshot(spark, d).select(*keys, *[F.col(c).alias(f"_{c}") for c in counts])
+    both = _round(rough, "src_entropy_bits").join(exact, keys, "full")
+    return both.select(*[c for c in rough.columns if c not in counts], *[F.col(f"_{c}").alias(c) for c in counts],
+                       (_in_bound(F.col(counts[0]), F.col(f"_{counts[0]}"))
+                        & _in_bound(F.col(counts[1]), F.col(f"_{counts[1]}"))).alias("uniques_in_bound"))
+
+
+def sketch_union_raw_and_stored(spark, d):
+    """Sketches of raw frames and of the same packets stored: their union counts no address twice."""
+    raw = _decoded(spark, d)
+    stored = stage(packets(w.event_frames(spark, d)), "packets")
+    sketches = [S.intervals_of_packets(p, w.fixed_rules(spark), w.DAY_NS).withColumn("_of", F.lit(i))
+                for i, p in enumerate((raw, stored))]
+    both = sketches[0].unionByName(sketches[1])
+    out = both.groupBy("filter_id").agg(
+        *[F.hll_sketch_estimate(F.hll_union_agg(F.when(which, F.col(f"{s}_sketch")))).alias(f"{n}_{s}")
+          for s in ("src", "dst") for n, which in (("all", F.lit(True)), ("raw", F.col("_of") == 0))])
+    return out.select("filter_id", (F.col("all_src") == F.col("raw_src")).alias("same_src"),
+                      (F.col("all_dst") == F.col("raw_dst")).alias("same_dst"))
+
+
 def snapshot(spark, d):
     return _round(S.snapshot(_decoded(spark, d), w.fixed_rules(spark), w.DAY_NS, exact=True), "src_entropy_bits")
 
@@ -299,9 +369,26 @@ def _interval_table(spark, d) -> str:
     matched = m.match(decode(frame_source.stream_frames(live, path)), w.fixed_rules(live))
     closed = SI.interval_stream(matched, 86_400)
     SI.interval_writer(closed, table, work_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    # the stream keeps its newest interval open; it is closed from the stored frames
+    newest = SI.read_intervals(spark, table).agg(F.max("interval")).first()[0]
+    stored = decode(frame_source.read_frames(spark, path))
+    rest = stored if newest is None else stored.filter(F.col("ts_ns") >= (newest + 1) * w.DAY_NS)
+    SI.correct_intervals(S.intervals_of_packets(rest, w.fixed_rules(spark), w.DAY_NS).select(
+        *[c.split()[0] for c in SI.INTERVAL_TABLE.split(", ")]), table, version=1)
     return table
 
 
+def stream_correction(spark, d):
+    """A streamed interval computed wrongly is put right by a later version of it."""
+    table = _interval_table(spark, d)
+    good = stage(SI.read_intervals(spark, table), "good")
+    day = good.agg(F.min("interval")).first()[0]
+    one = good.filter(F.col("interval") == day)
+    SI.correct_intervals(one.withColumn("packets", F.col("packets") + 1), table, version=2)
+    SI.correct_intervals(one, table, version=3)
+    return _round(SI.read_intervals(spark, table).drop("src_sketch", "dst_sketch"), "src_entropy_bits")
+
+
 def stream_interval_stats(spark, d):
     return _round(SI.read_intervals(spark, _interval_table(spark, d)).drop("src_sketch", "dst_sketch"),
                   "src_entropy_bits")
@@ -313,7 +400,7 @@ def stream_snapshot(spark, d):
     exact = S.snapshots(stage(_intervals(spark, d), "intervals")).select(
         "filter_id", "interval", F.col("unique_src_ips").alias("exact_src_ips"),
         F.col("unique_dst_ips").alias("exact_dst_ips"))
-    both = streamed.join(exact, ["filter_id", "interval"])
+    both = streamed.join(exact, ["filter_id", "interval"], "full")
     good = (_in_bound(F.col("unique_src_ips"), F.col("exact_src_ips"))
             & _in_bound(F.col("unique_dst_ips"), F.col("exact_dst_ips")))
     return _round(both, "src_entropy_bits").select(
@@ -356,7 +443,9 @@ def queries() -> dict:
     out = {f.__name__: f for f in (
         frame_scan, decode_packets, decodable_frames, dump_roundtrip, stream_dump_count, rules_compiled, rules_rejected,
         rules_numbered, rules_from_json, rules_from_flags, rules_active_at, rule_validity, match_rules,
-        match_rules_shapes, match_many_rules, match_many_rules_salted, prefilter_union, prefilter_rejected,
+        rules_listing, rules_file_numbered, match_many_shapes, match_many_shapes_salted, prefilter_many_shapes,
+        rejected_many_rules, gap_fill_until, snapshot_until, snapshot_hll, sketch_union_raw_and_stored,
+        stream_correction, match_rules_shapes, match_many_rules, match_many_rules_salted, prefilter_union, prefilter_rejected,
         prefilter_many_rules, match_rules_temporal, dump_drops, rule_totals, unique_ips_exact, unique_ips_hll,
         interval_uniques, src_entropy, src_ip_histogram, top_peers, capture_totals, flow_summary, flow_summary_oneway,
         interval_stats, running_totals, gap_fill, snapshot, snapshot_of_dump, snapshot_volume, snapshot_json,

@@ -62,6 +62,15 @@ rl(rule_id, pr, slo, shi, dlo, dhi, sp, dp) AS (
     CASE WHEN s_suppkey % 3 = 0 THEN 443 END
   FROM supplier)"""
 
+# rules of many shapes that follow from customer
+SHAPE_RULES = """
+shaped AS (
+  SELECT c_custkey AS k, 167772160 + (c_custkey % 4) * 65536 + c_custkey AS a, 3232235520 + c_custkey % 1000 AS b,
+    CAST(pow(2, 16 - c_custkey % 17) AS BIGINT) AS x, CAST(pow(2, 12 - c_custkey % 13) AS BIGINT) AS y FROM customer),
+rl(rule_id, pr, slo, shi, dlo, dhi, sp, dp) AS (
+  SELECT k, CASE WHEN k % 2 = 0 THEN 6 END, a - a % x, a - a % x + x - 1, b - b % y, b - b % y + y - 1, NULL::INT,
+    CASE WHEN k % 3 = 0 THEN 443 END FROM shaped)"""
+
 _HITS = """
   (r.pr IS NULL OR r.pr = p.pr) AND (r.slo IS NULL OR p.si BETWEEN r.slo AND r.shi)
   AND (r.dlo IS NULL OR p.di BETWEEN r.dlo AND r.dhi)
@@ -188,6 +197,16 @@ rem AS (SELECT user_id AS rule_id, ts_ns, event_id FROM ev WHERE event_type = 'e
 SELECT rule_id, ts_ns AS from_ns FROM adds a WHERE ts_ns <= 1705276800000000000 AND NOT EXISTS (
   SELECT 1 FROM rem r WHERE r.rule_id = a.rule_id AND r.ts_ns <= 1705276800000000000
     AND (r.ts_ns > a.ts_ns OR (r.ts_ns = a.ts_ns AND r.event_id > a.event_id)))"""
+    out["rules_listing"] = out["rules_active_at"].replace("SELECT rule_id, ts_ns AS from_ns FROM adds a", """
+SELECT rule_id, ts_ns AS from_ns, '' AS src_ip, concat('192.168.', (event_id % 1000) // 256, '.', (event_id % 1000) % 256, '/',
+  user_id % 40) AS dst_ip, CAST(0 AS BIGINT) AS src_port, user_id * 997 AS dst_port, 'udp' AS protocol
+FROM adds a JOIN ev USING (event_id, ts_ns)""")
+    out["rules_file_numbered"] = f"""{spec_columns()},
+lines AS (SELECT *, row_number() OVER (ORDER BY event_id) AS line_no FROM sp),
+good AS (SELECT *, row_number() OVER (ORDER BY event_id) AS rule_id FROM lines
+  WHERE event_type IN ('click', 'view', 'purchase') AND user_id * 997 <= 65535)
+SELECT rule_id, line_no, CASE WHEN event_type IN ('click', 'view') THEN src_lo END AS src_lo, CAST(dport AS INT) AS dst_port,
+  CAST(proto AS INT) AS ip_proto FROM good"""
     out["rule_validity"] = f"""{history}
 SELECT a.rule_id, a.ts_ns AS from_ns, min(r.ts_ns) AS to_ns FROM adds a LEFT JOIN rem r ON r.rule_id = a.rule_id
   AND (r.ts_ns > a.ts_ns OR (r.ts_ns = a.ts_ns AND r.event_id > a.event_id)) GROUP BY a.rule_id, a.ts_ns"""
@@ -196,6 +215,9 @@ SELECT a.rule_id, a.ts_ns AS from_ns, min(r.ts_ns) AS to_ns FROM adds a LEFT JOI
         out[key] = match_rows(ids)
     out["match_rules"] = out["match_rules_shapes"] = match_rows()
     out["match_many_rules"] = out["match_many_rules_salted"] = match_rows(rules=MANY_RULES)
+    out["match_many_shapes"] = out["match_many_shapes_salted"] = match_rows(rules=SHAPE_RULES)
+    out["prefilter_many_shapes"] = prefilter(True, SHAPE_RULES)
+    out["rejected_many_rules"] = prefilter(False, MANY_RULES)
     out["prefilter_union"] = prefilter(True, rule_ids="2, 3, 6, 9")
     out["prefilter_rejected"] = prefilter(False, rule_ids="2, 3, 6, 9")
     out["prefilter_many_rules"] = prefilter(True, MANY_RULES)
@@ -253,15 +275,24 @@ FROM iv LEFT JOIN ent USING (filter_id, interval) LEFT JOIN fresh_src s USING (f
     out["gap_fill"] = f"""{intervals()}
 SELECT CAST(filter_id AS BIGINT) AS filter_id, unnest(generate_series(min(interval), (SELECT max(interval) FROM iv))) AS interval
 FROM iv GROUP BY filter_id"""
+    until = "19728"
+    out["gap_fill_until"] = f"""{intervals()}
+SELECT CAST(filter_id AS BIGINT) AS filter_id, unnest(generate_series(min(interval), {until})) AS interval
+FROM iv WHERE interval <= {until} GROUP BY filter_id"""
+    out["snapshot_until"] = snapshot(up_to=until)
+    out["snapshot_hll"] = snapshot().replace("coalesce(win, 0) AS src_window_packets",
+                                             "coalesce(win, 0) AS src_window_packets, TRUE AS uniques_in_bound")
+    out["sketch_union_raw_and_stored"] = f"""{matched()}
+SELECT CAST(filter_id AS BIGINT) AS filter_id, TRUE AS same_src, TRUE AS same_dst FROM m GROUP BY filter_id"""
     out["snapshot"] = out["snapshot_of_dump"] = snapshot()
     out["snapshot_volume"] = snapshot(_LINEITEM, HUNDRED_DAYS)
     out["snapshot_json"] = snapshot(with_interval=False)
-    closed = f"(SELECT max(ts_ns) // {DAY} - 1 FROM ev)"
     out["stream_match"] = match_rows()
     out["stream_interval_stats"] = f"""{intervals()}
 SELECT CAST(filter_id AS BIGINT) AS filter_id, interval, packets, bytes, win AS src_window_packets,
-  coalesce(bits, 0.0) AS src_entropy_bits FROM iv LEFT JOIN ent USING (filter_id, interval) WHERE interval <= {closed}"""
-    out["stream_snapshot"] = snapshot(up_to=closed).replace("unique_src_ips", "exact_src_ips").replace(
+  coalesce(bits, 0.0) AS src_entropy_bits FROM iv LEFT JOIN ent USING (filter_id, interval)"""
+    out["stream_correction"] = out["stream_interval_stats"]
+    out["stream_snapshot"] = snapshot().replace("unique_src_ips", "exact_src_ips").replace(
         "unique_dst_ips", "exact_dst_ips").replace("coalesce(win, 0) AS src_window_packets",
         "coalesce(win, 0) AS src_window_packets, TRUE AS uniques_in_bound")
     samples = f"""

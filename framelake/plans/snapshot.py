@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.operators import stats
-from framelake.operators.blocked import fill_intervals, running
+from framelake.operators.blocked import carry_forward, fill_intervals, running
 from framelake.operators.match import few_rules, inline_bound, match
 from framelake.session import stage
 
@@ -50,12 +50,14 @@ def running_totals(intervals: DataFrame, block: int = BLOCK) -> DataFrame:
 def snapshots(intervals: DataFrame, last: int | None = None, block: int = BLOCK) -> DataFrame:
     """All snapshot rows of an interval table: every interval from a rule's first frame to the last tick.
 
-    ``intervals`` is read several times; pass a stored table (``stage`` writes one).
+    Totals run over the intervals in which a rule was hit; idle intervals repeat the numbers before them, so sketches
+    never travel through them.  ``intervals`` is read several times; pass a stored table (``stage`` writes one).
     """
     spine = fill_intervals(intervals, ["filter_id"], "interval", block, last)
-    filled = spine.join(intervals, stats.INTERVAL_KEYS, "left")
-    filled = filled.fillna(0, ["packets", "bytes", "src_window_packets"]).fillna(0.0, ["src_entropy_bits"])
-    return running_totals(filled, block).select(*SNAPSHOT_COLUMNS)
+    filled = spine.join(running_totals(intervals, block).select(*SNAPSHOT_COLUMNS), stats.INTERVAL_KEYS, "left")
+    filled = filled.fillna(0, ["src_window_packets"]).fillna(0.0, ["src_entropy_bits"])
+    totals = ["packets", "bytes", "unique_src_ips", "unique_dst_ips"]
+    return carry_forward(filled, ["filter_id"], "interval", block, totals).select(*SNAPSHOT_COLUMNS)
 
 
 def snapshot(packets: DataFrame, rules: DataFrame, interval_ns: int, exact: bool = False,

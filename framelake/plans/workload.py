@@ -154,6 +154,21 @@ def user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.accepted(R.compile_rules(hosts.unionByName(nets)))
 
 
+def shape_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule per customer, of some 1,300 shapes: all prefix lengths from 16 and 20 on, protocol and port or none."""
+    key = F.col("c_custkey")
+    src = F.lit(167772160) + F.pmod(key, F.lit(4)) * 65536 + key
+    dst = F.lit(3232235520) + F.pmod(key, F.lit(1000))
+    specs = spark.read.schema("c_custkey long").parquet(f"{sf_dir}/customer.parquet").select(
+        key.alias("rule_id"),
+        F.concat(ip_text(src), F.lit("/"), (F.lit(16) + F.pmod(key, F.lit(17))).cast("string")).alias("src_ip"),
+        F.concat(ip_text(dst), F.lit("/"), (F.lit(20) + F.pmod(key, F.lit(13))).cast("string")).alias("dst_ip"),
+        F.lit(0).cast("bigint").alias("src_port"),
+        F.when(F.pmod(key, F.lit(3)) == 0, 443).otherwise(0).cast("bigint").alias("dst_port"),
+        F.when(F.pmod(key, F.lit(2)) == 0, "tcp").otherwise("").alias("protocol"))
+    return R.accepted(R.compile_rules(specs))
+
+
 def spec_texts(source: DataFrame) -> DataFrame:
     """Rule specs in text form from events: valid and invalid addresses, ports and protocols of every kind."""
     eid, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")

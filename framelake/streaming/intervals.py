@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from framelake.functions.clock import floor_div
 from framelake.functions.measures import entropy_bits, entropy_terms
+from framelake.functions.packed import be_uint
 from framelake.operators.stats import SKETCH_LG_K
 from framelake.plans.snapshot import snapshots
 
@@ -14,21 +17,24 @@ INTERVAL_TABLE = ("filter_id bigint, interval bigint, packets bigint, bytes bigi
                   "src_sketch binary, dst_sketch binary, src_entropy_bits double")
 
 
-def interval_stream(matched: DataFrame, interval_seconds: int, late: str = "0 seconds") -> DataFrame:
+def interval_stream(matched: DataFrame, interval_seconds: float, late: str = "0 seconds") -> DataFrame:
     """One row per rule and closed interval, as ``operators.stats.interval_stats`` gives for a table.
 
     ``matched`` is a stream with ``filter_id``, ``ts``, ``n_bytes``, ``stat_ok`` and addresses.  Two chained windowed
     aggregations: per address, then per rule.  State is keyed by (interval, rule, side, address) and therefore spread
     over all tasks, and is dropped once the watermark (``late`` behind the newest frame) passes the interval.  Frames
-    later than that are not counted; recompute the interval from the stored frames to include them.
+    later than that are not counted, and the newest interval stays open; compute such intervals from the stored frames
+    and put them in with ``correct_intervals``.  Intervals are whole microseconds wide.
     """
-    width = f"{interval_seconds} seconds"
+    micros = round(interval_seconds * 1_000_000)
+    width = f"{micros} microseconds"
     raw = "src_raw" in matched.columns
     address = {side: F.when(F.col("stat_ok"), F.col(f"{side}_raw" if raw else f"{side}_ip")) for side in ("src", "dst")}
     sides = F.array(*[F.struct(F.lit(s).alias("side"), a.alias("ip")) for s, a in address.items()])
     flat = matched.withWatermark("ts", late).select("ts", "filter_id", "n_bytes", F.inline(sides))
     per_ip = flat.groupBy(F.window("ts", width), "filter_id", "side", "ip").agg(
         F.count("*").alias("c"), F.sum("n_bytes").alias("b"))
+    per_ip = per_ip.withColumn("ip", be_uint(F.col("ip"))) if raw else per_ip  # one kind of address in all sketches
     src, known, c = F.col("side") == "src", F.col("ip").isNotNull(), F.col("c")
     per_rule = per_ip.groupBy(F.window(F.window_time("window"), width).alias("window"), "filter_id").agg(
         F.sum(F.when(src, c)).alias("packets"),
@@ -38,7 +44,7 @@ def interval_stream(matched: DataFrame, interval_seconds: int, late: str = "0 se
         *[F.hll_sketch_agg(F.when(F.col("side") == s, F.col("ip")), F.lit(SKETCH_LG_K)).alias(f"{s}_sketch")
           for s in ("src", "dst")],
     )
-    number = F.call_function("div", F.unix_seconds(F.col("window.start")), F.lit(interval_seconds))
+    number = floor_div(F.unix_micros(F.col("window.start")), micros)
     return per_rule.select(
         "filter_id", number.alias("interval"), "packets", "bytes", "src_window_packets", "src_sketch", "dst_sketch",
         entropy_bits(F.col("src_window_packets")).alias("src_entropy_bits"))
@@ -50,8 +56,34 @@ def interval_writer(intervals: DataFrame, table: str, checkpoint: str) -> DataSt
         "path", table)
 
 
+def correct_intervals(intervals: DataFrame, table: str, version: int) -> None:
+    """Put in whole intervals computed from stored frames; they replace what the stream wrote for these intervals.
+
+    Between corrections of one interval the highest ``version`` counts; writing a version again replaces it.
+    """
+    intervals.selectExpr("*", f"cast({version} as bigint) as version").write.mode("overwrite").parquet(
+        f"{table.rstrip('/')}-corrections/version={version}")
+
+
+def _corrections(spark: SparkSession, table: str) -> DataFrame | None:
+    try:
+        found = spark.read.option("recursiveFileLookup", "true").schema(f"{INTERVAL_TABLE}, version bigint").parquet(
+            f"{table.rstrip('/')}-corrections")
+        return found if not found.isEmpty() else None
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def read_intervals(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.schema(INTERVAL_TABLE).parquet(table)
+    """The interval table with its corrections."""
+    streamed, corrected = spark.read.schema(INTERVAL_TABLE).parquet(table), _corrections(spark, table)
+    if corrected is None:
+        return streamed
+    newest = corrected.groupBy("interval").agg(F.max("version").alias("version"))
+    latest = corrected.join(newest, ["interval", "version"], "left_semi").select(*streamed.columns)
+    return streamed.join(newest, "interval", "left_anti").select(*latest.columns).unionByName(latest)
 
 
 def current_snapshots(spark: SparkSession, table: str, last: int | None = None) -> DataFrame:

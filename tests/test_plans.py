@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from framelake.operators import match as m
 from framelake.operators import prefilter, stats
 from framelake.operators.decode import decode, packets
-from framelake.plans.snapshot import intervals_of_packets
+from framelake.plans.snapshot import intervals_of_packets, running_totals
 from framelake.sources.frames import read_frames, write_packets
 
 
@@ -77,3 +77,21 @@ def test_interval_statistics_skip_unmatched_frames(spark, stored):
 def test_days_prune_folders(spark, stored):
     text = plan(stored[1].filter("day = DATE'1970-01-02'").select("n_bytes"))
     assert "PartitionFilters: [isnotnull(day" in text
+
+
+def test_plans_do_not_grow_with_shapes(spark, stored):
+    def many(lengths):
+        return rules_df(spark, [{"protocol": "tcp", "src_ip": f"10.{i % 4}.0.0/24", "dst_ip": f"192.168.{i}.0/{9 + i % lengths}"}
+                                for i in range(200)])
+
+    for build in (m.match, prefilter.prefilter, prefilter.rejected):
+        few, lots = [plan(build(stored[1], many(n), broadcast_rules=b)) for n in (1, 24) for b in (100_000,)]
+        assert few.count("Join") == lots.count("Join") and lots.count("Exchange") <= few.count("Exchange")
+
+
+def test_no_window_over_addresses_and_no_join_after_the_sketch_window(spark, stored):
+    rows = m.few_rules(rules_df(spark, FEW), 40)
+    exact = plan(stats.interval_stats(stats.counts_of_packets(stored[1], rows, 10**9), exact=True))
+    assert "Window" not in exact
+    rough = stats.interval_stats(stats.counts_of_packets(stored[1], rows, 10**9))
+    assert "Join" not in plan(running_totals(rough))

@@ -82,7 +82,8 @@ def test_json_requests(spark, work):
              '{"filter":{"dst_port":443.5}}', '{"filter":{"dst_port":443', '{"filter":null}', '{"filter":{"other":1}}']
     spark.createDataFrame([(t,) for t in texts], "value string").coalesce(1).write.text(path)
     got = R.compile_rules(read_json_rules(spark, path)).collect()
-    assert [r.reason for r in got] == [None, None, None, "malformed", "port out of range", *["malformed"] * 4, None, None]
+    assert [r.reason for r in got] == [None, None, None, "malformed", "port out of range", "malformed", None,
+                                        "malformed", "malformed", None, None]
     assert got[0].dst_port == 443 and got[1].ip_proto is None
 
 
@@ -103,3 +104,14 @@ def test_validity(spark):
     specs = spark.createDataFrame([(i, "", "", 0, 443, "tcp") for i in range(1, 5)], "rule_id long, src_ip string, "
                                   "dst_ip string, src_port long, dst_port long, protocol string")
     assert {(r.rule_id, r.protocol) for r in R.listing(events, specs, 30).collect()} == {(2, "tcp"), (4, "tcp")}
+
+
+def test_rules_of_files_are_numbered_by_line(spark, work):
+    path = work()
+    lines = [f"tcp::{i}" for i in range(1, 40)] + ["bad"] + [f"udp::{i}" for i in range(1, 9)]
+    spark.createDataFrame(list(enumerate(lines)), "n int, value string").repartitionByRange(4, "n").sortWithinPartitions(
+        "n").select("value").write.text(path)
+    usable = R.assign_ids(R.accepted(R.compile_rules(read_flag_rules(spark, path))), arrival="line_no")
+    got = sorted((r.rule_id, r.line_no, r.dst_port) for r in usable.collect())
+    want = [(n, int(line.split(":")[2])) for n, line in enumerate(lines, 1) if line != "bad"]
+    assert got == [(i, n, port) for i, (n, port) in enumerate(want, 1)]

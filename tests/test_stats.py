@@ -5,7 +5,7 @@ from packet_bytes import frame, frames_df, rules_df
 from pyspark.sql import functions as F
 
 from framelake.operators import stats
-from framelake.operators.blocked import fill_intervals, previous, running
+from framelake.operators.blocked import carry_forward, fill_intervals, previous, running
 from framelake.operators.decode import decode
 from framelake.operators.flows import flow_id, flow_summary
 from framelake.operators.match import match
@@ -129,3 +129,29 @@ def test_gaps_are_filled_to_a_given_end(spark):
     df = spark.createDataFrame([("a", 2), ("a", 4), ("b", 5)], "k string, t long")
     got = sorted(map(tuple, fill_intervals(df, ["k"], "t", 2, last=6).collect()))
     assert got == [("a", i) for i in range(2, 7)] + [("b", 5), ("b", 6)]
+
+
+def test_gaps_end_before_keys_that_start_later(spark):
+    df = spark.createDataFrame([(1, 2), (1, 5), (2, 10)], "k int, t long")
+    got = sorted(map(tuple, fill_intervals(df, ["k"], "t", block=4, last=7).collect()))
+    assert got == [(1, t) for t in range(2, 8)]
+
+
+def test_latest_values_are_carried_over_blocks(spark):
+    rows = [(k, t, 10 * t if t % 7 == k else None) for k in (1, 2) for t in range(20)]
+    df = spark.createDataFrame(rows, "k int, t long, x long")
+    got = {(r.k, r.t): r.x for r in carry_forward(df, ["k"], "t", 4, ["x"]).collect()}
+    for k in (1, 2):
+        latest = None
+        for t in range(20):
+            latest = 10 * t if t % 7 == k else latest
+            assert got[k, t] == latest
+
+
+def test_many_top_peers_are_ranked_in_parts(spark):
+    from framelake.operators.stats import top_peers
+
+    matched = hits(spark, [(1, 0, i % 3000, 1, True, 60) for i in range(7000)])
+    got = sorted((r.peer_rank, r.src_ip, r.c) for r in top_peers(matched, 10**9, 2000).collect())
+    want = sorted(((3 if i < 1000 else 2, i) for i in range(3000)), key=lambda x: (-x[0], x[1]))[:2000]
+    assert got == [(k + 1, ip, c) for k, (c, ip) in enumerate(want)]

@@ -119,3 +119,25 @@ def test_time_column_follows_nanoseconds(spark):
 def test_capture_clock(spark):
     rows = spark.createDataFrame([(1_704_067_200, 999_999_999)], "sec long, nsec long")
     assert from_capture_clock(rows).first().ts_ns == 1_704_067_200_999_999_999
+
+
+def test_stream_with_more_rules_than_are_broadcast(spark, work):
+    source, table = work(), work()
+    frames_df(spark, [frame(f"10.0.{i}.1") for i in range(20)], ts=[i * SEC for i in range(20)]).coalesce(1).write.parquet(source)
+    rules = rules_df(spark, [{"src_ip": f"10.0.{i}.0/{24 + i % 3}"} for i in range(60)])
+    found = match(decode(stream_frames(spark, source)), rules, plan="keyed", broadcast_rules=0)
+    drain(SI.interval_writer(SI.interval_stream(found, 0.5), table, work()))
+    got = {r.filter_id: r.interval for r in SI.read_intervals(spark, table).collect()}
+    assert got == {i + 1: 2 * i for i in range(19)}  # the newest interval stays open
+
+
+def test_corrections_replace_whole_intervals(spark, work):
+    source, table = work(), work()
+    frames_df(spark, [frame(), frame(), frame()], ts=[0, SEC, 2 * SEC]).coalesce(1).write.parquet(source)
+    found = match(decode(stream_frames(spark, source)), rules_df(spark, [{"protocol": "tcp"}]))
+    drain(SI.interval_writer(SI.interval_stream(found, 1), table, work()))
+    first = SI.read_intervals(spark, table).filter("interval = 0")
+    for version, packets in ((2, 9), (1, 5), (2, 7)):
+        SI.correct_intervals(first.selectExpr(*[c if c != "packets" else f"{packets}L as packets" for c in first.columns]),
+                             table, version)
+    assert sorted((r.interval, r.packets) for r in SI.read_intervals(spark, table).collect()) == [(0, 7), (1, 1)]
