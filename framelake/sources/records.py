@@ -15,6 +15,7 @@ import re
 import sys
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +41,8 @@ CHUNK = 8 << 20
 ROLL_BYTES = 256 << 20
 PACK_BYTES = 128 << 20
 SUFFIX = ".dump"
-_EPOCH = re.compile(r"-e(\d+)\.dump$")
+_EPOCH = re.compile(r"-e(-?\d+)\.dump$")
+MOVERS = 32  #: files moved into place at a time by a commit
 
 DUMP_DDL = ("filter_id bigint, ts48 bigint, ts_ns bigint, wire_len bigint, payload binary, src_file string, "
             "src_offset bigint, corrupt string")
@@ -239,9 +241,11 @@ class Written(WriterCommitMessage):
 
 
 class DumpWriter(DataSourceArrowWriter):
-    """Tasks write below ``_staging``; the commit moves finished files into place, so failed attempts leave nothing.
+    """Tasks write below ``_staging``; the commit moves finished files into place and removes what failed attempts left.
 
-    With a ``batchId`` option a second commit of the same batch is discarded, which makes stream replays harmless.
+    With a ``batchId`` option a second commit of the same batch is discarded, and a commit that finds files of a batch
+    that was never completed removes them first, which makes stream replays harmless however they are partitioned.
+    NULLs are refused: a record has no way to say them.
     """
 
     def __init__(self, options):
@@ -265,8 +269,11 @@ class DumpWriter(DataSourceArrowWriter):
             closed.append((staged, name))
 
         for batch in iterator:
-            ids = batch.column("filter_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            times = batch.column("ts_ns").to_numpy(zero_copy_only=False).astype(np.int64)
+            for name in ("filter_id", "ts_ns", "payload"):
+                if batch.column(name).null_count:
+                    raise ValueError(f"{name} is NULL in {batch.column(name).null_count} rows; a dump record cannot hold that")
+            ids = batch.column("filter_id").cast(pa.int64()).to_numpy()
+            times = batch.column("ts_ns").cast(pa.int64()).to_numpy()
             payload = batch.column("payload").cast(pa.binary())
             epochs = times >> TS_BITS
             for epoch in np.unique(epochs):
@@ -274,7 +281,7 @@ class DumpWriter(DataSourceArrowWriter):
                 data = encode(ids[rows], times[rows], payload.take(pa.array(rows)))
                 if epoch not in open_files:
                     name = f"{self.job}-{task:06d}-{sequence:05d}-e{epoch}{SUFFIX}"
-                    staged = f"{staging}/{uuid.uuid4().hex}{SUFFIX}"
+                    staged = f"{staging}/{self.job}-{uuid.uuid4().hex}{SUFFIX}"
                     open_files[epoch] = [files.open_output_stream(staged), staged, name, 0]
                     sequence += 1
                 entry = open_files[epoch]
@@ -298,11 +305,20 @@ class DumpWriter(DataSourceArrowWriter):
             self._discard(files, messages)
             return
         files.create_dir(root, recursive=True)
-        for message in messages:
-            for staged, name in message.files:
-                files.move(staged, f"{root}/{name}")
+        if self.batch is not None:
+            self._sweep(files, root, f"{self.job}-")  # an earlier commit of this batch that did not come to its end
+        moves = [(staged, f"{root}/{name}") for message in messages for staged, name in message.files]
+        with ThreadPoolExecutor(MOVERS) as pool:
+            list(pool.map(lambda move: files.move(*move), moves))
         if self.batch is not None:
             files.open_output_stream(marker).close()
+        self._sweep(files, f"{root}/_staging", f"{self.job}-")  # attempts that were killed
+
+    @staticmethod
+    def _sweep(files, folder, prefix):
+        for found in files.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+            if found.is_file and found.base_name.startswith(prefix):
+                files.delete_file(found.path)
 
     def abort(self, messages):
         files, _ = open_fs(self.path)

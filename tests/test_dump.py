@@ -120,3 +120,30 @@ def test_stream_picks_up_files_whatever_their_names(spark, work):
     put(path, "a.dump", record(2, 5, b"abc") + b"\x00\x00\x00")
     assert drain() == [1, 2]
     assert spark.read.parquet(out).filter("corrupt LIKE 'bad magic%'").count() == 1
+
+
+def _rows(spark, rows):
+    return spark.createDataFrame(rows, "filter_id long, ts_ns long, payload binary")
+
+
+def test_nulls_are_refused_and_times_stay_exact(spark, work):
+    path, exact = work(), 1704067200123456789
+    with pytest.raises(Exception, match="is NULL in 1 rows"):
+        dump.write_dump(_rows(spark, [(1, exact, b"a"), (1, None, b"b")]).coalesce(1), path)
+    dump.write_dump(_rows(spark, [(1, exact, b"a"), (2, -5, b""), (3, -(1 << 48) - 7, b"c")]), path)
+    got = {r.filter_id: (r.ts_ns, bytes(r.payload)) for r in dump.read_dump(spark, path).collect()}
+    assert got == {1: (exact, b"a"), 2: (-5, b""), 3: (-(1 << 48) - 7, b"c")}
+
+
+def test_replay_after_half_a_commit(spark, work):
+    import os
+
+    path = work()
+    rows = _rows(spark, [(1, i, b"x") for i in range(10)])
+    dump.write_dump(rows.repartition(4), path, batch_id=3)
+    os.remove(f"{path}/_committed-b000000000003")  # as if the commit had stopped before its end
+    open(f"{path}/_staging/b000000000003-dead.dump", "wb").close()
+    dump.write_dump(rows.repartition(2), path, batch_id=3)
+    assert dump.read_dump(spark, path).count() == 10 and os.listdir(f"{path}/_staging") == []
+    dump.write_dump(rows.repartition(3), path, batch_id=3)
+    assert dump.read_dump(spark, path).count() == 10
