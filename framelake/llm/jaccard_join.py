@@ -1,8 +1,9 @@
 """Size-aware heavy-light Jaccard join of word n-gram sets, and the groups it links.
 
-Sets are cut to prefixes under one global order of shingles, rare before frequent, in which linked sets must share at
-least k shingles: small sets enumerate the 2-subsets of theirs, large sets enter inverted lists with single shingles;
-the size boundary is where enumerating would cost more than scanning lists of the mean length.  A pair of Bloom filters
+Sets are cut to prefixes under one global order of shingles, rare before frequent.  Small sets enumerate the 2-subsets of
+prefixes of which linked sets share two shingles; large sets enter inverted lists with the single shingles of longer
+prefixes, of which linked sets share a fifth of their size, and sets that share fewer with all others are out; the size
+boundary is where enumerating would cost more than scanning lists of the mean length.  A pair of Bloom filters
 drops signatures that occur once before anything is shuffled.  The sets of a list meet around the list's most shared
 set, in blocks of bounded size and of like set sizes; each block counts all its overlaps with matrix products, holds
 them to the exact threshold, and returns a spanning set of links and link counts, never the pairs.
@@ -90,25 +91,45 @@ def boundary(mean_list: float, percent: int) -> int:
     return best
 
 
-def signatures(e: np.ndarray, n: np.ndarray, bound: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) of all texts: 2-subsets of the prefix for sets up to ``bound``, single shingles of it for sets
-    that a larger one may link to."""
+def listed_overlap(n):
+    """How many prefix shingles a listed set of n counts on sharing: one, and a fifth of its size."""
+    return n // 5 + 1
+
+
+def signatures(e: np.ndarray, n: np.ndarray, bound: int,
+               percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, signature, leading) of all texts: 2-subsets of the prefix for sets up to ``bound``, single shingles of it
+    for sets that a larger one may link to.
+
+    Two sets that share ``least_overlap`` shingles share k of the first n - least_overlap + k of each, for any k; linked
+    sets share a leading signature, as those are all 2-subsets and the shingles of the prefix for k = 1.
+    """
     first = np.cumsum(n) - n
-    p1 = n - least_overlap(n, percent) + 1
+    rest = n - least_overlap(n, percent)
     listed = np.flatnonzero((n > 0) & ((n == 1) | (100 * n >= percent * (bound + 1))))
-    counts = p1[listed]
+    counts = (rest + listed_overlap(n))[listed]
     own = [np.repeat(listed, counts)]
     at = np.repeat(first[listed] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
     sig = [mix(e[at] ^ np.uint64(0x8EBC6AF09C88C6E3))]
+    lead = [at - first[own[0]] <= rest[own[0]]]
     small = np.flatnonzero((n > 1) & (n <= bound))
-    for p in np.unique(p1[small] + 1).tolist():
-        these = small[p1[small] + 1 == p]
-        left, right = np.triu_indices(min(p, 1 << 12), 1)
+    for p in np.unique(rest[small] + 2).tolist():
+        these = small[rest[small] + 2 == p]
+        left, right = np.triu_indices(p, 1)
         rows = e[first[these][:, None] + np.arange(p)]
         a, b = np.minimum(rows[:, left], rows[:, right]), np.maximum(rows[:, left], rows[:, right])
         sig.append(mix(a * np.uint64(0x9E3779B97F4A7C15) + b).ravel())
         own.append(np.repeat(these, len(left)))
-    return np.concatenate(own), np.concatenate(sig)
+        lead.append(np.ones(len(own[-1]), dtype=bool))
+    return np.concatenate(own), np.concatenate(sig), np.concatenate(lead)
+
+
+def needed(n: np.ndarray, bound: int, percent: int) -> np.ndarray:
+    """How many signatures of other sets a set must have to link to any of them at all.
+
+    A linked set has ``least_overlap`` shingles at least, and the lower count of the two holds.
+    """
+    return np.where(n > bound, listed_overlap(least_overlap(n, percent)), 1)
 
 
 def _sizes(docs: DataFrame, words: int) -> DataFrame:
@@ -166,11 +187,20 @@ def levels(counted: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(np.log2(1 + over)), 63).astype(np.uint8)
 
 
+def mean_list(counted: np.ndarray) -> float:
+    """How many other sets a shingle of a prefix is in, on the mean: what the counters of rare shingles spread more than
+    shingles of one set each would."""
+    rare = counted[levels(counted) == 0].astype(np.float64)
+    total = rare.sum()
+    return max(0.0, float(((rare - rare.mean()) ** 2 - rare.mean()).sum() / total)) if total else 0.0
+
+
 def _wanted(sizes: DataFrame, bound: int, percent: int) -> int:
     """How many signatures all texts have together."""
-    p1 = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
-    singles = F.when((F.col("n") == 1) | (100 * F.col("n") >= percent * (bound + 1)), p1).otherwise(0)
-    subsets = F.when((F.col("n") > 1) & (F.col("n") <= bound), p1 * (p1 + 1) / 2).otherwise(0)
+    rest = F.expr(f"n - ({percent} * n + 99) div 100")
+    singles = F.when((F.col("n") == 1) | (100 * F.col("n") >= percent * (bound + 1)),
+                     rest + F.floor(F.col("n") / 5) + 1).otherwise(0)
+    subsets = F.when((F.col("n") > 1) & (F.col("n") <= bound), (rest + 2) * (rest + 1) / 2).otherwise(0)
     row = sizes.filter("n > 0").agg(F.sum(singles + subsets).alias("k")).first()
     return int(row["k"] or 0)
 
@@ -189,9 +219,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     sizes = stage(_sizes(base, words), "sizes")
     counted = _frequencies(sizes)
     level = spark.sparkContext.broadcast(levels(counted))
-    entries = float(counted.sum())
-    mean_list = max(0.0, (float((counted.astype(np.float64) ** 2).sum()) - entries ** 2 / len(counted)) / max(entries, 1))
-    bound = boundary(mean_list, percent)
+    bound = boundary(mean_list(counted), percent)
     rows = sizes.filter("block IS NULL").select("id", "v", "n")
     slices = slices_for(_wanted(rows, bound, percent))
 
@@ -200,7 +228,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
             for part in chunks(batch, 0, _CHUNK):
                 e, n = shingle_sets(texts_of(part, 0), words, level.value)
                 first = _first_rows(set_hashes(e, n))
-                own, sig = signatures(e, n, bound, percent)
+                own, sig, _ = signatures(e, n, bound, percent)
                 yield pack(sig[first[own]], slices)
 
     twice = spark.sparkContext.broadcast(twice_seen(base.select("text").mapInArrow(send, PACKED), slices, twice_bits))
@@ -211,25 +239,27 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
                 e, n = shingle_sets(texts_of(part, 0), words, level.value)
                 v = set_hashes(e, n)
                 first = _first_rows(v)
-                own, sig = signatures(e, n, bound, percent)
+                own, sig, lead = signatures(e, n, bound, percent)
                 total = np.bincount(own, minlength=len(n))
                 hit = first[own]
                 hit[hit] = suspected(twice.value, sig[hit])
+                met = np.bincount(own[hit], minlength=len(n))
+                hit &= lead & (met >= needed(n, bound, percent))[own]
                 own, sig = own[hit], sig[hit]
                 order = np.argsort(own, kind="stable")
                 own, sig = own[order], sig[order]
-                texts, at, counts = np.unique(own, return_index=True, return_counts=True)
+                texts, at = np.unique(own, return_index=True)
                 begin = np.cumsum(n) - n
-                lone = (1000 * (total[texts] - counts) // np.maximum(total[texts], 1)).astype(np.int32)
+                lone = (1000 * (total[texts] - met[texts]) // np.maximum(total[texts], 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v[texts]), pa.array(n[texts], pa.int64()), pa.array(lone),
                      pa.array([x.view(np.int64) for x in np.split(sig, at[1:])] if len(texts) else [],
                               pa.list_(pa.int64())),
-                     pa.array([e[begin[t]:begin[t] + n[t]].tobytes() for t in texts.tolist()], pa.binary())],
+                     pa.array([_packed(e[begin[t]:begin[t] + n[t]]) for t in texts.tolist()], pa.binary())],
                     names=["v", "n", "lone", "sigs", "members"])
 
     involved = stage(base.select("text").mapInArrow(
-        involve, "v bigint, n bigint, lone int, sigs array<bigint>, members binary").dropDuplicates(["v"]), "involved")
+        involve, "v bigint, n bigint, lone int, sigs array<bigint>, members binary"), "involved")
     vertices = stage(rows.filter("v IS NOT NULL").groupBy("v").agg(
         F.min("id").alias("least"), F.count("*").alias("copies")), "vertices")
     found = stage(_compare(involved, vertices, percent, block_sets), "found")
@@ -253,10 +283,24 @@ def _first_rows(v: np.ndarray) -> np.ndarray:
     return out
 
 
+def _packed(e: np.ndarray) -> bytes:
+    """Six bytes of each hash."""
+    return np.ascontiguousarray(e.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), dtype=np.uint8)
+    out[:, :6] = six
+    return out.view(np.uint64).ravel()
+
+
 def _compare(involved: DataFrame, vertices: DataFrame, percent: int, block_sets: int) -> DataFrame:
     """(v, root, links): for every set and block that it was compared in, the smallest set it is connected to there,
     and how many rows it links to that no earlier list's block counts."""
-    entries = involved.select("v", "n", "lone", F.explode("sigs").alias("sig"))
+    # a set that several tasks met is here once for each of them
+    entries = stage(involved.select("v", "n", "lone", F.explode("sigs").alias("sig")).groupBy("v", "sig").agg(
+        F.first("n").alias("n"), F.first("lone").alias("lone")), "entries")
     hubs = stage(entries.groupBy("sig").agg(F.min(F.struct("lone", "v")).alias("hub"), F.count("*").alias("k"))
                  .filter("k > 1").select("sig", F.col("hub.v").alias("h")), "hubs")
     around = stage(entries.join(hubs, "sig").select("h", "v", "n").distinct(), "around")
@@ -274,13 +318,15 @@ def _compare(involved: DataFrame, vertices: DataFrame, percent: int, block_sets:
     pairs = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "h", "band", "v", "up", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     lists = around.groupBy("v").agg(F.sort_array(F.collect_set("h")).alias("lists"))
-    sets = involved.select("v", "n", "members").join(vertices.select("v", "copies"), "v").join(lists, "v")
+    compared = dealt.select("v").distinct()
+    sets = involved.select("v", "n", "members").join(compared, "v", "left_semi").dropDuplicates(["v"]).join(
+        vertices.select("v", "copies"), "v").join(lists, "v")
     full = pairs.join(sets, "v")
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         v, root, links = compare_block(
             key[0].as_py(), group.column("v").to_numpy(), group.column("n").to_numpy(),
-            [np.frombuffer(m, np.uint64) for m in group.column("members").to_pylist()],
+            [_unpacked(m) for m in group.column("members").to_pylist()],
             group.column("lists").to_pylist(), group.column("copies").to_numpy(),
             group.column("up").to_numpy() == 1, group.column("block").to_numpy(),
             key[2].as_py() != key[3].as_py(), percent)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from framelake.llm.arrays import mix
 
-BITS_PER_KEY = 16
+BITS_PER_KEY = 32
 PROBES = 4
 ONCE_BITS = 1 << 22  #: one slice's filter of hashes seen once; there are as many slices as the keys need
 TWICE_BITS = 1 << 28  #: all slices' filters of hashes seen twice, which are broadcast, together (32 MB)
@@ -19,7 +19,7 @@ PACKED = "slice int, hashes binary"  #: hashes of one slice laid end to end, eig
 
 
 def slices_for(keys: int) -> int:
-    """A power of two, so that a slice's filter has about 16 bits for each key."""
+    """A power of two, so that a slice's filter has about 32 bits for each key."""
     return 1 << max(0, (max(keys, 1) * BITS_PER_KEY // ONCE_BITS).bit_length())
 
 
