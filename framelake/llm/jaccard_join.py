@@ -30,7 +30,7 @@ COUNTER_BITS = 18  #: shingle frequencies are kept in 2^18 counters (1 MB) at an
 BLOCK_SETS = 512  #: sets and shingles of a block, which is what one task compares with another block at a time
 BLOCK_SHINGLES = 1 << 20
 _COUNTER_ROW = 1 << 10
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 
 
 def shingle_sets(texts: list[str], words: int, level: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
