@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from framelake.llm.arrays import Texts, mix
 from framelake.llm.common import chunks, keep_rows, texts_of
@@ -194,12 +195,12 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     schema = f"{id_col} {id_type}, {item_col} {item_type}, similarity double, first_word bigint, n_words bigint"
     out = None
     for shared in _indexes(benchmark, item_col, item_text_col, at_once):
-        found = docs.select(id_col, text_col).mapInArrow(_finder(shared), schema)
+        found = docs.select(id_col, text_col).mapInArrow(_finder(shared, to_arrow_type(benchmark.schema[item_col].dataType)), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _finder(shared):
+def _finder(shared, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, 1, _CHUNK):
@@ -207,7 +208,7 @@ def _finder(shared):
                 hits = index.scan(texts_of(part))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array([h[0] for h in hits], pa.int64())),
-                     pa.array([index.ids[h[1]] for h in hits]) if hits else pa.array([], pa.int64()),
+                     pa.array([index.ids[h[1]] for h in hits], item_type),
                      pa.array([h[2] for h in hits], pa.float64()), pa.array([h[3] for h in hits], pa.int64()),
                      pa.array([len(index.words[h[1]]) for h in hits], pa.int64())],
                     names=["id", "item", "similarity", "first_word", "n_words"])

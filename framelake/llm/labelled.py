@@ -12,8 +12,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column | Non
            per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, label) of at most ``per_class`` rows of either class, chosen by a hash of the id.
 
-    Null ids and labels are left out; an id with several labels counts with the smallest.  The ids chosen are at most
-    twice ``per_class`` and are broadcast to the documents.
+    Null ids and labels are left out; an id with several labels counts with the smallest, one with several texts with
+    the first in order.  The ids chosen are at most twice ``per_class`` and are broadcast to the documents.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).filter(
         "id IS NOT NULL AND label IN (0, 1)")
@@ -22,7 +22,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column | Non
     order = [F.xxhash64("id"), F.col("id")]
     chosen = known.filter("label = 0").orderBy(*order).limit(per_class).unionByName(
         known.filter("label = 1").orderBy(*order).limit(per_class))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    return found.groupBy("id", "label").agg(F.min("text").alias("text")).select("id", "text", "label")
 
 
 def folded(id_col: str, parts: int) -> Column:
