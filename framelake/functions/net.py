@@ -20,6 +20,12 @@ _IPV6 = (
 )
 
 
+# IPv4 inside IPv6 text: an address that stands for an IPv4 one, in dotted or in hexadecimal form, and dotted tails.
+_MAPPED = r"(?i)^(?:::|(?:0{1,4}:){5})ffff:"
+_DOTTED_TAIL = rf"{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}"
+_SUFFIX = r"(/0*(?:9[6-9]|1[01][0-9]|12[0-8]))?$"
+
+
 def ip_text(ip: Column) -> Column:
     """Dotted text of an IPv4 address held as an integer."""
     return F.concat_ws(".", *[F.shiftright(ip, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)])
@@ -34,7 +40,21 @@ def is_ipv4(text: Column) -> Column:
 
 
 def is_ipv6(text: Column) -> Column:
-    return F.coalesce(text.contains(":") & text.rlike(_IPV6), F.lit(False))
+    plain = F.regexp_replace(text, rf":{_DOTTED_TAIL}(?=/|$)", ":0:0")
+    return F.coalesce(text.contains(":") & plain.rlike(_IPV6), F.lit(False))
+
+
+def mapped_as_ipv4(text: Column) -> Column:
+    """IPv4-mapped IPv6 text (``::ffff:10.1.2.3``, ``::ffff:a01:203``, ``/104`` and the like) as IPv4 text; other text as it is."""
+    tail = F.regexp_replace(text, _MAPPED, "")
+    dotted, hexed = rf"^({_DOTTED_TAIL}){_SUFFIX}", rf"^({_GROUP}):({_GROUP}){_SUFFIX}"
+    number = (F.conv(F.regexp_extract(tail, hexed, 1), 16, 10).try_cast("bigint") * F.lit(65536)
+              + F.conv(F.regexp_extract(tail, hexed, 2), 16, 10).try_cast("bigint"))
+    bits = F.regexp_extract(tail, r"/0*([0-9]+)$", 1).try_cast("int")
+    length = F.when(bits.isNotNull(), F.concat(F.lit("/"), (bits - 96).cast("string"))).otherwise("")
+    mapped = text.rlike(_MAPPED)
+    return (F.when(mapped & tail.rlike(dotted), F.concat(F.regexp_extract(tail, dotted, 1), length))
+            .when(mapped & tail.rlike(hexed), F.concat(ip_text(number), length)).otherwise(text))
 
 
 def range_size(length: Column) -> Column:

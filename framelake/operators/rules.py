@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framelake.functions.net import (
-    PROTOCOL_NUMBERS, ipv4_range, is_any, is_ipv4, is_ipv6, protocol_number, range_size,
+    PROTOCOL_NUMBERS, ipv4_range, is_any, is_ipv4, is_ipv6, mapped_as_ipv4, protocol_number, range_size,
 )
 from framelake.operators.blocked import running
 from framelake.schemas import RULE_REQUEST
@@ -65,7 +65,7 @@ def compile_rules(specs: DataFrame) -> DataFrame:
         checks.insert(0, (F.col("malformed"), "malformed"))
     kinds, ranges = {}, {}
     for side in ("src", "dst"):
-        text = F.col(f"{side}_ip")
+        text = mapped_as_ipv4(F.col(f"{side}_ip"))
         four, six = F.col(f"_{side}_four"), F.col(f"_{side}_six")
         kinds |= {f"_{side}_four": is_ipv4(text), f"_{side}_six": is_ipv6(text)}
         low, length = ipv4_range(text)

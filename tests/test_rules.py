@@ -115,3 +115,18 @@ def test_rules_of_files_are_numbered_by_line(spark, work):
     got = sorted((r.rule_id, r.line_no, r.dst_port) for r in usable.collect())
     want = [(n, int(line.split(":")[2])) for n, line in enumerate(lines, 1) if line != "bad"]
     assert got == [(i, n, port) for i, (n, port) in enumerate(want, 1)]
+
+
+def test_ipv4_inside_ipv6_text(spark):
+    texts = {"::ffff:10.1.2.3": (167838211, 32), "::FFFF:a01:203": (167838211, 32), "0:0:0:0:0:ffff:10.1.2.3/104": (167772160, 8),
+             "::ffff:10.1.2.3/95": None, "64:ff9b::1.2.3.4": None, "64:ff9b::1.2.3.4/96": None, "::1.2.3.4": None,
+             "::ffff:10.1.2.300": "bad", "1.2.3.4::": "bad", "::ffff:10.1.2.3/129": "bad"}
+    specs = spark.createDataFrame([(t, "", 0, 0, "") for t in texts], "src_ip string, dst_ip string, src_port long, dst_port long, protocol string")
+    got = R.compile_rules(specs.withColumn("text", specs.src_ip)).collect()
+    for r in got:
+        want = texts[r.text]
+        if want == "bad":
+            assert r.reason == "invalid src_ip", r.text
+        else:
+            assert r.reason is None and r.never_matches == (want is None), r.text
+            assert want is None or (r.src_lo, r.src_len) == want, r.text
