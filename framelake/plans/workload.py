@@ -84,7 +84,7 @@ def frames(source: DataFrame, capture: str = "event_id") -> DataFrame:
     proto = F.when(kind.isin("click", "view"), 6).when(kind == "error", 1).otherwise(17)
     options = every(79)
     digits = F.concat(
-        F.lit("ffffffffffff020000000001"),
+        F.lit("02a1b2c3d4e502b7c6d5e4f3"),
         F.when(every(97), "0806").otherwise("0800"),
         F.when(every(89), "6").otherwise("4"),
         F.when(options, "6").otherwise("5"),

@@ -9,7 +9,7 @@ def ip(text):
 
 
 def frame(src="10.1.2.3", dst="8.8.8.8", sport=1234, dport=443, proto=6, size=42, version=4, ihl=5, ethertype=0x0800):
-    head = b"\xff" * 6 + b"\x02\x00\x00\x00\x00\x01" + struct.pack("!H", ethertype)
+    head = bytes.fromhex("02a1b2c3d4e5 02b7c6d5e4f3") + struct.pack("!H", ethertype)
     net = struct.pack("!BBHHHBBHII", version << 4 | ihl, 0, 0, 0, 0, 64, proto, 0, ip(src), ip(dst))
     body = head + net + b"\x01" * (4 * max(ihl - 5, 0)) + struct.pack("!HH", sport, dport)
     return (body + b"\x00" * max(size - len(body), 0))[:size]

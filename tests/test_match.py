@@ -12,9 +12,9 @@ TCP, UDP = frame(), frame(proto=17)
 
 CASES = [
     (TCP, {}, True), (TCP, {"protocol": "tcp"}, True), (UDP, {"protocol": "tcp"}, False),
-    (frame("10.1.2.3"), {"src_ip": "10.0.0.0/8"}, True), (frame("192.168.1.1"), {"src_ip": "10.0.0.0/8"}, False),
-    (frame(dport=443), {"dst_port": 443}, True), (frame(dport=80), {"dst_port": 443}, False),
-    (frame(dst="10.9.8.7"), {"dst_ip": "10.9.8.7"}, True), (frame(dst="10.9.8.7"), {"dst_ip": "10.9.8.6"}, False),
+    (frame("172.20.4.9"), {"src_ip": "172.16.0.0/12"}, True), (frame("198.51.100.6"), {"src_ip": "172.16.0.0/12"}, False),
+    (frame(dport=8443), {"dst_port": 8443}, True), (frame(dport=9090), {"dst_port": 8443}, False),
+    (frame(dst="203.0.113.77"), {"dst_ip": "203.0.113.77"}, True), (frame(dst="203.0.113.77"), {"dst_ip": "203.0.113.76"}, False),
     (frame(sport=53), {"src_port": 53}, True), (frame(sport=54), {"src_port": 53}, False),
     (frame(proto=1, dport=443), {"dst_port": 443}, False), (frame(proto=1), {"protocol": "icmp"}, True),
     (TCP, {"src_ip": "0.0.0.0/0"}, True), (TCP, {"src_ip": "2001:db8::/32"}, False),
@@ -86,12 +86,12 @@ def test_no_rules(spark):
 
 @pytest.mark.parametrize("specs,keep", [
     ([], [True, True, True, True]),
-    ([{"protocol": "tcp", "src_ip": "10.0.0.0/8", "dst_port": 443}], [True, False, False, False]),
-    ([{"protocol": "tcp", "dst_port": 443}, {"protocol": "udp", "dst_port": 53}], [True, True, True, False]),
+    ([{"protocol": "tcp", "src_ip": "172.16.0.0/12", "dst_port": 8443}], [True, False, False, False]),
+    ([{"protocol": "tcp", "dst_port": 8443}, {"protocol": "udp", "dst_port": 514}], [True, True, True, False]),
 ])
 def test_union_prefilter_cases(spark, specs, keep):
-    frames = [frame("10.1.2.3", dport=443), frame("192.168.1.1", dport=443), frame("1.2.3.4", "5.6.7.8", 1000, 53, 17),
-              frame("1.2.3.4", "5.6.7.8", 1000, 80)]
+    frames = [frame("172.20.4.9", dport=8443), frame("198.51.100.6", dport=8443),
+              frame("192.0.2.11", "203.0.113.77", 31001, 514, 17), frame("192.0.2.11", "203.0.113.77", 31001, 9090)]
     rules = rules_df(spark, specs or [{"protocol": "bad"}])
     got = {r.capture_id for r in prefilter.prefilter(decode(frames_df(spark, frames)), rules).collect()}
     assert got == {str(i) for i, k in enumerate(keep) if k}
