@@ -19,10 +19,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm.common import chunks, texts_of
+from framelake.llm.common import chunks, texts_of, trimmed
 
-CACHED = 300_000  #: pieces and words whose encodings a task keeps; beyond it starts afresh
-_CHUNK = 8 << 20
+CACHED = 150_000  #: pieces and words whose encodings a task keeps; beyond it starts afresh
+_CHUNK = 1 << 20
 
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _WHITE = regex.compile(r"\p{White_Space}+")
@@ -189,6 +189,11 @@ class Coder:
         self.words: dict[str, tuple[int, str, str]] = {}
         self.pieces: dict[str, tuple[int, str, str]] = {}
 
+    def forget(self) -> None:
+        """Start afresh."""
+        self.pieces.clear()
+        self.words.clear()
+
     def learn(self, wanted: list[str]) -> None:
         """Encode these new pieces."""
         if len(self.pieces) > self.cached:
@@ -231,7 +236,7 @@ _CODERS: dict[str, Coder] = {}
 
 
 def coder_of(source: str) -> Coder:
-    """The coder of this Python worker for a vocabulary; later tasks of the worker find the words met before."""
+    """The coder of this Python worker for a vocabulary, loaded once; tasks start without words and leave none behind."""
     key = hashlib.sha256(source.encode("utf-8")).hexdigest()
     if key not in _CODERS:
         _CODERS.clear()
@@ -247,7 +252,7 @@ def _vocabulary_file(spark: SparkSession, path: str):
 def _lists(counts: list[int], joined: list[str]) -> pa.Array:
     """Lists of ids from ids joined by spaces."""
     ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-    values = np.array(" ".join([j for j in joined if j]).split(), dtype=np.int32)
+    values = np.fromstring(" ".join([j for j in joined if j]), dtype=np.int32, sep=" ")  # numbers, no string objects
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
@@ -264,6 +269,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(shared.value)
+        coder.forget()
         digest = lambda t: hashlib.sha256(t.encode("utf-8")).hexdigest()
         for batch in batches:
             for part in chunks(batch, 1, _CHUNK):
@@ -276,11 +282,12 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
                     [part.column(0), pa.array(counts, pa.int64()),
                      pa.array(first, pa.string()) if digests else _lists(counts, first), pa.array(second, pa.string())],
                     names=["id", "n_tokens", "ids", "decoded"])
+        coder.forget()
 
     from pyspark.sql import functions as F
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, n_tokens bigint, ids {'string' if digests else 'array<int>'}, decoded string")
+        trimmed(run), f"id {kind}, n_tokens bigint, ids {'string' if digests else 'array<int>'}, decoded string")
     if digests:
         return out.toDF(id_col, "n_tokens", "ids_sha256", "decoded_sha256")
     return out.toDF(id_col, "n_tokens", "ids", "decoded")
@@ -300,4 +307,4 @@ def decode(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids
     from pyspark.sql import functions as F
 
     return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(
-        run, f"id {kind}, decoded string").withColumnRenamed("id", id_col)
+        trimmed(run), f"id {kind}, decoded string").withColumnRenamed("id", id_col)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,23 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 4 << 20  #: texts handled at a time inside a task; one longer text makes a chunk of its own
+CHUNK_BYTES = 2 << 20  #: texts handled at a time inside a task; one longer text makes a chunk of its own
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, giving back to the system what it has freed when a task ends: workers live on, and next tasks may need
+    other amounts of memory for other things."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+            if trim is not None:
+                trim(0)
+
+    return task
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +79,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str,
     kind = StructType([StructField(id_col, df.schema[id_col].dataType), *_parse_datatype_string(schema).fields])
     arrow = to_arrow_schema(kind)
     target = list(arrow)
-    return df.select(id_col, text_col).mapInArrow(run, kind)
+    return df.select(id_col, text_col).mapInArrow(trimmed(run), kind)
 
 
 def keep_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[str]], np.ndarray]],
@@ -76,7 +93,7 @@ def keep_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[st
             for part in chunks(batch, place, limit):
                 yield part.filter(pa.array(np.asarray(decide(texts_of(part, place)), dtype=bool)))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(trimmed(run), df.schema)
 
 
 def concat_utf8(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ SIMILARITY = 0.8
 RADIUS = 20  #: at a similarity of 0.8 fingerprints differ in 9.7 bits on the mean, with a deviation of 2.9
 BLOCKS = 8
 ITEMS_AT_ONCE = 10_000  #: items are broadcast in blocks of about so many; each block is one pass over the documents
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 _FILTER_BITS = 22
 #: a block's value with none, one or two of its eight bits turned
 _NEAR = [sum(1 << b for b in turned) for k in range(RADIUS // BLOCKS + 1) for turned in combinations(range(8), k)]

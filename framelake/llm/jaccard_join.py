@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.arrays import Texts, mix, owner
-from framelake.llm.common import chunks, texts_of
+from framelake.llm.common import chunks, texts_of, trimmed
 from framelake.llm.components import components
 from framelake.llm.twice_filter import PACKED, TWICE_BITS, pack, slices_for, suspected, twice_seen
 from framelake.session import stage
@@ -155,7 +155,7 @@ def _sizes(docs: DataFrame, words: int) -> DataFrame:
              pa.array(met, pa.int32()), pa.array([blocks[i].tobytes() for i in met], pa.binary())],
             names=["id", "v", "n", "block", "counts"])
 
-    return docs.mapInArrow(run, f"id {kind}, v bigint, n bigint, block int, counts binary")
+    return docs.mapInArrow(trimmed(run), f"id {kind}, v bigint, n bigint, block int, counts binary")
 
 
 def _frequencies(sizes: DataFrame) -> np.ndarray:
@@ -173,7 +173,7 @@ def _frequencies(sizes: DataFrame) -> np.ndarray:
             names=["block", "counts"])
 
     rows = sizes.filter("block IS NOT NULL").select("block", "counts").repartition("block").mapInArrow(
-        run, "block int, counts binary").toArrow()
+        trimmed(run), "block int, counts binary").toArrow()
     out = np.zeros((1 << COUNTER_BITS) // _COUNTER_ROW * _COUNTER_ROW, dtype=np.int64).reshape(-1, _COUNTER_ROW)
     for k, raw in zip(rows.column("block").to_pylist(), rows.column("counts").to_pylist(), strict=True):
         out[k] = np.frombuffer(raw, np.int64)
@@ -231,7 +231,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
                 own, sig, _ = signatures(e, n, bound, percent)
                 yield pack(sig[first[own]], slices)
 
-    twice = spark.sparkContext.broadcast(twice_seen(base.select("text").mapInArrow(send, PACKED), slices, twice_bits))
+    twice = spark.sparkContext.broadcast(twice_seen(base.select("text").mapInArrow(trimmed(send), PACKED), slices, twice_bits))
 
     def involve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +259,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
                     names=["v", "n", "lone", "sigs", "members"])
 
     involved = stage(base.select("text").mapInArrow(
-        involve, "v bigint, n bigint, lone int, sigs array<bigint>, members binary"), "involved")
+        trimmed(involve), "v bigint, n bigint, lone int, sigs array<bigint>, members binary"), "involved")
     vertices = stage(rows.filter("v IS NOT NULL").groupBy("v").agg(
         F.min("id").alias("least"), F.count("*").alias("copies")), "vertices")
     found = stage(_compare(involved, vertices, percent, block_sets), "found")

@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.arrays import Texts, mix, owner
-from framelake.llm.common import chunks, texts_of
+from framelake.llm.common import chunks, texts_of, trimmed
 from framelake.llm.twice_filter import PACKED, TWICE_BITS, pack, slices_for, suspected, twice_seen
 from framelake.session import stage
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 BROADCAST_DECISIONS = 2_000_000  #: up to so many keys (48 MB) decisions are broadcast, beyond they are joined
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 
 
 def keys(texts: list[str], min_chars: int = MIN_CHARS) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +61,7 @@ def line_hashes(docs: DataFrame, text_col: str, min_chars: int, slices: int) ->
                 hashed = laid.hashes(s, e)
                 yield pack(hashed[_distinct(own, hashed)], slices)
 
-    return docs.select(text_col).mapInArrow(run, PACKED)
+    return docs.select(text_col).mapInArrow(trimmed(run), PACKED)
 
 
 def suspects(docs: DataFrame, bitmaps: np.ndarray, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -81,7 +81,7 @@ def suspects(docs: DataFrame, bitmaps: np.ndarray, id_col: str, text_col: str, m
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found, pa.binary()), part.column(0).take(pa.array(own[at]))], names=["key", "id"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"key binary, id {kind}")
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), f"key binary, id {kind}")
 
 
 def decide(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -170,7 +170,7 @@ def _drop_by_broadcast(base: DataFrame, decided: DataFrame, id_col: str, text_co
                         k += 1
                 yield _rebuilt(part, place, *_outputs(texts, own[drop], number[drop]), names)
 
-    return base.mapInArrow(run, _schema(base))
+    return base.mapInArrow(trimmed(run), _schema(base))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,4 +203,4 @@ def _drop_by_join(base: DataFrame, bitmaps: np.ndarray, decided: DataFrame, id_c
                 drop = [i for i in range(len(own)) if raw[s[i]:e[i]] in gone[own[i]]]
                 yield _rebuilt(part, place, *_outputs(texts, own[drop], number[drop]), names)
 
-    return joined.mapInArrow(run, _schema(base))
+    return joined.mapInArrow(trimmed(run), _schema(base))

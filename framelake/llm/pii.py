@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import chunks, texts_of
+from framelake.llm.common import chunks, texts_of, trimmed
 
 KINDS = ("email", "ip", "card", "phone", "iban")  #: in the order used where spans start together
 CONTEXT_CHARS = 48  #: how far around a span context words count
@@ -112,7 +112,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        _scan, f"id {kind}, spans array<struct<start:bigint,kind:int,`end`:bigint,score:double>>"
+        trimmed(_scan), f"id {kind}, spans array<struct<start:bigint,kind:int,`end`:bigint,score:double>>"
     ).withColumnRenamed("id", id_col)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.arrays import Texts, mix, owner, sums
-from framelake.llm.common import chunks, keep_rows, texts_of
+from framelake.llm.common import chunks, keep_rows, texts_of, trimmed
 from framelake.llm.labelled import SAMPLE_PER_CLASS, sample
 
 SLOT_BITS = 13  #: word vectors are kept for 2^13 slots, at any size of the vocabulary
@@ -82,7 +82,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             [pa.array(met, pa.int32()), *[pa.array(table[met, i], pa.int64()) for i in range(DIMS)]],
             names=["slot", *columns])
 
-    parts = docs.select(text_col).mapInArrow(run, "slot int, " + ", ".join(f"{c} bigint" for c in columns))
+    parts = docs.select(text_col).mapInArrow(trimmed(run), "slot int, " + ", ".join(f"{c} bigint" for c in columns))
     rows = parts.groupBy("slot").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
     table = np.zeros((_SLOTS, DIMS))
     if rows.num_rows:
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, per_c
 
     picked = sample(docs, labels, "quality", allowed, per_class)
     rows = picked.select("text", "label", F.xxhash64("id").alias("id")).mapInArrow(
-        run, "label int, id bigint, x binary").toArrow().sort_by("id")
+        trimmed(run), "label int, id bigint, x binary").toArrow().sort_by("id")
     y = np.array(rows.column("label").to_pylist(), dtype=np.float64)
     width = 2 * DIMS + 3
     if len(y) < 8 or y.min() == y.max():
@@ -209,7 +209,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     [part.column(0), pa.array(shared.value.probability(texts_of(part)))], names=["id", "score"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+        trimmed(run), f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, model: Model, keep_at: float = 0.5, text_col: str = "text") -> DataFrame:

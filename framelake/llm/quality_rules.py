@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.arrays import Texts, mix, owner, sums
-from framelake.llm.common import chunks, texts_of
+from framelake.llm.common import chunks, texts_of, trimmed
 from framelake.llm.labelled import SAMPLE_PER_CLASS, sample
 
 BITS = 11  #: each of the two feature groups has 2^BITS hashed weights
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
                     [part.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], names=["label", "x"])
 
     rows = sample(docs, labels, "quality", per_class=per_class).select("text", "label", "id").orderBy("id").select(
-        "text", "label").mapInArrow(run, "label int, x binary").toArrow()
+        "text", "label").mapInArrow(trimmed(run), "label int, x binary").toArrow()
     y = np.array(rows.column("label").to_pylist(), dtype=np.float64)
     if len(y) < 8 or y.min() == y.max():
         return Model(np.zeros((2, _SLOTS), np.float32), 4.0, 1.0, 0.0)
@@ -232,5 +232,5 @@ def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                      pa.array(~failed & (p >= keep_at))], names=["id", *names, "base_failed", "probability", "kept"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, " + ", ".join(f"{n} bigint" for n in names)
+        trimmed(run), f"id {kind}, " + ", ".join(f"{n} bigint" for n in names)
         + ", base_failed boolean, probability double, kept boolean").withColumnRenamed("id", id_col)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import chunks, texts_of
+from framelake.llm.common import chunks, texts_of, trimmed
 
 #: Order of kinds where spans start together: base kinds first, then linked ones.
 KINDS = ("assign", "access", "hex", "linked_secret", "linked_endpoint", "linked_id")
@@ -91,7 +91,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        _scan, f"id {kind}, base {_SPANS}, parts {_PARTS}")
+        trimmed(_scan), f"id {kind}, base {_SPANS}, parts {_PARTS}")
 
 
 def link(parts: DataFrame, key: str = "row", scope_chars: int = SCOPE_CHARS, scope_lines: int = SCOPE_LINES) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from framelake.llm.arrays import mix
+from framelake.llm.common import trimmed
 
 BITS_PER_KEY = 32
 PROBES = 4
@@ -81,7 +82,7 @@ def twice_seen(packed: DataFrame, slices: int, twice_bits: int = TWICE_BITS) ->
             [pa.array(list(twice), pa.int32()), pa.array([b.tobytes() for b in twice.values()], pa.binary())],
             names=["slice", "bits"])
 
-    rows = packed.repartition(slices, "slice").mapInArrow(run, "slice int, bits binary").toArrow()
+    rows = packed.repartition(slices, "slice").mapInArrow(trimmed(run), "slice int, bits binary").toArrow()
     out = np.zeros((slices, size // 8), dtype=np.uint8)
     for k, b in zip(rows.column("slice").to_pylist(), rows.column("bits").to_pylist(), strict=True):
         out[k] |= np.frombuffer(b, np.uint8)
