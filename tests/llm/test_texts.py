@@ -147,6 +147,33 @@ def test_held_out_languages(spark):
     assert all(r["lang_pred"] == truth[r["doc_id"]] and r["score"] > 0.5 for r in got if r["doc_id"] % 2)
 
 
+def test_no_trigram_is_lost_or_taken_for_another():
+    import pyarrow as pa
+
+    draw = np.random.default_rng(4)
+    code = np.unique(draw.integers(0, 1 << 63, 200_000).astype(np.uint64))
+    counts = {"lang": ["x"] * len(code), "code": code.astype(np.int64), "n": np.ones(len(code), np.int64)}
+    scorer = language_id.Scorer(language_id.build(pa.table(counts)))
+    assert len(scorer.model.tri[0]) == len(code)
+    assert sorted(scorer.place["tri"][language_id._slot(code)].tolist()) == list(range(len(code)))
+    never = np.setdiff1d(draw.integers(0, 1 << 63, 50_000).astype(np.uint64), code)
+    assert (scorer.place["tri"][language_id._slot(never)] == -1).all()
+
+
+def test_model_in_tables_is_the_model_in_memory(spark):
+    draw = random.Random(7)
+    word = lambda low: "".join(chr(low + draw.randrange(300)) for _ in range(draw.randint(1, 5)))
+    rows = [(i % 90, " ".join(word(low) for _ in range(draw.randint(0, 30))), lang)
+            for i in range(100) for lang, low in [draw.choice([("aa", 0x4E00), ("bb", 0x4E80), (None, 0xAC00)])]]
+    docs = spark.createDataFrame([*rows, (None, None, "aa"), (200, "...", "bb")], "doc_id bigint, text string, lang string")
+    held, joined = (language_id.fit(docs, allowed=docs["doc_id"] % 3 != 0, **how) for how in ({}, {"cells": 500}))
+    assert held.rest is None and joined.rest is not None and len(joined.tri[0]) == 250
+    assert held.sharpness == joined.sharpness and np.allclose(held.limits, joined.limits, rtol=1e-4)
+    plain = lambda m: sorted(([*r] for r in language_id.identify(docs, m).collect()), key=str)
+    for a, b in zip(plain(held), plain(joined), strict=True):
+        assert [a[0], a[1], a[4]] == [b[0], b[1], b[4]] and np.allclose(a[2:4], b[2:4], rtol=1e-3), (a, b)
+
+
 # ---- deduplication -------------------------------------------------------------------------------------------------
 
 def plain_lines(rows, least=40, docs=5):
