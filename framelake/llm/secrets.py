@@ -2,8 +2,9 @@
 
 Workers propose parts of credentials in each whole text: strong ones (assignments, access identifiers, long hex) are
 reported as they are; weak ones (short assignments, key-like words, endpoints) only when a complementary part lies in
-the same scope.  Parts are linked in Spark by an interval join: the parts of a document are put into position buckets
-as wide as the scope, meet their own and the next bucket, and are held to the exact distance and line scope.
+the same scope.  Parts are linked in Spark by an interval join: the starts and ends of a document's parts are put into
+position buckets as wide as the scope, a weak part's end meets the starts in its own and the next bucket and its start
+the ends in its own and the last, and both are held to the exact gap and line scope.  Parts have any length.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from framelake.llm.common import chunks, texts_of, trimmed
 
 #: Order of kinds where spans start together: base kinds first, then linked ones.
 KINDS = ("assign", "access", "hex", "linked_secret", "linked_endpoint", "linked_id")
-SCOPE_CHARS = 400  #: parts of one credential lie at most this far apart
+SCOPE_CHARS = 400  #: from the end of one part of a credential to the start of the other at most
 SCOPE_LINES = 6  #: and at most so many line ends
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -27,9 +28,9 @@ _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 #: weak parts: a name of an account beside a value, a 40-character key word, an endpoint
-_WEAK_ID = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{4,64})""", re.A | re.I)
+_WEAK_ID = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{4,})""", re.A | re.I)
 _WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
-_ENDPOINT = re.compile(r"\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{3,200}", re.I)
+_ENDPOINT = re.compile(r"\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{3,}", re.I)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -97,18 +98,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def link(parts: DataFrame, key: str = "row", scope_chars: int = SCOPE_CHARS, scope_lines: int = SCOPE_LINES) -> DataFrame:
     """Weak parts with a complementary part (another role) in scope: (key, start, kind, end), once each.
 
-    ``parts`` has key, role, kind, start, end, line.  Interval join on position buckets: a part reaches its own bucket
-    and its neighbours, so the pairs tried per part are bounded by what fits into three scopes of text.
+    ``parts`` has key, role, kind, start, end, line.  Interval join on position buckets: each part is filed under its
+    start and under its end, whatever its length, and a weak part looks for what starts within the scope after its end
+    and what ends within the scope before its start, in two buckets each.
     """
-    side = parts.withColumn("bucket", F.floor(F.col("start") / scope_chars))
-    weak = side.filter("kind >= 3").withColumn(
-        "bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-    other = side.select(F.col(key).alias("o_key"), F.col("bucket").alias("o_bucket"), F.col("role").alias("o_role"),
-                        F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("line").alias("o_line"))
-    near = ((F.col(key) == F.col("o_key")) & (F.col("bucket") == F.col("o_bucket")) & (F.col("role") != F.col("o_role"))
-            & (F.abs(F.col("start") - F.col("o_start")) <= scope_chars)
-            & (F.abs(F.col("line") - F.col("o_line")) <= scope_lines)
-            & ((F.col("end") <= F.col("o_start")) | (F.col("o_end") <= F.col("start"))))
+    bucket = lambda place: F.floor(F.col(place) / scope_chars)
+    at = lambda side, where: F.struct(F.lit(side).alias("side"), where.alias("bucket"))
+    weak = parts.filter("kind >= 3").withColumn("at", F.explode(F.array(
+        at(0, bucket("end")), at(0, bucket("end") + 1), at(1, bucket("start") - 1), at(1, bucket("start")))))
+    other = parts.select(F.col(key).alias("o_key"), F.col("role").alias("o_role"), F.col("start").alias("o_start"),
+                         F.col("end").alias("o_end"), F.col("line").alias("o_line"),
+                         F.explode(F.array(at(0, bucket("start")), at(1, bucket("end")))).alias("o_at"))
+    gap = F.when(F.col("at.side") == 0, F.col("o_start") - F.col("end")).otherwise(F.col("start") - F.col("o_end"))
+    near = ((F.col(key) == F.col("o_key")) & (F.col("at.side") == F.col("o_at.side"))
+            & (F.col("at.bucket") == F.col("o_at.bucket")) & (F.col("role") != F.col("o_role"))
+            & gap.between(0, scope_chars) & (F.abs(F.col("line") - F.col("o_line")) <= scope_lines))
     return weak.join(other, near, "left_semi").select(key, "start", "kind", "end").distinct()
 
 

@@ -74,6 +74,18 @@ def test_weak_parts_need_a_complement(spark):
     assert kinds == {0: ["linked_endpoint", "linked_id"], 1: [], 2: [], 3: ["linked_endpoint", "linked_secret"]}
 
 
+def test_weak_parts_of_any_length(spark):
+    long = "https://store.example.com/a?" + "x" * 900 + "&signature=abc"
+    name = "account: " + "n" * 700
+    hexed = "0123456789abcdef" * 60
+    texts = [f"user = alice {long} end", f"{name} {hexed}", f"{hexed}{' ' * 400}user = robert", f"{hexed}{' ' * 401}user = robert",
+             f"user = robert{' ' * 400}{hexed}", f"user = robert{' ' * 401}{hexed}", f"{long}\nlogin: carol"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: sorted(texts[r["doc_id"]][s["start"]:s["end"]] for s in r["linked"]) for r in secrets.find(docs).collect()}
+    assert got == {0: sorted([long, "user = alice"]), 1: [name], 2: ["user = robert"], 3: [], 4: ["user = robert"], 5: [],
+                   6: sorted([long, "login: carol"])}
+
+
 def plain_luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):
