@@ -32,6 +32,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: characters of an account number by country
+_IBAN_LENGTH = {c: n for n, several in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in several.split()}
+_DIGITS = {c: i for i, c in enumerate("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")}
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -59,10 +66,32 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def mod97(iban: str) -> bool:
-    """Country and check digits moved behind, letters as 10 to 35, remainder 1."""
-    turned = iban[4:] + iban[:4]
-    return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Where a country, check digits and groups begin: up to the end of a group that makes a valid number.
+
+    The pattern also takes upper-case words and numbers behind it, so every end of a group counts: the country's length
+    first, then the others from the longest.  What begins inside a rejected stretch is tried for itself.
+    """
+    out, found = [], _IBAN.search(text)
+    while found:
+        start, stop = found.span()
+        usual, end, size, rest = _IBAN_LENGTH.get(text[start:start + 2]), None, 4, 0
+        # mod-97: country and check digits moved behind, letters as 10 to 35, remainder 1
+        head = _DIGITS[text[start]] * 10000 + _DIGITS[text[start + 1]] * 100 + int(text[start + 2:start + 4])
+        for at in range(start + 4, stop):
+            if text[at] == " ":
+                continue
+            value = _DIGITS[text[at]]
+            rest = (rest * (100 if value > 9 else 10) + value) % 97
+            size += 1
+            if size >= 15 and (at + 1 == stop or text[at + 1] == " ") and (rest * 1_000_000 + head) % 97 == 1:
+                end = at + 1
+                if size == usual:
+                    break
+        if end:
+            out.append((start, end))
+        found = _IBAN.search(text, end or start + 1)
+    return out
 
 
 def _small(part: str) -> bool:
@@ -81,8 +110,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
         if "+" in text:
             out += [(m.start(), 3, m.end()) for m in _PHONE.finditer(text)
                     if 9 <= len(_NOT_DIGIT.sub("", m[0])) <= 15]
-        out += [(m.start(), 4, m.end()) for m in _IBAN.finditer(text)
-                if 15 <= len(c := m[0].replace(" ", "")) <= 34 and mod97(c)]
+        out += [(s, 4, e) for s, e in ibans(text)]
     out.sort()
     return out
 

@@ -114,3 +114,15 @@ def test_iban_and_context():
     assert [text[s:e] for s, _, e in found] == ["GB82 WEST 1234 5698 7654 32"]
     assert pii.score(text, "iban", found[0][0], found[0][2]) == 1.0
     assert pii.score("version 1.2.3.4", "ip", 8, 15) == 0.3
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", ["DE89 3704 0044 0532 0130 00"]),
+    ("DE89370400440532013000 EUR 20", ["DE89370400440532013000"]),
+    ("GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00", ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"]),
+    ("FILE AB12 2024 DE89 3704 0044 0532 0130 00 OK", ["DE89 3704 0044 0532 0130 00"]),
+    ("NO93 8601 1117 947 NOK 500", ["NO93 8601 1117 947"]),
+    ("DE89 3704 0044 0532 0130 01 BIC COBADEFFXXX", []),
+])
+def test_iban_before_other_words(text, want):
+    assert [text[s:e] for s, kind, e in pii.spans(text) if kind == 4] == want
