@@ -34,11 +34,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates, and all documents without an id."""
-    linked = jaccard_join.link(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
-    extra = stage(linked.filter("doc_id <> component_id").select("doc_id").distinct(), "extra")
-    extra = F.broadcast(extra) if extra.count() <= BROADCAST_IDS else extra
-    return docs.join(extra, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each group of near duplicates, that with the smallest id (null comes last), and all without words.
+
+    Rows are told apart by a 64-bit hash of id and text, whatever ids repeat; of rows equal in both one stays.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__key").alias("key"))
+    linked = jaccard_join.link(keyed.select(row.alias("doc_id"), "text"), words=NEAR_WORDS, percent=NEAR_PERCENT)
+    decided = stage(linked.filter("n_links > 0").groupBy(F.col("doc_id.key").alias("__key")).agg(
+        F.max(F.expr("doc_id.key <> component_id.key")).alias("extra"), F.count("*").alias("rows"),
+    ).filter("extra OR rows > 1"), "extra")
+    taken = decided.select("__key")
+    taken = F.broadcast(taken) if decided.count() <= BROADCAST_IDS else taken
+    kept = keyed.join(taken, "__key", "left_anti")
+    repeated = decided.filter("NOT extra").select("__key")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(keyed.join(repeated, "__key", "left_semi").dropDuplicates(["__key"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from framelake.llm.arrays import Texts, mix, owner
 from framelake.llm.common import chunks, texts_of, trimmed
@@ -135,10 +136,11 @@ def needed(n: np.ndarray, bound: int, percent: int) -> np.ndarray:
 def _sizes(docs: DataFrame, words: int) -> DataFrame:
     """Rows (id, v, n) of all texts, and rows (block, counts) with each task's counters."""
     kind = docs.dtypes[0][1]
+    empty_type = to_arrow_type(docs.schema[0].dataType)  # of a task without rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
-        id_type = pa.int64()
+        id_type = empty_type
         for batch in batches:
             id_type = batch.schema.field(0).type
             for part in chunks(batch, 1, _CHUNK):

@@ -58,3 +58,22 @@ def test_defined_results_for_empty_texts(odd, labels):
     assert langs[6]["lang_pred"] == "fr"
     coded = {r["doc_id"]: r for r in bpe.encode(odd, tokenizer_path()).collect()}
     assert all((coded[i]["n_tokens"], coded[i]["ids"], coded[i]["decoded"]) == (0, [], "") for i in (0, 1, 2))
+
+
+def test_near_duplicates_by_row(spark, odd):
+    import corpus_pipeline
+
+    copy, near, own = (" ".join(f"{w}{i}" for i in range(60)) for w in ("a", "a", "b"))
+    near = near.replace("a59", "z")
+    lone, twin = " ".join(f"c{i}" for i in range(20)), " ".join(f"d{i}" for i in range(20))
+    rows = [(1, copy), (2, near), (2, own), (3, lone), (3, lone), (None, twin), (None, twin), (None, twin + " more"),
+            (None, near), (4, ""), (4, ""), (5, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, key string").repartition(16)
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert out.columns == docs.columns and len([1 for i, t in got if i is None and t in (twin, twin + " more")]) == 1
+    assert [r for r in got if r[0] is not None] == sorted(
+        [(1, copy), (2, own), (3, lone), (4, ""), (4, ""), (5, None)], key=str) and len(got) == 7
+    left = sorted((r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, odd, "").collect()), key=str)
+    assert left == sorted([0, 1, 2, None, 3, 5, 6, 7, 8], key=str)
+    assert corpus_pipeline.near_duplicates(spark, odd.limit(0), "").count() == 0
