@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, pii, quality_net, quality_rules, secrets, url_filter
+from framelake.llm import (bpe, decontaminate, jaccard_join, language_id, line_dedup, main_text, periodic, pii, quality_net,
+                           quality_rules, secrets, spelling, url_filter)
 from framelake.llm.common import table
 from framelake.llm.labelled import folded
 
@@ -88,6 +90,60 @@ def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` with the texts that op11's contract asks for: where h = crc32(doc_id) is a multiple of 10, the words from
+    a = (h div 10) mod n on repeat the first 1 + (n - a) div (3 + (h div 10) mod 8) of them.  Null ids change nothing."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    planted = docs.select("doc_id", "text", F.expr("crc32(cast(doc_id as string)) div 10").alias("g"), F.when(
+        (h % 10 == 0) & F.col("text").isNotNull(), words).alias("w"))
+    sized = planted.withColumn("a", F.expr("if(size(w) > 0, cast(g % size(w) as int), null)"))
+    period = sized.withColumn("p", F.expr("cast(1 + (size(w) - a) div (3 + g % 8) as int)"))
+    again = F.expr("flatten(array_repeat(slice(w, a + 1, p), cast(ceil((size(w) - a) / p) as int)))")
+    text = F.array_join(F.concat(F.expr("slice(w, 1, a)"), F.slice(again, F.lit(1), F.expr("size(w) - a"))), " ")
+    return period.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    found = periodic.find(with_planted_periods(table(spark, d, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select("doc_id", "runs", "collapsed", periodic.strongest(F.col("runs")).alias("r")).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "r.start", "r.length", "r.period",
+        F.expr("1000 * r.length div r.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def planted_typing_errors(doc_id: object) -> Callable[[bytes], bytes]:
+    """The change of words that op12's contract asks for: with h = crc32 of ``<doc_id>:<word>`` a multiple of 97, the
+    word loses its code point h % length.  Null ids change nothing."""
+    if doc_id is None:
+        return lambda word: word
+    before = zlib.crc32(f"{doc_id}:".encode())
+
+    def change(word: bytes) -> bytes:
+        h = zlib.crc32(word, before)
+        if h % 97:
+            return word
+        letters = word.decode("utf-8")
+        at = h % len(letters)
+        return (letters[:at] + letters[at + 1:]).encode("utf-8")
+
+    return change
+
+
+def op12_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.group(table(spark, d, "documents"), change=planted_typing_errors)
+
+
+def op13_main_text(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    urls = pages.select("page_id", "url", "html")
+    found = main_text.extract(urls.select(F.struct("page_id", "url").alias("page"), "html"), "page")
+    return found.select("page.page_id", "page.url", F.col("main_text").alias("text"),
+                        F.length("main_text").cast("bigint").alias("n_chars"))
+
+
 _LINE_SQL = r"""
 with lines as (
   select row, doc_id, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as pos
@@ -157,7 +213,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     named = [op1_url_filter, op2_decontaminate, op3_bpe, op4_secrets, op5_pii, op6_quality_rules, op7_jaccard_join,
-             op8_quality_net, op9_language_id, op10_line_dedup]
+             op8_quality_net, op9_language_id, op10_line_dedup, op11_periodic_runs, op12_spelling_variants,
+             op13_main_text]
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
