@@ -27,7 +27,7 @@ def _rejoin(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(right, on, "left").drop("_rblk", *[f"_r{i}" for i in range(len(keys))])
 
 
-def _union(column: str, window=None):
+def sketch_union(column: str, window=None):
     """Union of sketches, NULL for none; the built-in would give an empty sketch of default precision."""
     present, union = F.count(column), F.hll_union_agg(column)
     if window is not None:
@@ -36,30 +36,37 @@ def _union(column: str, window=None):
 
 
 def running(df: DataFrame, keys: list[str], order: str, block: int, sums: dict[str, str] | None = None,
-            sketches: dict[str, str] | None = None) -> DataFrame:
+            sketches: dict[str, str] | None = None, following: str | None = None) -> DataFrame:
     """Running totals (``sums``: input -> output) and running sketch unions per key, in ``order``.
 
-    ``order`` must be an integer that is unique within a key.
+    ``order`` must be an integer that is unique within a key.  ``following`` names a column for the key's next value of
+    ``order`` (NULL for its last row).
     """
     sums, sketches = sums or {}, sketches or {}
     blocked = df.withColumn("_blk", floor_div(F.col(order), block))
     totals = blocked.groupBy(*keys, "_blk").agg(
         *[F.sum(c).alias(f"_t_{o}") for c, o in sums.items()],
-        *[_union(c).alias(f"_t_{o}") for c, o in sketches.items()],
+        *[sketch_union(c).alias(f"_t_{o}") for c, o in sketches.items()],
+        *([F.min(order).alias("_first")] if following else []),
     )
-    before = Window.partitionBy(*_keyed(keys)).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    # what came before a block enters it as a row ahead of its own, so nothing is joined after the window
+    chain = Window.partitionBy(*_keyed(keys)).orderBy("_blk")
+    before = chain.rowsBetween(Window.unboundedPreceding, -1)
+    # what comes before and after a block enters it as a row ahead of its own, so nothing is joined after the window
     carried = totals.select(
         *keys, "_blk", F.lit(0).alias("_own"),
         *[F.sum(f"_t_{o}").over(before).alias(f"_i_{o}") for o in sums.values()],
-        *[_union(f"_t_{o}", before).alias(f"_i_{o}") for o in sketches.values()],
+        *[sketch_union(f"_t_{o}", before).alias(f"_i_{o}") for o in sketches.values()],
+        *([F.lead("_first").over(chain).alias("_behind")] if following else []),
     )
     inputs = sums | sketches
     own = blocked.withColumns({"_own": F.lit(1), **{f"_i_{o}": F.col(c) for c, o in inputs.items()}})
     rows = own.unionByName(carried, allowMissingColumns=True)
-    upto = Window.partitionBy(*_keyed(keys), "_blk").orderBy("_own", order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*_keyed(keys), "_blk").orderBy("_own", order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     out = {o: F.coalesce(F.sum(f"_i_{o}").over(upto), F.lit(0)) for o in sums.values()}
-    out |= {o: _union(f"_i_{o}", upto) for o in sketches.values()}
+    out |= {o: sketch_union(f"_i_{o}", upto) for o in sketches.values()}
+    if following:
+        out[following] = F.coalesce(F.lead(order).over(inside), F.first("_behind").over(upto))
     # a column may be replaced by its own running value
     kept = [F.col(c) for c in df.columns if c not in out]
     return rows.select(*kept, "_own", *[c.alias(o) for o, c in out.items()]).filter("_own = 1").drop("_own")

@@ -6,9 +6,12 @@ Two plans with equal results:
   inside the scan stage.
 * ``keyed`` - many rules.  Rules that constrain the same fields with the same prefix lengths share a *shape*; masking a
   frame's fields by a shape turns range conditions into equality (tuple space search: Srinivasan, Suri and Varghese,
-  SIGCOMM 1999).  A frame is tried against each shape, of which there are few, however many rules there are.  Rules are
-  broadcast while their counted number is under a bound; above it the heavy shapes go through a shuffled join whose
-  frame side is salted, so that one hot key spreads over many tasks.  Only columns selected afterwards are shuffled.
+  SIGCOMM 1999).  A frame is tried against the shapes, of which there are few, however many rules there are; if they are
+  not so few, or their rules are too many to broadcast, only against those whose networks its addresses can be in
+  (``operators.markers``).  Rules are broadcast while their counted number is under a bound; above it the heavy shapes
+  go through a shuffled join whose frame side is salted, so that one hot key spreads over many tasks.  Only columns
+  selected afterwards are shuffled.  Rules with a validity are also filed by cells of time, so that a rule registered
+  again and again costs a frame no more than the registrations about its time.
 """
 
 from __future__ import annotations
@@ -18,13 +21,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.operators import markers as mk
 from framelake.operators.decode import RAW_KEYS
+from framelake.session import stage
 
 # Literal predicates stay fast while the generated method is small enough to be compiled to machine code; predicates on
 # raw bytes are longer than on integers.
 INLINE_RULES = {"raw": 16, "int": 40}
 BROADCAST_RULES = 400_000
 SALTS = 32
+TRIED_SHAPES = 24  #: so many shapes are tried on every frame; of more, only those that its addresses leave open
 
 _COMPILED = ("rule_id", "ip_proto", "src_lo", "src_hi", "src_len", "dst_lo", "dst_hi", "dst_len", "src_port",
              "dst_port", "never_matches")
@@ -256,9 +262,19 @@ def masked_fields() -> dict[str, Column]:
     }
 
 
-def tried(frames: DataFrame, shapes: list[int]) -> DataFrame:
-    """``frames`` once for each shape, as ``_shape``; frames that are not decodable are gone."""
-    return frames.select("*", F.explode(F.when(F.col("match_ok"), shapes_literal(shapes))).alias("_shape"))
+def tried(frames: DataFrame, shapes: list[int], sides: list[mk.Side] | None = None) -> DataFrame:
+    """``frames`` once for each shape, as ``_shape``, or with ``sides`` only for shapes that their addresses leave open;
+    frames that are not decodable are gone."""
+    if sides is None:
+        return frames.select("*", F.explode(F.when(F.col("match_ok"), shapes_literal(shapes))).alias("_shape"))
+    for side in sides:
+        frames = mk.with_live(frames, side)
+    return mk.live_shapes(frames, shapes)
+
+
+def sides_of(keyed: DataFrame, shapes: list[int]) -> list[mk.Side]:
+    """The markers of both sides for rules of these shapes (``keyed``: from ``rule_keys``)."""
+    return [mk.side_of(keyed, shapes, name) for name in mk.SIDES]
 
 
 def shapes_of(rules: DataFrame) -> dict[int, int]:
@@ -267,14 +283,21 @@ def shapes_of(rules: DataFrame) -> dict[int, int]:
 
 
 def match_keyed(packets: DataFrame, rules: DataFrame, broadcast_rules: int = BROADCAST_RULES,
-                salts: int | None = None) -> DataFrame:
-    """Equality join on a hash of (shape, masked fields), checked exactly afterwards; see the module text.
+                salts: int | None = None, tried_shapes: int = TRIED_SHAPES) -> DataFrame:
+    """Equality join on a hash of (shape, masked fields, cell of time), checked exactly afterwards; see the module text.
 
     ``salts`` is over how many tasks a hot key of a heavy shape is spread: by default as many as the session has cores,
-    32 at least.
+    32 at least.  Beyond ``tried_shapes`` shapes, and for all heavy ones, frames are tried by markers.
     """
     salts = salts or max(SALTS, packets.sparkSession.sparkContext.defaultParallelism)
-    counts = shapes_of(rules)
+    timed = "from_ns" in rules.columns
+    table = _rule_table(rules, timed)
+    # bounded by the number of shapes and of cell sizes
+    counted = table.groupBy("_rule_shape", *(["_size"] if timed else [])).count().collect()
+    counts: dict[int, int] = {}
+    for row in counted:
+        counts[row["_rule_shape"]] = counts.get(row["_rule_shape"], 0) + row["count"]
+    sizes = sorted({row["_size"] for row in counted}) if timed else []
     light, room = [], broadcast_rules
     for shape, count in sorted(counts.items(), key=lambda item: item[1]):
         if count <= room:
@@ -282,29 +305,39 @@ def match_keyed(packets: DataFrame, rules: DataFrame, broadcast_rules: int = BRO
             room -= count
     heavy = [s for s in counts if s not in set(light)]
     names = packets.columns
-    table = _rule_table(rules)
     # raw frames are not filtered here: the filter would be pushed below and decode every frame twice
     valid = packets if Fields.of(packets).raw else packets.filter("match_ok")
-
-    def looked_up(frames: DataFrame, shapes: list[int]) -> DataFrame:
-        return tried(frames, shapes).withColumn("_key", F.xxhash64("_shape", *masked_fields().values()))
+    sides = None
+    if heavy or len(light) > tried_shapes:
+        table = stage(table, "rules")
+        sides = sides_of(rule_keys(rules), list(counts))
+
+    def looked_up(frames: DataFrame, shapes: list[int], marked: bool) -> DataFrame:
+        found = tried(frames, shapes, sides if marked else None)
+        key = [F.col("_shape"), *masked_fields().values()]
+        if timed:
+            found = found.withColumn("_size", F.explode(mk.numbers(sizes)))
+            key += [F.col("_size"), mk.cell_of(F.col("_size"))]
+        return found.withColumn("_key", F.xxhash64(*key)).drop("_size")
 
     def of_shapes(shapes: list[int]) -> DataFrame:
-        return table.filter(F.array_contains(shapes_literal(shapes), F.col("_rule_shape")))
+        return table.filter(F.array_contains(shapes_literal(shapes), F.col("_rule_shape"))).select(
+            "_key", "_rule_shape", "_r")
 
     def exact(joined: DataFrame) -> DataFrame:
         """Hashes may collide: the rule must be of the shape that was tried, and must match."""
-        same = (F.col("_shape") == F.col("_rule_shape")) & _satisfied("from_ns" in rules.columns)
+        same = (F.col("_shape") == F.col("_rule_shape")) & _satisfied(timed)
         return joined.filter(same).select(*names, F.col("_r.rule_id").alias("filter_id"))
 
     parts = []
     if light:
-        parts.append(exact(looked_up(valid, light).join(F.broadcast(of_shapes(light)), "_key")))
+        marked = len(light) > tried_shapes
+        parts.append(exact(looked_up(valid, light, marked).join(F.broadcast(of_shapes(light)), "_key")))
     if heavy:
         # what tells frames of one flow apart, and is the same when a task runs again; also on streams
         content = [c for c in ("ts_ns", "capture_id", "n_bytes") if c in names]
         salt = F.pmod(F.xxhash64(*content) if content else F.lit(0), F.lit(salts)).cast("int")
-        frames = looked_up(valid.withColumn("_salt", salt), heavy)
+        frames = looked_up(valid.withColumn("_salt", salt), heavy, True)
         side = of_shapes(heavy).withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
         parts.append(exact(frames.join(side.hint("shuffle_hash"), ["_key", "_salt"])))
     if not parts:
@@ -315,11 +348,15 @@ def match_keyed(packets: DataFrame, rules: DataFrame, broadcast_rules: int = BRO
     return out
 
 
-def _rule_table(rules: DataFrame) -> DataFrame:
-    """What a lookup returns: the rule as one struct ``_r``, under the hash of its shape and key."""
+def _rule_table(rules: DataFrame, timed: bool) -> DataFrame:
+    """What a lookup returns: the rule as one struct ``_r``, under the hash of its shape, key and cells of time."""
     body = [c for c in (*_COMPILED, *_VALID) if c in rules.columns and c != "never_matches"]
     keys = rule_keys(usable(rules).withColumn("_r", F.struct(*body)))
-    return keys.select(F.xxhash64("_shape", *_KEY).alias("_key"), F.col("_shape").alias("_rule_shape"), "_r")
+    if not timed:
+        return keys.select(F.xxhash64("_shape", *_KEY).alias("_key"), F.col("_shape").alias("_rule_shape"), "_r")
+    celled = mk.with_cells(keys.withColumns({c: F.col(f"_r.{c}") for c in _VALID}))
+    return celled.select(F.xxhash64("_shape", *_KEY, "_size", "_cell").alias("_key"),
+                         F.col("_shape").alias("_rule_shape"), "_r", "_size")
 
 
 def _satisfied(timed: bool) -> Column:

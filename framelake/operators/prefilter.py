@@ -50,9 +50,11 @@ def _by_tuples(packets: DataFrame, rules: DataFrame, keep: bool, broadcast_rules
     if not shapes:
         return packets.filter(F.lit(False)) if keep else packets
     keyed = m.rule_keys(rules).distinct()
-    keyed = F.broadcast(keyed) if keyed.count() <= broadcast_rules else keyed
+    few = keyed.count() <= broadcast_rules
+    sides = m.sides_of(keyed, shapes) if len(shapes) > m.TRIED_SHAPES or not few else None
+    keyed = F.broadcast(keyed) if few else keyed
     tuples = packets.filter("match_ok").select(*_TUPLE).distinct().withColumn("match_ok", F.lit(True))
-    wanted = (m.tried(tuples, shapes).withColumns(m.masked_fields())
+    wanted = (m.tried(tuples, shapes, sides).withColumns(m.masked_fields())
               .join(keyed, ["_shape", *m.masked_fields()], "left_semi").select(*_TUPLE).distinct())
     wanted = wanted.select(*[F.col(c).alias(f"_w_{c}") for c in _TUPLE])
     on = F.col("match_ok")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framelake.functions.net import (
     PROTOCOL_NUMBERS, ipv4_range, is_any, is_ipv4, is_ipv6, mapped_as_ipv4, protocol_number, range_size,
 )
-from framelake.operators.blocked import running
 from framelake.schemas import RULE_REQUEST
+from framelake.session import stage
 
 SPEC_FIELDS = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
 # Fixed value: highest port.
@@ -53,6 +53,14 @@ def from_flags(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+def _address(text):
+    """What an address says: whether it is any, IPv4 or IPv6, and an IPv4 network's first address and prefix length."""
+    four = is_ipv4(text)
+    low, length = ipv4_range(text)
+    return F.struct(is_any(text).alias("any"), four.alias("four"), is_ipv6(text).alias("six"),
+                    F.when(four, low).alias("low"), F.when(four, length).alias("length"))
+
+
 def compile_rules(specs: DataFrame) -> DataFrame:
     """Validate specs and turn them into ranges and numbers; one bad spec never fails the load.
 
@@ -63,14 +71,12 @@ def compile_rules(specs: DataFrame) -> DataFrame:
     checks = [(~(port_ok["src"] & port_ok["dst"]), "port out of range")]
     if "malformed" in specs.columns:
         checks.insert(0, (F.col("malformed"), "malformed"))
-    kinds, ranges = {}, {}
+    # both addresses by one function over an array: as plain columns the many patterns make more code than is compiled
+    sides = F.transform(F.transform(F.array("src_ip", "dst_ip"), mapped_as_ipv4), _address)
+    parsed = {f"_{side}": F.get("_sides", F.lit(i)) for i, side in enumerate(("src", "dst"))}
     for side in ("src", "dst"):
-        text = mapped_as_ipv4(F.col(f"{side}_ip"))
-        four, six = F.col(f"_{side}_four"), F.col(f"_{side}_six")
-        kinds |= {f"_{side}_four": is_ipv4(text), f"_{side}_six": is_ipv6(text)}
-        low, length = ipv4_range(text)
-        ranges |= {f"_{side}_low": F.when(four, low), f"{side}_len": F.when(four, length)}
-        checks.append((~(is_any(text) | four | six), f"invalid {side}_ip"))
+        address = F.col(f"_{side}")
+        checks.append((~(address["any"] | address["four"] | address["six"]), f"invalid {side}_ip"))
     checks.append((~(is_any(F.col("protocol")) | F.col("protocol").isin(*PROTOCOL_NUMBERS)), "unknown protocol"))
     reason = F.lit(None).cast("string")
     for broken, text in reversed(checks):
@@ -78,18 +84,18 @@ def compile_rules(specs: DataFrame) -> DataFrame:
 
     out = {}
     for side in ("src", "dst"):
-        six, low, port = F.col(f"_{side}_six"), F.col(f"_{side}_low"), F.col(f"{side}_port")
+        six, low, length = (F.col(f"_{side}.{x}") for x in ("six", "low", "length"))
         out[f"{side}_lo"] = F.when(six, F.lit(1).cast("bigint")).otherwise(low)
-        out[f"{side}_hi"] = F.when(six, F.lit(0).cast("bigint")).otherwise(low + range_size(F.col(f"{side}_len")) - 1)
-        out[f"{side}_len"] = F.col(f"{side}_len")
+        out[f"{side}_hi"] = F.when(six, F.lit(0).cast("bigint")).otherwise(low + range_size(length) - 1)
+        out[f"{side}_len"] = length
     for side in ("src", "dst"):
         port = F.col(f"{side}_port")
         out[f"{side}_port"] = F.when(port_ok[side] & (port != 0), port).cast("int")
     out["ip_proto"] = protocol_number(F.col("protocol"))
-    out["never_matches"] = F.col("_src_six") | F.col("_dst_six")
+    out["never_matches"] = F.col("_src.six") | F.col("_dst.six")
     out["reason"] = reason
     keep = [c for c in specs.columns if c not in (*SPEC_FIELDS, "malformed")]
-    return specs.withColumns(kinds).withColumns(ranges).select(*keep, *[c.alias(n) for n, c in out.items()])
+    return specs.withColumn("_sides", sides).withColumns(parsed).select(*keep, *[c.alias(n) for n, c in out.items()])
 
 
 def accepted(compiled: DataFrame) -> DataFrame:
@@ -100,14 +106,25 @@ def rejected(compiled: DataFrame) -> DataFrame:
     return compiled.filter("reason IS NOT NULL")
 
 
-def assign_ids(valid: DataFrame, arrival: str, last_id: int = 0, block: int = 1 << 20) -> DataFrame:
+def assign_ids(valid: DataFrame, arrival: str, last_id: int = 0, partitions: int | None = None) -> DataFrame:
     """Number accepted rules 1, 2, 3, ... by their distinct integer ``arrival``.
 
     Rejected specs must be filtered out before, so they use no number.  ``last_id`` is the highest number ever given
-    out, also to rules removed since.  Numbers come from a blocked running count, not from one global sort.
+    out, also to rules removed since.  Rules are dealt to partitions by ranges of arrival (however they are spaced) and
+    written once, numbered within their partition, and moved up by the sizes of the partitions before: one small row
+    per partition.
     """
-    counted = running(valid.withColumn("_one", F.lit(1).cast("bigint")), [], arrival, block, sums={"_one": "rule_id"})
-    return counted.withColumn("rule_id", F.col("rule_id") + F.lit(last_id)).drop("_one")
+    spark = valid.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = valid.repartitionByRange(parts, arrival).withColumn("_part", F.spark_partition_id())
+    held = stage(dealt, "numbering")
+    inside = Window.partitionBy("_part").orderBy(arrival)
+    sizes = held.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    moved = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    numbered = held.withColumn("_row", F.row_number().over(inside)).join(F.broadcast(moved), "_part")
+    return numbered.withColumn("rule_id", F.col("_row") + F.col("_before") + F.lit(last_id).cast("bigint")).drop(
+        "_part", "_row", "_before")
 
 
 def validity(events: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from framelake.functions.clock import interval_of
 from framelake.functions.measures import entropy_bits, entropy_terms
 from framelake.functions.packed import be_uint
-from framelake.operators.match import rules_of_mask, with_mask
+from framelake.operators.match import Fields, mask_column, rules_of_mask, with_mask
 
 # Fixed value: sketch precision, 2^14 registers.
 SKETCH_LG_K = 14
@@ -124,6 +124,15 @@ def capture_totals(decoded: DataFrame, matched: DataFrame) -> DataFrame:
         F.sum("_d").alias("dumped"))
 
 
+def capture_totals_of_packets(packets: DataFrame, rows: list) -> DataFrame:
+    """``capture_totals`` of decoded frames under a few rules, in one pass: a frame counts as many dumped rows as its
+    rule mask has bits."""
+    dumped = F.bit_count(mask_column(rows, Fields.of(packets)))
+    return packets.groupBy("capture_id").agg(
+        F.count("*").alias("rx_packets"), F.sum("n_bytes").alias("rx_bytes"),
+        F.sum(F.col("match_ok").cast("bigint")).alias("decodable"), F.sum(dumped.cast("bigint")).alias("dumped"))
+
+
 # ---- the interval table ---------------------------------------------------------------------------------------------
 
 INTERVAL_KEYS = ["filter_id", "interval"]

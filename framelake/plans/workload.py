@@ -169,6 +169,35 @@ def shape_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.accepted(R.compile_rules(specs))
 
 
+def wide_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule per customer with any prefix length from 0 to 32 on both sides, with and without protocol and ports."""
+    key = F.col("c_custkey")
+    src = F.lit(167772160) + F.pmod(key, F.lit(4)) * 65536 + F.pmod(key, F.lit(150))
+    dst = F.lit(3232235520) + F.pmod(key, F.lit(1000))
+
+    def network(address, length):
+        return F.concat(ip_text(address), F.lit("/"), length.cast("string"))
+
+    specs = spark.read.schema("c_custkey long").parquet(f"{sf_dir}/customer.parquet").select(
+        key.alias("rule_id"), network(src, F.pmod(key, F.lit(33))).alias("src_ip"),
+        network(dst, F.pmod(key * 7, F.lit(33))).alias("dst_ip"),
+        F.when(F.pmod(key, F.lit(5)) == 0, F.lit(1024) + F.pmod(key, F.lit(500))).otherwise(0).cast("bigint").alias("src_port"),
+        F.when(F.pmod(key, F.lit(3)) == 0, 443).otherwise(0).cast("bigint").alias("dst_port"),
+        F.when(F.pmod(key, F.lit(2)) == 0, "tcp").otherwise("").alias("protocol"))
+    return R.accepted(R.compile_rules(specs))
+
+
+def registered_again(spark: SparkSession, sf_dir: str, times: int = 12) -> DataFrame:
+    """The host rules of customers, each registered ``times`` times: three hours to twelve days at a time, the last for
+    good."""
+    key, turn = F.col("rule_id"), F.col("turn")
+    hosts = user_rules(spark, sf_dir).filter("rule_id < 100000000")
+    since = F.lit(1_704_067_200_000_000_000) + (F.pmod(key, F.lit(7)) + turn * 2) * F.lit(DAY_NS)
+    until = since + F.call_function("shiftleft", F.lit(10_800_000_000_000), F.pmod(key + turn, F.lit(5)).cast("int"))
+    return hosts.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumns(
+        {"rule_id": key * 100 + turn, "from_ns": since, "to_ns": F.when(turn < times - 1, until)}).drop("turn")
+
+
 def spec_texts(source: DataFrame) -> DataFrame:
     """Rule specs in text form from events: valid and invalid addresses, ports and protocols of every kind."""
     eid, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")

@@ -3,8 +3,8 @@ import random
 import pytest
 from packet_bytes import expect_match, frame, frames_df, rules_df
 
+from framelake.operators import markers, prefilter
 from framelake.operators import match as m
-from framelake.operators import prefilter
 from framelake.operators.decode import decode, packets
 
 TCP, UDP = frame(), frame(proto=17)
@@ -57,7 +57,8 @@ def test_every_plan_agrees_with_a_plain_matcher(spark, seed):
     frames, specs = random_case(seed)
     want = sorted((str(i), j + 1) for i, f in enumerate(frames) for j, s in enumerate(specs) if expect_match(f, s))
     df, rules = frames_df(spark, frames), rules_df(spark, specs)
-    plans = [dict(plan="inline"), dict(plan="keyed"), dict(plan="keyed", broadcast_rules=8, salts=3)]
+    plans = [dict(plan="inline"), dict(plan="keyed"), dict(plan="keyed", broadcast_rules=8, salts=3),
+             dict(plan="keyed", tried_shapes=0)]
     for table in (decode(df), packets(df)):
         for options in plans:
             got = m.match(table, rules, **options).select("capture_id", "filter_id").collect()
@@ -106,6 +107,50 @@ def test_rules_apply_only_while_registered(spark, plan):
     assert got == [(1, 10), (1, 19), (2, 19), (2, 20)]
 
 
+def test_coarse_markers_lose_nothing(spark, monkeypatch):
+    frames, specs = random_case(7, n_frames=80, n_rules=40)
+    want = sorted((str(i), j + 1) for i, f in enumerate(frames) for j, s in enumerate(specs) if expect_match(f, s))
+    monkeypatch.setattr(markers.side_of, "__defaults__", (3,))  # three markers a side at most, so 16 bits only
+    got = m.match(packets(frames_df(spark, frames)), rules_df(spark, specs), plan="keyed", tried_shapes=0).collect()
+    assert sorted((r.capture_id, r.filter_id) for r in got) == want
+
+
+def test_markers_are_the_lengths_that_contain_an_address(spark):
+    rng = random.Random(4)
+    nets = [(rng.randrange(33), rng.getrandbits(32)) for _ in range(300)]
+    nets = {(n, a >> (32 - n) << (32 - n) if n else 0) for n, a in nets}
+    keyed = spark.createDataFrame([(n << 1, a if n else -1, -1) for n, a in nets], "_shape int, _ks long, _kd long")
+    side = markers.side_of(keyed, [n << 1 for n, _ in nets], "src")
+    tried = [a | rng.getrandbits(32 - n) if n < 32 else a for n, a in nets for _ in range(3)]
+    frames = spark.createDataFrame([(a,) for a in tried], "src_ip long")
+    for r in markers.with_live(frames, side).distinct().collect():
+        want = {n for n, a in nets if n == 0 or r.src_ip >> (32 - n) == a >> (32 - n)}
+        assert {n for n in range(33) if r._live_src >> n & 1} == want
+
+
+def test_rules_registered_again_and_again(spark):
+    """One key, many validities: every frame meets the right ones, and the join produces few others."""
+    rng = random.Random(9)
+    spans = []
+    for i in range(3000):
+        since = rng.randrange(-10**12, 10**12)
+        spans.append((i + 1, since, since + rng.choice([0, 1, 7, 10**3, 10**6, 10**9, 10**11])))
+    spans += [(3001, None, 5), (3002, 5, None), (3003, None, None), (3004, 9, 3)]
+    times = [rng.randrange(-10**12, 10**12) for _ in range(200)] + [s for _, s, _ in spans[:50]] + [4, 5]
+    rules = rules_df(spark, [{"protocol": "tcp"}] * 3004).join(
+        spark.createDataFrame(spans, "rule_id long, from_ns long, to_ns long"), "rule_id")
+    df = packets(frames_df(spark, [TCP] * len(times), ts=times))
+    got = sorted((r.ts_ns, r.filter_id) for r in m.match(df, rules, plan="keyed").distinct().collect())
+    want = sorted({(t, i) for t in times for i, a, b in spans if (a is None or t >= a) and (b is None or t < b)})
+    assert got == want
+    celled = markers.with_cells(spark.createDataFrame(spans, "rule_id long, from_ns long, to_ns long"))
+    assert celled.groupBy("rule_id").count().agg({"count": "max"}).first()[0] <= 34
+    sizes = [r[0] for r in celled.select("_size").distinct().collect()]
+    met = celled.select("_size", "_cell", "from_ns", "to_ns").collect()
+    near = sum(1 for t in times for r in met if r._size != markers.ALWAYS and t >> 2 * r._size == r._cell)
+    assert len(sizes) < 12 and near < 2 * len([w for w in want if w[1] <= 3000]) + 200
+
+
 def test_unknown_plan(spark):
     with pytest.raises(ValueError):
         m.match(decode(frames_df(spark, [TCP])), rules_df(spark, [{}]), plan="x")

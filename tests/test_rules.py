@@ -89,7 +89,7 @@ def test_json_requests(spark, work):
 
 def test_numbers_skip_rejected_and_never_repeat(spark):
     df = spark.createDataFrame([(5,), (900,), (7,), (100000,), (3,)], "arrival long")
-    got = R.assign_ids(df, "arrival", last_id=10, block=4).orderBy("arrival").collect()
+    got = R.assign_ids(df, "arrival", last_id=10, partitions=4).orderBy("arrival").collect()
     assert [r.rule_id for r in got] == [11, 12, 13, 14, 15]
 
 
