@@ -28,11 +28,15 @@ def write_snapshot_json(snapshots: DataFrame, path: str, mode: str = "append") -
     ordered.select("filters").write.mode(mode).json(path)
 
 
-def read_snapshot_json(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of written snapshot lines, one row each."""
+def read_snapshot_json(spark: SparkSession, path: str, upto_batch: int | None = None) -> DataFrame:
+    """Entries of written snapshot lines, one row each; of a folder with a subfolder per batch, those of the batches up
+    to ``upto_batch``."""
     entry = ("struct<filter_id: bigint, packets: bigint, bytes: bigint, unique_src_ips: bigint, unique_dst_ips: bigint, "
              "src_entropy_bits: double, src_window_packets: bigint>")
-    return spark.read.schema(f"filters array<{entry}>").json(path).select(F.inline("filters"))
+    if upto_batch is None:
+        return spark.read.schema(f"filters array<{entry}>").json(path).select(F.inline("filters"))
+    lines = spark.read.schema(f"filters array<{entry}>, batch bigint").json(path)
+    return lines.filter(F.col("batch") <= upto_batch).select(F.inline("filters"))
 
 
 def append_runs(runs: DataFrame, path: str) -> None:

@@ -5,12 +5,17 @@ high bytes of the timestamp, so a record keeps only the low 48 bits of ``ts_ns``
 puts frames of different 48-bit epochs into different files and names the epoch in the file name, from which the reader
 restores full timestamps; for files from elsewhere it uses a time hint.
 
-Files have no sync marker and cannot be split: one task reads a file, in chunks, and the writer rolls files at a size
-target.  Work inside a task is numpy and Arrow over whole chunks; only the hop from length to length is a Python loop.
+The writer's tasks write files under names of their own, and a commit is one small manifest that lists them; readers of
+a folder with manifests see the listed files only, so an attempt that was stopped leaves nothing that is read, and nothing
+is ever moved or listed.  Records have no sync marker, but a manifest also says where in a file records begin every so
+many bytes, and those parts are read by different tasks.  Files from elsewhere (a folder without manifests) are read
+whole, a task each, in chunks.  Work inside a task is numpy and Arrow over whole chunks; only the hop from length to
+length is a Python loop.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import time
@@ -42,7 +47,9 @@ ROLL_BYTES = 256 << 20
 PACK_BYTES = 128 << 20
 SUFFIX = ".dump"
 _EPOCH = re.compile(r"-e(-?\d+)\.dump$")
-MOVERS = 32  #: files moved into place at a time by a commit
+PART_BYTES = 64 << 20  #: a file is split at the first batch of records after so many bytes
+READERS = 32  #: manifests read at a time
+MANIFESTS = "manifests"
 
 DUMP_DDL = ("filter_id bigint, ts48 bigint, ts_ns bigint, wire_len bigint, payload binary, src_file string, "
             "src_offset bigint, corrupt string")
@@ -56,6 +63,8 @@ def open_fs(path: str):
     """(file system, path inside it) for a URI or a plain path."""
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
+    if path.startswith(("s3a://", "s3n://")):
+        path = "s3" + path[3:]
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
@@ -124,13 +133,17 @@ def file_hint(path: str, mtime_ns: int, option_ns: int | None) -> int:
     return ((int(named.group(1)) + 1) << TS_BITS) - 1 if named else mtime_ns
 
 
-def read_file(path: str, hint_ns: int, permissive: bool, chunk: int = CHUNK):
-    """Arrow batches of one dump file; memory use does not depend on the file's size."""
+def read_file(path: str, hint_ns: int, permissive: bool, start: int = 0, end: int | None = None, chunk: int = CHUNK):
+    """Arrow batches of a dump file, or of its part from ``start`` to ``end``, both where records begin; memory use does
+    not depend on the size."""
     files, inner = open_fs(path)
-    with files.open_input_stream(inner) as stream:
-        carry, offset = b"", 0
+    with files.open_input_file(inner) if start or end is not None else files.open_input_stream(inner) as stream:
+        if start:
+            stream.seek(start)
+        carry, offset, left = b"", start, None if end is None else end - start
         while True:
-            piece = stream.read(chunk)
+            piece = stream.read(chunk if left is None else min(chunk, left))
+            left = None if left is None else left - len(piece)
             data = carry + piece
             starts, used = record_starts(data)
             bad = None
@@ -152,7 +165,8 @@ def read_file(path: str, hint_ns: int, permissive: bool, chunk: int = CHUNK):
                     raise ValueError(f"{path} at byte {offset + used}: {why}")
                 lost = len(data) - used
                 while piece:
-                    piece = stream.read(chunk)
+                    piece = stream.read(chunk if left is None else min(chunk, left))
+                    left = None if left is None else left - len(piece)
                     lost += len(piece)
                 yield corrupt_batch(path, offset + used, lost, why)
                 return
@@ -161,9 +175,45 @@ def read_file(path: str, hint_ns: int, permissive: bool, chunk: int = CHUNK):
             carry, offset = data[used:], offset + used
 
 
+def parts_of(entry: dict) -> list[tuple[int, int]]:
+    """The parts of a file that a manifest lists, as (start, end)."""
+    bounds = [*entry["offsets"], entry["size"]]
+    return list(zip(bounds[:-1], bounds[1:]))
+
+
+def manifest_entries(path: str) -> list[dict] | None:
+    """The files that the manifests of a folder list; None if the folder has none."""
+    files, inner = open_fs(path)
+    folder = f"{inner.rstrip('/')}/{MANIFESTS}"
+    if not files.get_file_info(folder).type == pafs.FileType.Directory:
+        return None
+    names = sorted(f.path for f in files.get_file_info(pafs.FileSelector(folder)) if f.path.endswith(".json"))
+
+    def entries(name: str) -> list[dict]:
+        with files.open_input_stream(name) as stream:
+            return [json.loads(line) for line in stream.read().splitlines()]
+
+    with ThreadPoolExecutor(READERS) as pool:
+        return [e for found in pool.map(entries, names) for e in found]
+
+
+def prepare(path: str) -> None:
+    """Make a folder one that is read by its manifests."""
+    files, inner = open_fs(path)
+    files.create_dir(f"{inner.rstrip('/')}/{MANIFESTS}", recursive=True)
+
+
+def is_foreign(path: str) -> bool:
+    """Whether a folder has dump files but no manifests."""
+    files, inner = open_fs(path)
+    if files.get_file_info(f"{inner.rstrip('/')}/{MANIFESTS}").type == pafs.FileType.Directory:
+        return False
+    return any(f.path.endswith(SUFFIX) for f in files.get_file_info(pafs.FileSelector(inner, allow_not_found=True, recursive=True)))
+
+
 @dataclass
 class DumpFiles(InputPartition):
-    """Files one task reads, with their modification times."""
+    """(path, modification time, start, end) of what one task reads."""
 
     files: list
 
@@ -178,34 +228,41 @@ class DumpReader(DataSourceReader):
         hint = options.get("timehintns") or options.get("timeHintNs")
         self.hint = int(hint) if hint else None
 
-    def partitions(self):
-        """Files packed into tasks up to a size target; large files are alone."""
+    def _found(self):
+        """(path, modification time, start, end, size) of all parts; files of a folder without manifests are whole."""
+        listed = manifest_entries(self.path)
+        if listed is not None:
+            return [(f"{self.path.rstrip('/')}/{e['file']}", 0, start, end, end - start)
+                    for e in listed for start, end in parts_of(e)]
         files, inner = open_fs(self.path)
         prefix = self.path[: len(self.path) - len(inner)] if self.path.endswith(inner) else ""
         info = files.get_file_info(inner)
         found = [info] if info.is_file else files.get_file_info(pafs.FileSelector(inner, recursive=True))
-        listed = sorted((f.path, f.mtime_ns, f.size) for f in found
-                        if f.is_file and (f.path.endswith(SUFFIX) or info.is_file)
-                        and "/_" not in f.path[len(inner):])
+        return sorted((prefix + f.path, f.mtime_ns, 0, None, f.size) for f in found
+                      if f.is_file and (f.path.endswith(SUFFIX) or info.is_file) and "/_" not in f.path[len(inner):])
+
+    def partitions(self):
+        """Parts packed into tasks up to a size target; large ones are alone."""
         packs, room = [], 0
-        for path, mtime, size in listed:
+        for *part, size in self._found():
             if not packs or size > room:
                 packs.append([])
                 room = PACK_BYTES
-            packs[-1].append((prefix + path, mtime))
+            packs[-1].append(tuple(part))
             room -= size
         return [DumpFiles(p) for p in packs] or [DumpFiles([])]
 
     def read(self, partition):
-        for path, mtime in partition.files:
-            yield from read_file(path, file_hint(path, mtime, self.hint), self.permissive)
+        for path, mtime, start, end in partition.files:
+            yield from read_file(path, file_hint(path, mtime, self.hint), self.permissive, start, end)
 
 
 def read_listed(batches, hint: int | None, permissive: bool):
-    """Body of a map over (path, mtime_ns) rows, for streams that find files with Spark's own file source."""
+    """Body of a map over (path, mtime_ns, start, stop) rows, for streams that find files with Spark's own file source."""
     for batch in batches:
-        for path, mtime in zip(batch.column("path").to_pylist(), batch.column("mtime_ns").to_pylist()):
-            yield from read_file(path, file_hint(path, mtime, hint), permissive)
+        for row in batch.to_pylist():
+            yield from read_file(row["path"], file_hint(row["path"], row["mtime_ns"], hint), permissive, row["start"],
+                                 row["stop"])
 
 
 # ---- writing --------------------------------------------------------------------------------------------------------
@@ -235,38 +292,35 @@ def encode(filter_id: np.ndarray, ts_ns: np.ndarray, payload: pa.Array) -> np.nd
 
 @dataclass
 class Written(WriterCommitMessage):
-    """(staged path, final name) of every file a task closed."""
+    """What the manifest says of every file that a task closed."""
 
     files: list
 
 
 class DumpWriter(DataSourceArrowWriter):
-    """Tasks write below ``_staging``; the commit moves finished files into place and removes what failed attempts left.
+    """Tasks write files of their own; the commit is a manifest of them, which appears at once or not at all.
 
-    With a ``batchId`` option a second commit of the same batch is discarded, and a commit that finds files of a batch
-    that was never completed removes them first, which makes stream replays harmless however they are partitioned.
-    NULLs are refused: a record has no way to say them.
+    With a ``batchId`` option the manifest is named after the batch, and a second commit of a batch is discarded: stream
+    replays are harmless however they are partitioned.  Files of attempts that were not committed are in no manifest
+    (``remove_unlisted`` deletes them).  NULLs are refused: a record has no way to say them.
     """
 
     def __init__(self, options):
         self.path = options["path"].rstrip("/")
         self.roll = int(options.get("rollbytes") or options.get("rollBytes") or ROLL_BYTES)
+        self.part = int(options.get("partbytes") or options.get("partBytes") or PART_BYTES)
         self.batch = options.get("batchid") or options.get("batchId")
         self.job = f"b{int(self.batch):012d}" if self.batch is not None else f"j{time.time_ns():020d}"
 
     def write(self, iterator):
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId()
         files, root = open_fs(self.path)
-        staging = f"{root}/_staging"
-        files.create_dir(staging, recursive=True)
-        open_files, closed, sequence = {}, [], 0
+        files.create_dir(f"{root}/{MANIFESTS}", recursive=True)  # from now on only manifests count here
+        attempt, open_files, closed = uuid.uuid4().hex, {}, []
 
         def close(epoch):
-            stream, staged, name, _ = open_files.pop(epoch)
+            stream, entry = open_files.pop(epoch)
             stream.close()
-            closed.append((staged, name))
+            closed.append(entry)
 
         for batch in iterator:
             for name in ("filter_id", "ts_ns", "payload"):
@@ -276,53 +330,62 @@ class DumpWriter(DataSourceArrowWriter):
             times = batch.column("ts_ns").cast(pa.int64()).to_numpy()
             payload = batch.column("payload").cast(pa.binary())
             epochs = times >> TS_BITS
-            for epoch in np.unique(epochs):
+            for epoch in np.unique(epochs).tolist():
                 rows = np.flatnonzero(epochs == epoch)
                 data = encode(ids[rows], times[rows], payload.take(pa.array(rows)))
                 if epoch not in open_files:
-                    name = f"{self.job}-{task:06d}-{sequence:05d}-e{epoch}{SUFFIX}"
-                    staged = f"{staging}/{self.job}-{uuid.uuid4().hex}{SUFFIX}"
-                    open_files[epoch] = [files.open_output_stream(staged), staged, name, 0]
-                    sequence += 1
-                entry = open_files[epoch]
-                entry[0].write(data.tobytes())
-                entry[3] += len(data)
-                if entry[3] >= self.roll:
+                    name = f"{self.job}-{attempt}-{len(closed) + len(open_files):05d}-e{epoch}{SUFFIX}"
+                    open_files[epoch] = (files.open_output_stream(f"{root}/{name}"), {"file": name, "size": 0, "offsets": [0]})
+                stream, entry = open_files[epoch]
+                if entry["size"] - entry["offsets"][-1] >= self.part:
+                    entry["offsets"].append(entry["size"])
+                stream.write(data.tobytes())
+                entry["size"] += len(data)
+                if entry["size"] >= self.roll:
                     close(epoch)
         for epoch in list(open_files):
             close(epoch)
         return Written(closed)
 
-    def _discard(self, files, messages):
+    def _discard(self, files, root, messages):
         for message in messages:
-            for staged, _ in message.files if message is not None else ():
-                files.delete_file(staged)
+            for entry in message.files if message is not None else ():
+                files.delete_file(f"{root}/{entry['file']}")
 
     def commit(self, messages):
         files, root = open_fs(self.path)
-        marker = f"{root}/_committed-{self.job}"
-        if self.batch is not None and files.get_file_info(marker).is_file:
-            self._discard(files, messages)
+        folder = f"{root}/{MANIFESTS}"
+        final = f"{folder}/{self.job}.json"
+        if self.batch is not None and files.get_file_info(final).is_file:
+            self._discard(files, root, messages)
             return
-        files.create_dir(root, recursive=True)
-        if self.batch is not None:
-            self._sweep(files, root, f"{self.job}-")  # an earlier commit of this batch that did not come to its end
-        moves = [(staged, f"{root}/{name}") for message in messages for staged, name in message.files]
-        with ThreadPoolExecutor(MOVERS) as pool:
-            list(pool.map(lambda move: files.move(*move), moves))
-        if self.batch is not None:
-            files.open_output_stream(marker).close()
-        self._sweep(files, f"{root}/_staging", f"{self.job}-")  # attempts that were killed
-
-    @staticmethod
-    def _sweep(files, folder, prefix):
-        for found in files.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
-            if found.is_file and found.base_name.startswith(prefix):
-                files.delete_file(found.path)
+        files.create_dir(folder, recursive=True)
+        draft = f"{folder}/_{self.job}-{uuid.uuid4().hex}"
+        with files.open_output_stream(draft) as stream:
+            for message in messages:
+                for entry in message.files:
+                    stream.write(json.dumps(entry).encode() + b"\n")
+        files.move(draft, final)
 
     def abort(self, messages):
-        files, _ = open_fs(self.path)
-        self._discard(files, messages)
+        files, root = open_fs(self.path)
+        self._discard(files, root, messages)
+
+
+def remove_unlisted(path: str, older_than_seconds: float = 86_400) -> int:
+    """Delete dump files that no manifest of the folder lists and that are older than any running write; gives how many."""
+    entries = manifest_entries(path)
+    if entries is None:
+        raise ValueError(f"{path} has no manifests")
+    listed = {e["file"] for e in entries}
+    files, root = open_fs(path)
+    gone = 0
+    for found in files.get_file_info(pafs.FileSelector(root)):
+        old = found.mtime_ns is not None and time.time_ns() - found.mtime_ns > older_than_seconds * 1e9
+        if found.is_file and found.base_name.endswith(SUFFIX) and found.base_name not in listed and old:
+            files.delete_file(found.path)
+            gone += 1
+    return gone
 
 
 class DumpDataSource(DataSource):

@@ -136,14 +136,46 @@ def test_nulls_are_refused_and_times_stay_exact(spark, work):
 
 
 def test_replay_after_half_a_commit(spark, work):
-    import os
-
     path = work()
     rows = _rows(spark, [(1, i, b"x") for i in range(10)])
     dump.write_dump(rows.repartition(4), path, batch_id=3)
-    os.remove(f"{path}/_committed-b000000000003")  # as if the commit had stopped before its end
-    open(f"{path}/_staging/b000000000003-dead.dump", "wb").close()
-    dump.write_dump(rows.repartition(2), path, batch_id=3)
-    assert dump.read_dump(spark, path).count() == 10 and os.listdir(f"{path}/_staging") == []
-    dump.write_dump(rows.repartition(3), path, batch_id=3)
+    os.remove(f"{path}/manifests/b000000000003.json")  # as if it had stopped before the commit
+    assert dump.read_dump(spark, path).count() == 0
+    for parts in (2, 3):
+        dump.write_dump(rows.repartition(parts), path, batch_id=3)
+        assert dump.read_dump(spark, path).count() == 10
+    files = [f for f in os.listdir(path) if f.endswith(".dump")]
+    assert len(files) == 4 + 2 and records.remove_unlisted(path, older_than_seconds=0) == 4
     assert dump.read_dump(spark, path).count() == 10
+
+
+def test_a_large_file_is_read_in_parts(spark, work):
+    path = work()
+    rows = spark.range(40_000).selectExpr("id % 3 as filter_id", "id as ts_ns", "cast(repeat('p', cast(id % 90 as int)) as binary) as payload")
+    dump.write_dump(rows.coalesce(1), path, part_bytes=100_000)
+    file, = [f for f in os.listdir(path) if f.endswith(".dump")]
+    entry, = records.manifest_entries(path)
+    parts = records.parts_of(entry)
+    assert len(parts) >= 4 and parts[0][0] == 0 and parts[-1][1] == os.path.getsize(f"{path}/{file}")
+    back = dump.read_dump(spark, path)
+    want = sorted(map(tuple, rows.select("filter_id", "ts_ns").collect()))
+    assert sorted(map(tuple, back.select("filter_id", "ts_ns").collect())) == want
+    out = work()
+    query = (dump.stream_dump(spark, path).select("filter_id", "ts_ns").writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", work()).trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == want
+    with open(f"{path}/{file}", "r+b") as stream:  # one damaged part does not take the others with it
+        stream.seek(parts[1][0])
+        stream.write(b"\0\0")
+    rest = dump.read_dump(spark, path, mode="PERMISSIVE")
+    bad = rest.filter("corrupt IS NOT NULL").first()
+    assert (bad.src_offset, bad.wire_len) == (parts[1][0], parts[1][1] - parts[1][0])
+    assert rest.filter("corrupt IS NULL AND src_offset >= %d" % parts[2][0]).count() > 0
+
+
+def test_files_from_elsewhere_beside_manifests_are_not_read(spark, work):
+    path = work()
+    dump.write_dump(_rows(spark, [(1, 5, b"x")]), path)
+    put(path, "other.dump", record(9, 5, b"abc"))
+    assert [r.filter_id for r in dump.read_dump(spark, path).collect()] == [1]
