@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from framelake.plans import snapshot as S
 from framelake.plans import workload as w
 from framelake.session import stage, stream_session, work_path
 from framelake.sources import dump, frames as frame_source, outputs, rules as rule_source
-from framelake.streaming import intervals as SI, match as SM
+from framelake.streaming import intervals as SI, live as SL, match as SM
 
 ACTIVE_AT_NS = 1_705_276_800_000_000_000
 START_NS = 1_704_067_200_000_000_000
@@ -77,6 +78,34 @@ def stream_dump_count(spark, d):
         F.max("ts_ns").alias("last_ns"))
 
 
+def dump_replay(spark, d):
+    """A dump written batch by batch, with a failed attempt and replays in other partitionings, followed by a stream."""
+    path, table, checkpoint = work_path(spark, "dump"), work_path(spark, "dump-stream"), work_path(spark, "checkpoint")
+    matched = _matched(spark, d).select("filter_id", "ts_ns", "payload")
+    first, second = matched.filter("ts_ns % 2000 = 0"), matched.filter("ts_ns % 2000 <> 0")
+
+    def follow():
+        (dump.stream_dump(spark, path).select("filter_id", "wire_len").writeStream.format("parquet")
+         .option("checkpointLocation", checkpoint).option("path", table).trigger(availableNow=True).start()
+         .awaitTermination())
+
+    dump.write_dump(first, path, batch_id=0)
+    follow()
+    try:  # tasks that end well leave files that no manifest lists
+        broken = second.unionByName(first.limit(1).withColumn("payload", F.lit(None).cast("binary")))
+        dump.write_dump(broken.repartition(4), path, batch_id=1)
+    except PySparkException:
+        follow()
+    dump.write_dump(second.repartition(3), path, batch_id=1)
+    dump.write_dump(second.repartition(2), path, batch_id=1)
+    dump.write_dump(first.repartition(5), path, batch_id=0)
+    follow()
+    total = [F.count("*").alias("packets"), F.sum("wire_len").alias("bytes")]
+    streamed = spark.read.parquet(table).groupBy("filter_id").agg(*[t.alias(f"streamed_{n}") for t, n in
+                                                                    zip(total, ("packets", "bytes"))])
+    return dump.read_dump(spark, path).groupBy("filter_id").agg(*total).join(streamed, "filter_id", "full")
+
+
 # ---- rules ----------------------------------------------------------------------------------------------------------
 
 def _specs(spark, d):
@@ -93,7 +122,7 @@ def rules_rejected(spark, d):
 
 def rules_numbered(spark, d):
     valid = R.accepted(R.compile_rules(_specs(spark, d))).select("event_id")
-    return R.assign_ids(valid, "event_id", last_id=1000, block=512)
+    return R.assign_ids(valid, "event_id", last_id=1000, partitions=5)
 
 
 def rules_from_json(spark, d):
@@ -169,6 +198,20 @@ def match_many_shapes_salted(spark, d):
     return _hits(m.match(_decoded(spark, d), w.shape_rules(spark, d), broadcast_rules=0))
 
 
+def match_pruned_shapes(spark, d):
+    """Shapes of all prefix lengths: a frame is tried only against those that its addresses leave open."""
+    return _hits(m.match(_decoded(spark, d), w.wide_rules(spark, d), plan="keyed"))
+
+
+def match_pruned_shapes_salted(spark, d):
+    return _hits(m.match(_decoded(spark, d), w.wide_rules(spark, d), plan="keyed", broadcast_rules=100, salts=4))
+
+
+def match_rules_temporal_keyed(spark, d):
+    """Every host rule registered again and again: looked up by its key and cells of time."""
+    return _hits(m.match(_decoded(spark, d), w.registered_again(spark, d), plan="keyed"))
+
+
 def prefilter_many_shapes(spark, d):
     return prefilter.prefilter(_decoded(spark, d), w.shape_rules(spark, d)).select("capture_id", "n_bytes")
 
@@ -258,6 +301,11 @@ def capture_totals(spark, d):
     return stats.capture_totals(decoded, m.match(decoded, w.fixed_rules(spark)))
 
 
+def capture_totals_one_pass(spark, d):
+    decoded = _decoded(spark, d, "user_id")
+    return stats.capture_totals_of_packets(decoded, m.few_rules(w.fixed_rules(spark), m.inline_bound(decoded)))
+
+
 def flow_summary(spark, d):
     return flows.flow_summary(_decoded(spark, d))
 
@@ -362,6 +410,15 @@ def stream_match(spark, d):
     return spark.read.parquet(table).select("capture_id", "filter_id")
 
 
+def stream_prefilter(spark, d):
+    """Rules of many shapes over a stream: one lookup for all of them in every batch."""
+    table, rules = work_path(spark, "kept"), stage(w.shape_rules(spark, d), "shape-rules")
+    writer = SM.prefilter_writer(_frame_stream(spark, d), lambda: rules, table, work_path(spark, "checkpoint"),
+                                 columns=["capture_id", "n_bytes"])
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(table).select("capture_id", "n_bytes")
+
+
 def _interval_table(spark, d) -> str:
     path, table = work_path(spark, "frames"), work_path(spark, "intervals")
     w.event_frames(spark, d).write.parquet(path)
@@ -386,17 +443,72 @@ def stream_correction(spark, d):
     one = good.filter(F.col("interval") == day)
     SI.correct_intervals(one.withColumn("packets", F.col("packets") + 1), table, version=2)
     SI.correct_intervals(one, table, version=3)
+    # another interval, corrected under the same version: both corrections hold
+    other = good.filter(F.col("interval") == day + 1)
+    SI.correct_intervals(other.withColumn("packets", F.col("packets") + 5), table, version=3)
+    SI.correct_intervals(other, table, version=3)
     return _round(SI.read_intervals(spark, table).drop("src_sketch", "dst_sketch"), "src_entropy_bits")
 
 
+def _live(spark, d, files: int = 3, restart: bool = False) -> str:
+    """The folder of a live query over the event frames, run until all intervals are closed by the idle timer."""
+    path, out, checkpoint = work_path(spark, "frames"), work_path(spark, "live"), work_path(spark, "checkpoint")
+    every = w.event_frames(spark, d)
+    for i in range(files):  # one after the other: a stream takes files in the order of their times
+        part = F.floor((F.col("ts_ns") - START_NS) / (10 * w.DAY_NS))
+        every.filter(F.least(F.greatest(part, F.lit(0)), F.lit(files - 1)) == i).coalesce(1).write.mode("append").parquet(path)
+
+    def start():
+        frames = SL.with_heartbeat(frame_source.stream_frames(spark, path, max_files=1))
+        return SL.live_statistics(frames, lambda: w.fixed_rules(spark), out, checkpoint, w.DAY_NS,
+                                  idle_seconds=2).trigger(processingTime="500 milliseconds").start()
+
+    query = start()
+    if restart:
+        SL.wait_for(spark, query, out, lambda state: state.batch >= 0)
+        SL.stop(query)
+        query = start()
+    SL.wait_for(spark, query, out, lambda state: state.base is not None and not state.open)
+    SL.stop(query)
+    return out
+
+
 def stream_interval_stats(spark, d):
-    return _round(SI.read_intervals(spark, _interval_table(spark, d)).drop("src_sketch", "dst_sketch"),
-                  "src_entropy_bits")
+    return _round(SL.read_live(spark, _live(spark, d), "intervals").drop("src_sketch", "dst_sketch"), "src_entropy_bits")
 
 
-def stream_snapshot(spark, d):
-    """Snapshots over the streamed interval table, their sketch counts judged against exact ones."""
-    streamed = SI.current_snapshots(spark, _interval_table(spark, d))
+def stream_snapshot_incremental(spark, d):
+    """Snapshots folded forward as intervals close, over a restart; their sketch counts judged against exact ones."""
+    return _judged_snapshots(spark, d, SL.read_live(spark, _live(spark, d, restart=True), "snapshots"))
+
+
+def stream_snapshot_json(spark, d):
+    """A JSON line per tick."""
+    ticks = SL.read_ticks(spark, _live(spark, d, restart=True))
+    return _round(ticks.drop("unique_src_ips", "unique_dst_ips"), "src_entropy_bits")
+
+
+EDIT_NS = START_NS + 15 * w.DAY_NS
+
+
+def stream_editable_stats(spark, d):
+    """Rules 7 to 12 are added while the query runs, before the frames from ``EDIT_NS`` on come."""
+    path, rules, out = work_path(spark, "frames"), work_path(spark, "live-rules"), work_path(spark, "live")
+    all_frames, all_rules = w.event_frames(spark, d), w.fixed_rules(spark)
+    all_rules.filter("rule_id <= 6").write.parquet(rules)
+    all_frames.filter(F.col("ts_ns") < EDIT_NS).write.parquet(path)
+    frames = SL.with_heartbeat(frame_source.stream_frames(spark, path))
+    query = SL.live_statistics(frames, lambda: spark.read.parquet(rules), out, work_path(spark, "checkpoint"), w.DAY_NS,
+                               idle_seconds=2).trigger(processingTime="500 milliseconds").start()
+    SL.wait_for(spark, query, out, lambda state: state.batch >= 0)
+    all_rules.filter("rule_id > 6").write.mode("append").parquet(rules)
+    all_frames.filter(F.col("ts_ns") >= EDIT_NS).write.mode("append").parquet(path)
+    SL.wait_for(spark, query, out, lambda state: state.newest_ns >= EDIT_NS and not state.open)
+    SL.stop(query)
+    return _round(SL.read_live(spark, out, "intervals").drop("src_sketch", "dst_sketch"), "src_entropy_bits")
+
+
+def _judged_snapshots(spark, d, streamed):
     exact = S.snapshots(stage(_intervals(spark, d), "intervals")).select(
         "filter_id", "interval", F.col("unique_src_ips").alias("exact_src_ips"),
         F.col("unique_dst_ips").alias("exact_dst_ips"))
@@ -408,6 +520,11 @@ def stream_snapshot(spark, d):
         "src_window_packets", good.alias("uniques_in_bound"))
 
 
+def stream_snapshot(spark, d):
+    """Snapshots over the streamed interval table, their sketch counts judged against exact ones."""
+    return _judged_snapshots(spark, d, SI.current_snapshots(spark, _interval_table(spark, d)))
+
+
 # ---- monitoring -----------------------------------------------------------------------------------------------------
 
 def counter_rates(spark, d):
@@ -441,15 +558,17 @@ def bench_compare(spark, d):
 
 def queries() -> dict:
     out = {f.__name__: f for f in (
-        frame_scan, decode_packets, decodable_frames, dump_roundtrip, stream_dump_count, rules_compiled, rules_rejected,
+        frame_scan, decode_packets, decodable_frames, dump_roundtrip, dump_replay, stream_dump_count, rules_compiled, rules_rejected,
         rules_numbered, rules_from_json, rules_from_flags, rules_active_at, rule_validity, match_rules,
-        rules_listing, rules_file_numbered, match_many_shapes, match_many_shapes_salted, prefilter_many_shapes,
+        rules_listing, rules_file_numbered, match_many_shapes, match_many_shapes_salted, match_pruned_shapes,
+        match_pruned_shapes_salted, match_rules_temporal_keyed, prefilter_many_shapes,
         rejected_many_rules, gap_fill_until, snapshot_until, snapshot_hll, sketch_union_raw_and_stored,
         stream_correction, match_rules_shapes, match_many_rules, match_many_rules_salted, prefilter_union, prefilter_rejected,
         prefilter_many_rules, match_rules_temporal, dump_drops, rule_totals, unique_ips_exact, unique_ips_hll,
         interval_uniques, src_entropy, src_ip_histogram, top_peers, capture_totals, flow_summary, flow_summary_oneway,
         interval_stats, running_totals, gap_fill, snapshot, snapshot_of_dump, snapshot_volume, snapshot_json,
-        stream_match, stream_interval_stats, stream_snapshot, counter_rates, loss_verdict, breaking_point,
+        capture_totals_one_pass, stream_match, stream_prefilter, stream_interval_stats, stream_editable_stats, stream_snapshot,
+        stream_snapshot_incremental, stream_snapshot_json, counter_rates, loss_verdict, breaking_point,
         bench_compare)}
     for name, ids in (("match_proto", (1, 2, 5, 10)), ("match_src_cidr", (3, 7, 11)), ("match_dst_cidr", (6, 12)),
                       ("match_src_port", (9,)), ("match_dst_port", (1, 2, 7, 10))):

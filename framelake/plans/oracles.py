@@ -71,6 +71,24 @@ rl(rule_id, pr, slo, shi, dlo, dhi, sp, dp) AS (
   SELECT k, CASE WHEN k % 2 = 0 THEN 6 END, a - a % x, a - a % x + x - 1, b - b % y, b - b % y + y - 1, NULL::INT,
     CASE WHEN k % 3 = 0 THEN 443 END FROM shaped)"""
 
+# rules of all prefix lengths that follow from customer
+WIDE_RULES = """
+wide AS (
+  SELECT c_custkey AS k, 167772160 + (c_custkey % 4) * 65536 + c_custkey % 150 AS a, 3232235520 + c_custkey % 1000 AS b,
+    CAST(pow(2, 32 - c_custkey % 33) AS BIGINT) AS x, CAST(pow(2, 32 - c_custkey * 7 % 33) AS BIGINT) AS y FROM customer),
+rl(rule_id, pr, slo, shi, dlo, dhi, sp, dp) AS (
+  SELECT k, CASE WHEN k % 2 = 0 THEN 6 END, a - a % x, a - a % x + x - 1, b - b % y, b - b % y + y - 1,
+    CASE WHEN k % 5 = 0 THEN 1024 + k % 500 END, CASE WHEN k % 3 = 0 THEN 443 END FROM wide)"""
+
+# every host rule of customer twelve times, one after the other
+TIMED_RULES = """
+timed AS (
+  SELECT c_custkey AS k, turn, 1704067200000000000 + (c_custkey % 7 + turn * 2) * 86400000000000 AS since,
+    167772160 + (c_custkey % 4) * 65536 + c_custkey AS a FROM customer, (SELECT unnest(range(12)) AS turn)),
+rl(rule_id, pr, slo, shi, dlo, dhi, sp, dp, since, until) AS (
+  SELECT k * 100 + turn, CASE WHEN k % 2 = 0 THEN 6 END, a, a, NULL::BIGINT, NULL::BIGINT, NULL::INT, NULL::INT, since,
+    CASE WHEN turn < 11 THEN since + 10800000000000 * CAST(pow(2, (k + turn) % 5) AS BIGINT) END FROM timed)"""
+
 _HITS = """
   (r.pr IS NULL OR r.pr = p.pr) AND (r.slo IS NULL OR p.si BETWEEN r.slo AND r.shi)
   AND (r.dlo IS NULL OR p.di BETWEEN r.dlo AND r.dhi)
@@ -95,10 +113,10 @@ SELECT CAST(event_id AS VARCHAR) AS capture_id, n_bytes FROM pk p
 WHERE {'' if keep else 'NOT'} EXISTS (SELECT 1 FROM rl r WHERE p.match_ok AND {_HITS} {where})"""
 
 
-def intervals(source: str = _EVENTS, width: int = DAY) -> str:
+def intervals(source: str = _EVENTS, width: int = DAY, where: str = "TRUE") -> str:
     """CTEs: ``iv`` per (rule, interval), ``hist`` per source address, ``ent`` entropy, ``fresh_*`` first sightings."""
     return f"""{matched(source)},
-mi AS (SELECT *, ts_ns // {width} AS interval FROM m),
+mi AS (SELECT *, ts_ns // {width} AS interval FROM m WHERE {where}),
 iv AS (SELECT filter_id, interval, count(*) AS packets, CAST(sum(n_bytes) AS BIGINT) AS bytes,
          count(*) FILTER (WHERE stat_ok) AS win FROM mi GROUP BY ALL),
 hist AS (SELECT filter_id, interval, si, count(*) AS c FROM mi WHERE stat_ok GROUP BY ALL),
@@ -216,7 +234,12 @@ SELECT a.rule_id, a.ts_ns AS from_ns, min(r.ts_ns) AS to_ns FROM adds a LEFT JOI
     out["match_rules"] = out["match_rules_shapes"] = match_rows()
     out["match_many_rules"] = out["match_many_rules_salted"] = match_rows(rules=MANY_RULES)
     out["match_many_shapes"] = out["match_many_shapes_salted"] = match_rows(rules=SHAPE_RULES)
+    out["match_pruned_shapes"] = out["match_pruned_shapes_salted"] = match_rows(rules=WIDE_RULES)
+    out["match_rules_temporal_keyed"] = (
+        f"{packets()}, {TIMED_RULES} SELECT CAST(event_id AS VARCHAR) AS capture_id, CAST(rule_id AS BIGINT) AS filter_id "
+        f"FROM pk p JOIN rl r ON p.match_ok AND {_HITS} AND p.ts_ns >= since AND (until IS NULL OR p.ts_ns < until)")
     out["prefilter_many_shapes"] = prefilter(True, SHAPE_RULES)
+    out["stream_prefilter"] = out["prefilter_many_shapes"]
     out["rejected_many_rules"] = prefilter(False, MANY_RULES)
     out["prefilter_union"] = prefilter(True, rule_ids="2, 3, 6, 9")
     out["prefilter_rejected"] = prefilter(False, rule_ids="2, 3, 6, 9")
@@ -234,6 +257,9 @@ SELECT CAST(filter_id AS BIGINT) AS filter_id, ts_ns, ts_ns & 281474976710655 AS
     out["stream_dump_count"] = f"""{matched()}
 SELECT CAST(filter_id AS BIGINT) AS filter_id, count(*) AS packets, CAST(sum(n_bytes) AS BIGINT) AS bytes,
   min(ts_ns) AS first_ns, max(ts_ns) AS last_ns FROM m GROUP BY filter_id"""
+    out["dump_replay"] = f"""{matched()}
+SELECT CAST(filter_id AS BIGINT) AS filter_id, count(*) AS packets, CAST(sum(n_bytes) AS BIGINT) AS bytes,
+  count(*) AS streamed_packets, CAST(sum(n_bytes) AS BIGINT) AS streamed_bytes FROM m GROUP BY filter_id"""
     out["rule_totals"] = f"""{matched()}
 SELECT CAST(filter_id AS BIGINT) AS filter_id, count(*) AS packets, CAST(sum(n_bytes) AS BIGINT) AS bytes FROM m GROUP BY filter_id"""
     uniques = """count(DISTINCT si) FILTER (WHERE stat_ok) AS unique_src_ips,
@@ -257,6 +283,7 @@ SELECT CAST(user_id AS VARCHAR) AS capture_id, rx_packets, rx_bytes, decodable,
   (SELECT user_id, count(*) AS rx_packets, CAST(sum(n_bytes) AS BIGINT) AS rx_bytes,
      count(*) FILTER (WHERE match_ok) AS decodable FROM pk GROUP BY user_id)
   LEFT JOIN (SELECT user_id, count(*) AS dumped FROM m GROUP BY user_id) USING (user_id)"""
+    out["capture_totals_one_pass"] = out["capture_totals"]
     flow = """count(*) AS packets, count(*) FILTER (WHERE fwd) AS packets_ab, count(*) FILTER (WHERE NOT fwd) AS packets_ba,
   CAST(sum(n_bytes) AS BIGINT) AS bytes, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns"""
     out["flow_summary"] = f"""{packets()},
@@ -292,9 +319,14 @@ SELECT CAST(filter_id AS BIGINT) AS filter_id, TRUE AS same_src, TRUE AS same_ds
 SELECT CAST(filter_id AS BIGINT) AS filter_id, interval, packets, bytes, win AS src_window_packets,
   coalesce(bits, 0.0) AS src_entropy_bits FROM iv LEFT JOIN ent USING (filter_id, interval)"""
     out["stream_correction"] = out["stream_interval_stats"]
+    out["stream_editable_stats"] = out["stream_interval_stats"].replace(
+        intervals(), intervals(where=f"filter_id <= 6 OR ts_ns >= 1704067200000000000 + 15 * {DAY}"))
     out["stream_snapshot"] = snapshot().replace("unique_src_ips", "exact_src_ips").replace(
         "unique_dst_ips", "exact_dst_ips").replace("coalesce(win, 0) AS src_window_packets",
         "coalesce(win, 0) AS src_window_packets, TRUE AS uniques_in_bound")
+    out["stream_snapshot_incremental"] = out["stream_snapshot"]
+    out["stream_snapshot_json"] = f"""SELECT filter_id, packets, bytes, src_entropy_bits, src_window_packets
+FROM ({snapshot(with_interval=False)})"""
     samples = f"""
 WITH ev AS ({_EVENTS}),
 st AS (SELECT user_id, ts_ns, sum(64 + CAST(floor(value) AS BIGINT)) AS rx, count(*) FILTER (WHERE event_type = 'error') AS dr,

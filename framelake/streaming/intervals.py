@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,24 +59,34 @@ def interval_writer(intervals: DataFrame, table: str, checkpoint: str) -> DataSt
         "path", table)
 
 
+_POINTER = "put string, version bigint, seq bigint"
+
+
 def correct_intervals(intervals: DataFrame, table: str, version: int) -> None:
     """Put in whole intervals computed from stored frames; they replace what the stream wrote for these intervals.
 
-    Between corrections of one interval the highest ``version`` counts; writing a version again replaces it.
+    Each correction is written to a folder of its own and counts from the moment its pointer, a single small file, is
+    there: readers see all of it or nothing.  For each interval the highest ``version`` counts, and of equal versions
+    the last one put in; corrections of other intervals stay as they are.
     """
-    intervals.selectExpr("*", f"cast({version} as bigint) as version").write.mode("overwrite").parquet(
-        f"{table.rstrip('/')}-corrections/version={version}")
+    spark, root = intervals.sparkSession, f"{table.rstrip('/')}-corrections"
+    put = uuid.uuid4().hex
+    intervals.select(*[c.split()[0] for c in INTERVAL_TABLE.split(", ")]).write.parquet(f"{root}/data/put={put}")
+    pointer = spark.createDataFrame([(put, version, time.time_ns())], _POINTER).coalesce(1)
+    pointer.write.mode("append").json(f"{root}/log")
 
 
 def _corrections(spark: SparkSession, table: str) -> DataFrame | None:
+    """All corrections with pointers, each row with the order in which it counts."""
+    root = f"{table.rstrip('/')}-corrections"
     try:
-        found = spark.read.option("recursiveFileLookup", "true").schema(f"{INTERVAL_TABLE}, version bigint").parquet(
-            f"{table.rstrip('/')}-corrections")
-        return found if not found.isEmpty() else None
+        log = spark.read.schema(_POINTER).json(f"{root}/log")
+        data = spark.read.schema(f"{INTERVAL_TABLE}, put string").parquet(f"{root}/data")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+    return data.join(log, "put").withColumn("rank", F.struct("version", "seq", "put")).drop("put", "version", "seq")
 
 
 def read_intervals(spark: SparkSession, table: str) -> DataFrame:
@@ -81,8 +94,8 @@ def read_intervals(spark: SparkSession, table: str) -> DataFrame:
     streamed, corrected = spark.read.schema(INTERVAL_TABLE).parquet(table), _corrections(spark, table)
     if corrected is None:
         return streamed
-    newest = corrected.groupBy("interval").agg(F.max("version").alias("version"))
-    latest = corrected.join(newest, ["interval", "version"], "left_semi").select(*streamed.columns)
+    newest = corrected.groupBy("interval").agg(F.max("rank").alias("rank"))
+    latest = corrected.join(newest, ["interval", "rank"], "left_semi").select(*streamed.columns)
     return streamed.join(newest, "interval", "left_anti").select(*latest.columns).unionByName(latest)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from framelake.operators.decode import decode
 from framelake.operators.match import match
+from framelake.operators.prefilter import prefilter, rejected
 from framelake.sources.dump import write_dump
 
 
@@ -29,6 +30,23 @@ def match_writer(frames: DataFrame, load_rules: Callable[[], DataFrame], out: st
     return frames.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
 
 
+def prefilter_writer(frames: DataFrame, load_rules: Callable[[], DataFrame], out: str, checkpoint: str,
+                     keep: bool = True, columns: list[str] | None = None) -> DataStreamWriter:
+    """The frames of a stream that some rule wants (or, with ``keep`` false, that none does), into the Parquet table
+    ``out``.
+
+    Each micro-batch takes the batch plan: its distinct 5-tuples are tried in one lookup for all shapes, where a join
+    within the stream needs one for each shape.  Rules are read per batch and replays replace, as in ``match_writer``.
+    """
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        chosen = (prefilter if keep else rejected)(decode(batch), load_rules())
+        if columns:
+            chosen = chosen.select(*columns)
+        chosen.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return frames.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
+
+
 def dump_writer(frames: DataFrame, load_rules: Callable[[], DataFrame], out: str, checkpoint: str) -> DataStreamWriter:
     """Like ``match_writer``, but into dump files; a replayed batch is recognised and not written again."""
     def one_batch(batch: DataFrame, batch_id: int) -> None:

@@ -9,6 +9,7 @@ from framelake.session import stage
 from framelake.sources.dump import read_dump
 from framelake.sources.frames import from_capture_clock, stream_frames
 from framelake.streaming import intervals as SI
+from framelake.streaming import live
 from framelake.streaming import match as SM
 
 SEC = 10**9
@@ -141,3 +142,76 @@ def test_corrections_replace_whole_intervals(spark, work):
         SI.correct_intervals(first.selectExpr(*[c if c != "packets" else f"{packets}L as packets" for c in first.columns]),
                              table, version)
     assert sorted((r.interval, r.packets) for r in SI.read_intervals(spark, table).collect()) == [(0, 7), (1, 1)]
+    # another interval under a version already used: both corrections hold
+    second = SI.read_intervals(spark, table).filter("interval = 1")
+    SI.correct_intervals(second.selectExpr(*[c if c != "packets" else "4L as packets" for c in second.columns]), table, 2)
+    assert sorted((r.interval, r.packets) for r in SI.read_intervals(spark, table).collect()) == [(0, 7), (1, 4)]
+    # one without a pointer is not seen, as if it had stopped half way
+    second.write.parquet(f"{table}-corrections/data/put=unfinished")
+    assert SI.read_intervals(spark, table).count() == 2
+
+
+class Batches:
+    """Stands for a stream: hands out the batch function."""
+
+    writeStream = property(lambda self: self)
+
+    def foreachBatch(self, function):
+        self.function = function
+        return self
+
+    def option(self, *_):
+        return self
+
+
+def test_live_ledger_equals_batch_and_repeats_nothing(spark, work):
+    rules = [{"protocol": "tcp"}, {}, {"src_ip": "10.0.0.0/31"}]
+    table = rules_df(spark, rules)
+    payloads = [frame(f"10.0.0.{i % 5}", proto=[6, 17][i % 2], version=[4, 4, 6][i % 3]) for i in range(40)]
+    times = [t * SEC for t in (0, 1, 1, 2, 9, 12, 13, 25, 31, 33, 33, 34, 48, 50, 51, 52, 77, 78, 79, 80)] * 2
+    rows = sorted(zip(times, payloads), key=lambda r: r[0])
+    out, feed = work(), Batches()
+    live.live_statistics(feed, lambda: table, out, "", 10 * SEC)
+    cuts = [0, 3, 3, 11, 18, 25, 40]
+    batches = [frames_df(spark, [p for _, p in rows[a:b]], ts=[t for t, _ in rows[a:b]]) for a, b in zip(cuts, cuts[1:])]
+    for i, batch in enumerate(batches):
+        if i == 3:  # the query is started anew, and batch 2 comes once more; an attempt left half of batch 3
+            feed = Batches()
+            live.live_statistics(feed, lambda: table, out, "", 10 * SEC)
+            feed.function(batches[2], 2)
+            batches[0].select("ts_ns").write.parquet(f"{out}/counts/batch=3")
+        feed.function(batch, i)
+        if i == 4:
+            half = live.read_live(spark, out, "intervals").agg({"interval": "max"}).first()[0]
+            assert half is not None and half < rows[24][0] // (10 * SEC)
+    nothing, feed = batches[0].filter("ts_ns < 0"), Batches()
+    live.live_statistics(feed, lambda: table, out, "", 10 * SEC, idle_seconds=0)
+    for i in (6, 7):  # the idle timer closes what is left, once
+        feed.function(nothing, i)
+    stored = decode(frames_df(spark, [p for _, p in rows], ts=[t for t, _ in rows]))
+    want = S.intervals_of_packets(stored, table, 10 * SEC)
+    shared = ["filter_id", "interval", "packets", "bytes", "src_window_packets", "src_entropy_bits"]
+    got = live.read_live(spark, out, "intervals")
+    assert sorted(map(tuple, got.select(*shared).collect())) == sorted(map(tuple, want.select(*shared).collect()))
+    full = sorted(map(tuple, S.snapshots(stage(want, "t"), block=3).select(*S.SNAPSHOT_COLUMNS).collect()))
+    assert sorted(map(tuple, live.read_live(spark, out, "snapshots").select(*S.SNAPSHOT_COLUMNS).collect())) == full
+    ticks = live.read_ticks(spark, out).collect()
+    assert sorted(map(tuple, ticks)) == sorted((r[0], *r[2:]) for r in full)
+    assert live.late_counts(spark, out).count() == 0
+    feed.function(batches[0], 8)  # frames of long ago
+    assert {(r.filter_id, r.interval) for r in live.late_counts(spark, out).collect()} >= {(1, 0), (2, 0)}
+    assert live.read_live(spark, out, "intervals").count() == got.count()
+
+
+def test_live_statistics_of_rules_edited_between_batches(spark, work):
+    rules, out, feed = work(), work(), Batches()
+    rules_df(spark, [{"protocol": "tcp"}]).write.parquet(rules)
+    live.live_statistics(feed, lambda: spark.read.parquet(rules), out, "", SEC)
+    feed.function(frames_df(spark, [frame(), frame(proto=17)], ts=[0, 1]), 0)
+    rules_df(spark, [{}, {"protocol": "udp"}]).filter("rule_id = 2").write.mode("append").parquet(rules)
+    feed.function(frames_df(spark, [frame(), frame(proto=17), frame()], ts=[SEC, SEC + 1, 5 * SEC]), 1)
+    got = sorted((r.filter_id, r.interval, r.packets) for r in live.read_live(spark, out, "intervals").collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
+    ticks = live.read_live(spark, out, "snapshots").filter("filter_id = 2").orderBy("interval").collect()
+    assert [(r.interval, r.packets) for r in ticks] == [(1, 1), (2, 1), (3, 1), (4, 1)]
+    assert live.read_live(spark, work(), "snapshots").count() == 0
