@@ -4,7 +4,8 @@ Words that a task has not met yet are encoded together: all their symbols stand
 that has a rank to all its positions, and the active ranks are taken in ascending order; applying one rewrites the
 positions of that pair and updates the lists of the pairs beside them.  Every merge makes a symbol that only later
 ranks use (checked when the vocabulary is loaded), so one ascending pass gives what merging word by word gives.  What
-a word encodes to is kept for the task, up to a bound, since texts repeat their words.
+a word encodes to is kept for the task, up to a bound, since texts repeat their words; of two generations the older one
+goes when the younger is full, and words still in use move over to the younger.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm.common import chunks, texts_of, trimmed
 
-CACHED = 150_000  #: pieces and words whose encodings a task keeps; beyond it starts afresh
+CACHED = 100_000  #: pieces, and words, that a task keeps at least while they are in use (twice as many at most, some 70 MB)
 _CHUNK = 1 << 20
 
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -181,69 +182,82 @@ class Vocabulary:
         return " ".join([self.texts[i] for i in ids])
 
 
+Entry = tuple[int, str, str]  #: number of ids, ids joined by spaces, their texts joined by spaces
+
+
+class Kept:
+    """What was met lately: two generations of at most ``bound`` entries."""
+
+    def __init__(self, bound: int):
+        self.bound = bound
+        self.young: dict[str, Entry] = {}
+        self.old: dict[str, Entry] = {}
+
+    def again(self, key: str) -> Entry | None:
+        """An entry of the older generation, which it leaves."""
+        found = self.old.get(key)
+        if found is not None:
+            self.young[key] = found
+        return found
+
+    def age(self) -> None:
+        """Let the older generation go if the younger is full."""
+        if len(self.young) > self.bound:
+            self.young, self.old = {}, self.young
+
+
 class Coder:
-    """Encodes texts within a task, keeping pieces and words met before."""
+    """Encodes texts within a task, keeping pieces and words met lately."""
 
     def __init__(self, vocabulary: Vocabulary, cached: int = CACHED):
-        self.vocabulary, self.cached = vocabulary, cached
-        self.words: dict[str, tuple[int, str, str]] = {}
-        self.pieces: dict[str, tuple[int, str, str]] = {}
-
-    def forget(self) -> None:
-        """Start afresh."""
-        self.pieces.clear()
-        self.words.clear()
-
-    def learn(self, wanted: list[str]) -> None:
-        """Encode these new pieces."""
-        if len(self.pieces) > self.cached:
-            self.pieces.clear()
-        if len(self.words) > self.cached:
-            self.words.clear()
-        v, words, pieces, special = self.vocabulary, self.words, self.pieces, self.vocabulary.special
+        self.vocabulary = vocabulary
+        self.words, self.pieces = Kept(cached), Kept(cached)
+
+    def learn(self, wanted: list[str]) -> dict[str, Entry]:
+        """The entries of these pieces, encoding words that are not kept."""
+        v, special = self.vocabulary, self.vocabulary.special
         split = [v.split(p) for p in wanted]
-        new = [w for w in set().union(*split) if w not in words]
-        if special:
-            for w in [w for w in new if w in special]:
+        words: dict[str, Entry] = {}
+        new = []
+        young, again = self.words.young, self.words.again
+        for w in set().union(*split):
+            found = young.get(w) or again(w)
+            if found is not None:
+                words[w] = found
+            elif w in special:
                 words[w] = (1, str(special[w]), w)
-            new = [w for w in new if w not in special]
+            else:
+                new.append(w)
         names, texts = v.names, v.texts
         for w, ids in zip(new, v.encode_words(new), strict=True):
-            words[w] = (len(ids), " ".join([names[i] for i in ids]), " ".join([texts[i] for i in ids]))
+            words[w] = young[w] = (len(ids), " ".join([names[i] for i in ids]), " ".join([texts[i] for i in ids]))
+        self.words.age()
+        pieces, out = self.pieces.young, {}
         for p, own in zip(wanted, split, strict=True):
             if len(own) == 1:
-                pieces[p] = words[own[0]]
+                out[p] = pieces[p] = words[own[0]]
             else:
                 got = [words[w] for w in own]
-                pieces[p] = (sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got]))
+                out[p] = pieces[p] = (sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got]))
+        return out
 
-    def texts(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+    def texts(self, texts: list[str]) -> Iterator[Entry]:
         """(number of ids, ids joined by a space, decoded text) of each text."""
         cut = [self.vocabulary.pieces(t) for t in texts]
-        get = self.pieces.get
+        get, again = self.pieces.young.get, self.pieces.again
         met = [[get(p) for p in pieces] for pieces in cut]
         short = [i for i, got in enumerate(met) if None in got]
-        if short:
-            self.learn(list({p for i in short for p, g in zip(cut[i], met[i], strict=True) if g is None}))
-            learned = self.pieces
+        missing = {p for i in short for p, g in zip(cut[i], met[i], strict=True) if g is None}
+        if missing:
+            found = {p: again(p) for p in missing}
+            found |= self.learn([p for p, g in found.items() if g is None])
             for i in short:
-                met[i] = [learned[p] if g is None else g for p, g in zip(cut[i], met[i], strict=True)]
+                met[i] = [found[p] if g is None else g for p, g in zip(cut[i], met[i], strict=True)]
+            self.pieces.age()
         for got in met:
             yield sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
 
 
-_CODERS: dict[str, Coder] = {}
-
-
-def coder_of(source: str) -> Coder:
-    """The coder of this Python worker for a vocabulary, loaded once; tasks start without words and leave none behind."""
-    key = hashlib.sha256(source.encode("utf-8")).hexdigest()
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = Coder(Vocabulary(source))
-    return _CODERS[key]
-
-
 def _vocabulary_file(spark: SparkSession, path: str):
     with open(path, encoding="utf-8") as f:
         return spark.sparkContext.broadcast(f.read())
@@ -268,8 +282,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(shared.value)
-        coder.forget()
+        coder = Coder(Vocabulary(shared.value))  # goes with the task: workers live on, and may do other things next
         digest = lambda t: hashlib.sha256(t.encode("utf-8")).hexdigest()
         for batch in batches:
             for part in chunks(batch, 1, _CHUNK):
@@ -282,7 +295,6 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
                     [part.column(0), pa.array(counts, pa.int64()),
                      pa.array(first, pa.string()) if digests else _lists(counts, first), pa.array(second, pa.string())],
                     names=["id", "n_tokens", "ids", "decoded"])
-        coder.forget()
 
     from pyspark.sql import functions as F
 
