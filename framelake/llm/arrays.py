@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from framelake.llm.common import released_after_tasks
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: ASCII white space, the bytes [\x20\x09-\x0D]
@@ -32,6 +34,13 @@ _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
+def _forget_powers() -> None:
+    _powers[:] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+released_after_tasks(_forget_powers)
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         size = max(n, 1 << 20)

@@ -14,6 +14,26 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 2 << 20  #: texts handled at a time inside a task; one longer text makes a chunk of its own
 
 
+_RELEASED: list[Callable[[], None]] = []
+
+
+def released_after_tasks(release: Callable[[], None]) -> None:
+    """Have ``release`` called in a worker whenever a task ends: what a module holds between batches goes then."""
+    _RELEASED.append(release)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns, made longer until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run``, giving back to the system what it has freed when a task ends: workers live on, and next tasks may need
     other amounts of memory for other things."""
@@ -22,6 +42,8 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
         try:
             yield from run(batches)
         finally:
+            for release in _RELEASED:
+                release()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
             if trim is not None:
