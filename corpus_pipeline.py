@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_net
-from framelake.llm.common import table
+from framelake.llm.common import free_names, table
 from framelake.llm.queries import quality_model, tokenizer_path
 from framelake.session import stage
 
@@ -38,18 +38,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are told apart by a 64-bit hash of id and text, whatever ids repeat; of rows equal in both one stays.
     """
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__key").alias("key"))
+    key, = free_names(docs, "key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("key"))
     linked = jaccard_join.link(keyed.select(row.alias("doc_id"), "text"), words=NEAR_WORDS, percent=NEAR_PERCENT)
-    decided = stage(linked.filter("n_links > 0").groupBy(F.col("doc_id.key").alias("__key")).agg(
+    decided = stage(linked.filter("n_links > 0").groupBy(F.col("doc_id.key").alias(key)).agg(
         F.max(F.expr("doc_id.key <> component_id.key")).alias("extra"), F.count("*").alias("rows"),
     ).filter("extra OR rows > 1"), "extra")
-    taken = decided.select("__key")
+    taken = decided.select(key)
     taken = F.broadcast(taken) if decided.count() <= BROADCAST_IDS else taken
-    kept = keyed.join(taken, "__key", "left_anti")
-    repeated = decided.filter("NOT extra").select("__key")
+    kept = keyed.join(taken, key, "left_anti")
+    repeated = decided.filter("NOT extra").select(key)
     if not repeated.isEmpty():
-        kept = kept.unionByName(keyed.join(repeated, "__key", "left_semi").dropDuplicates(["__key"]))
+        kept = kept.unionByName(keyed.join(repeated, key, "left_semi").dropDuplicates([key]))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
