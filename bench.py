@@ -48,6 +48,22 @@ def some_rules(spark, n: int):
     return w.fixed_rules(spark, specs)
 
 
+def shaped_rules(spark, n: int, shapes: int = 390):
+    """``n`` rules of so many shapes: prefix lengths from 8 on, with and without a port; four of them are hit."""
+    kinds = [(s, d, port) for s in range(8, 33) for d in range(8, 33) for port in (0, 443)][::3][:shapes]
+    specs = [(i + 1, "", f"10.{i}.0.0/24", 0, "", 0) for i in range(4)]
+    for i in range(4, n):
+        src, dst, port = kinds[i % shapes]
+        specs.append((i + 1, "", f"11.{i % 250}.{i // 250 % 250}.7/{src}", 0, f"192.168.{i % 4}.{i % 250}/{dst}", port))
+    return w.fixed_rules(spark, specs)
+
+
+def large_frames(frames):
+    """The same frames padded to 1000 bytes, as a full link carries them."""
+    padding = F.unhex(F.repeat(F.lit("00"), F.greatest(F.lit(1000) - F.length("payload"), F.lit(0))))
+    return frames.withColumn("payload", F.concat("payload", padding)).withColumn("snap_len", F.lit(1000).cast("bigint"))
+
+
 def per_rule(matched):
     return matched.groupBy("filter_id").agg(F.count("*").alias("packets"), F.sum("n_bytes").alias("bytes"))
 
@@ -60,6 +76,8 @@ def main() -> None:
     frames = stage(frames.repartition(int(CPUS) if CPUS.isdigit() else 8), "bench-frames")
     table = stage(packets(frames), "bench-packets")
     rules = stage(w.fixed_rules(spark), "bench-rules")
+    wide = stage(large_frames(frames), "bench-frames-1000")
+    rules_shaped = stage(shaped_rules(spark, 400), "bench-rules-shaped")
     rules_n = {n: stage(some_rules(spark, n), f"bench-rules-{n}") for n in (10, 100, 1000)}
     intervals = stage(S.intervals_of_packets(table, rules, WIDTH), "bench-intervals")
     dumped = m.match(decode(frames), rules_n[10]).select("filter_id", "ts_ns", "payload", "n_bytes")
@@ -72,6 +90,9 @@ def main() -> None:
         "match_10_rules": lambda: consume(per_rule(m.match(table, rules_n[10]))),
         "match_100_rules": lambda: consume(per_rule(m.match(table, rules_n[100]))),
         "match_1000_rules": lambda: consume(per_rule(m.match(table, rules_n[1000]))),
+        "match_390_shapes": lambda: consume(per_rule(m.match(table, rules_shaped))),
+        "decode_1000_bytes": lambda: consume(packets(wide)),
+        "match_12_rules_1000_bytes": lambda: consume(per_rule(m.match(decode(wide), rules))),
         "prefilter_raw": lambda: consume(prefilter.prefilter(decode(frames), rules_n[10]).select("capture_id", "n_bytes")),
         "interval_stats_raw": lambda: consume(S.intervals_of_packets(decode(frames), rules, WIDTH)),
         "interval_stats": lambda: consume(S.intervals_of_packets(table, rules, WIDTH)),
@@ -102,6 +123,7 @@ def main() -> None:
         "frames": total,
         "cpus": CPUS,
         "frames_per_sec": {k: round(total / v) for k, v in seconds.items() if v},
+        "frames_per_sec_per_core": {k: round(total / v / int(CPUS)) for k, v in seconds.items() if v and CPUS.isdigit()},
     }), flush=True)
     spark.stop()
 
