@@ -36,7 +36,7 @@ SNAPSHOTS = ("filter_id bigint, interval bigint, packets bigint, bytes bigint, u
              "unique_dst_ips bigint, src_entropy_bits double, src_window_packets bigint")
 _ENTRY = ("batch bigint, newest_ns bigint, open_from bigint, late_below bigint, base bigint, seen_at double, "
           "open array<struct<batch: bigint, low: bigint, high: bigint>>")
-_KINDS = {"intervals": INTERVALS, "snapshots": SNAPSHOTS, "counts": COUNTS}
+_KINDS = {"intervals": INTERVALS, "snapshots": SNAPSHOTS}
 
 
 @dataclass
@@ -54,12 +54,10 @@ class State:
     open: list = field(default_factory=list)
 
 
-def _logged(spark: SparkSession, out: str, before: int | None = None) -> State:
-    """The last entry of the log (before a batch)."""
+def _logged(spark: SparkSession, out: str) -> State:
+    """The last entry of the log."""
     try:
-        log = spark.read.schema(_ENTRY).json(f"{out}/log/*")
-        found = log.filter(F.col("batch") < before) if before is not None else log
-        row = found.orderBy(F.desc("batch")).limit(1).collect()
+        row = spark.read.schema(_ENTRY).json(f"{out}/log/*").orderBy(F.desc("batch")).limit(1).collect()
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -125,8 +123,7 @@ class Ledger:
         else:
             counts = stats.counts_of_matched(match(decoded, rules), self.interval_ns)
         path = self._path("counts", batch_id)
-        counts.selectExpr(*[f"cast({c.strip()} as {t}) as {c.strip()}" for c, t in
-                            (x.strip().split(" ") for x in COUNTS.split(","))]).write.mode("overwrite").parquet(path)
+        counts.select(*_columns(COUNTS)).write.mode("overwrite").parquet(path)
         written = decoded.sparkSession.read.schema(COUNTS).parquet(path)
         on_time = written if open_from is None else written.filter(F.col("interval") >= open_from)
         low, high = on_time.agg(F.min("interval"), F.max("interval")).first()
