@@ -6,6 +6,7 @@ occurs again, without a mismatch, in the window that follows.  That is where the
 numbers is zero; the sums of all blocks and distances come from number-theoretic transforms of integers, modulo as many
 primes as the largest possible sum needs, so they are exact.  Every distance found seeds an extension to both sides,
 word by word; neighbouring blocks with one distance are one seed, so an extension never passes a block on either side.
+A block with a word that does not stand in the window again has no zero sum there and is not transformed.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import chunks, texts_of, trimmed
+from framelake.llm.common import chunks, released_after_tasks, texts_of, trimmed
 
 LEAST_WORDS = 24  #: a run has at least so many words
 LEAST_PERIODS = 3  #: and at least so many periods
@@ -30,6 +31,9 @@ _PRIMES = ((469762049, 3), (167772161, 3), (754974721, 11))
 _roots: dict[tuple[int, int, bool], np.ndarray] = {}
 
 
+released_after_tasks(_roots.clear)
+
+
 def _powers_of(prime: int, generator: int, size: int, inverse: bool) -> np.ndarray:
     """The powers of a root of unity of order ``size``, the first half of them."""
     key = (prime, size, inverse)
@@ -41,8 +45,6 @@ def _powers_of(prime: int, generator: int, size: int, inverse: bool) -> np.ndarr
         while done < len(out):  # doubling: the known powers times the next one
             out[done:2 * done] = out[:done] * np.uint64(pow(root, done, prime)) % np.uint64(prime)
             done *= 2
-        if size > 1 << 16:
-            return out  # of very long texts only; not kept
         _roots[key] = out
     return _roots[key]
 
@@ -78,56 +80,76 @@ def transform(values: np.ndarray, prime: int, generator: int, inverse: bool = Fa
     return a
 
 
-def _zero_sums(blocks: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, int]]:
-    """For all consecutive blocks (rows of ``blocks``, the last two only as window): a (distance, block) table that
-    says where the block's sum of squared differences to the words that far behind it is zero, and its first distance.
+def _zero_sums(table: np.ndarray, asked: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """For some blocks (rows of ``table``, ascending): a (distance, block) table that says where the block's sum of
+    squared differences to the words that far behind it is zero, and its first distance.
+
+    ``table`` ends with two rows more than there are blocks to ask for.  Each block needed is transformed once.
     """
-    size, n = blocks.shape[1], len(blocks) - 2
+    size = table.shape[1]
+    needed = np.unique(np.concatenate((asked, asked + 1, asked + 2)))
+    place = [np.searchsorted(needed, asked + i) for i in range(3)]
+    columns = table[needed].T
     primes = []
-    bound = 1
+    bound, largest = 1, size * int(columns.max()) ** 2
     for prime in _PRIMES:
         primes.append(prime)
         bound *= prime[0]
-        if bound > size * most * most:
+        if bound > largest:
             break
-    columns = blocks.T.astype(np.int64)
-    squares = np.concatenate((np.zeros(1, np.int64), np.cumsum((blocks * blocks).ravel())))
-    own = squares[size::size][:n] - squares[:-size:size][:n]
+    squares = np.zeros((size + 1, len(needed)), dtype=np.int64)
+    np.cumsum(columns * columns, axis=0, out=squares[1:])
+    own = squares[size][place[0]]
     windows = ((1, size, 0),) if size > _FIRST else ((0, 0, 1), (1, size, 0))  # first block, distance there, lags skipped
+    totals = {w: own + squares[size][place[w[0]]] - squares[:size, place[w[0]]] + squares[:size, place[w[0] + 1]]
+              for w in windows}
     backwards = -np.arange(2 * size) % (2 * size)
-    zero = {w: np.ones((size, n), dtype=bool) for w in windows}
+    zero = {w: np.ones((size, len(asked)), dtype=bool) for w in windows}
     for prime, generator in primes:
         p = np.uint64(prime)
-        padded = np.zeros((2 * size, n + 2), dtype=np.uint64)
+        padded = np.zeros((2 * size, len(needed)), dtype=np.uint64)
         padded[:size] = columns
         seen = transform(padded, prime, generator)
-        mirrored = seen[backwards][:, :n]
+        mirrored = seen[backwards][:, place[0]]
         behind = seen.copy()  # of a block that stands half the transform later
         behind[1::2] = p - seen[1::2]
         for w in windows:
-            product = (seen[:, w[0]:w[0] + n] + behind[:, w[0] + 1:w[0] + 1 + n]) * mirrored
+            product = (seen[:, place[w[0]]] + behind[:, place[w[0] + 1]]) * mirrored
             product -= product // p * p
             crossed = transform(product, prime, generator, inverse=True)[:size].astype(np.int64)
-            at = (np.arange(n)[None, :] + w[0]) * size + np.arange(size)[:, None]
-            total = own[None, :] + squares[at + size] - squares[at]
-            rest = total - 2 * crossed  # below the prime it is the sum itself
-            zero[w] &= (rest if total.max(initial=0) < 2 * prime else rest % prime) == 0
+            rest = totals[w] - 2 * crossed  # below the prime it is the sum itself
+            zero[w] &= (rest if totals[w].max(initial=0) < 2 * prime else rest % prime) == 0
     for w in windows:
         yield zero[w][w[2]:], w[1] + w[2]
 
 
-def _seeds(words: np.ndarray, owners: np.ndarray, size: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the blocks in ``words`` that occur again at a distance, and the distances; both inside one text."""
+def _next_same(words: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """How far behind each word the same word of the same text stands next; a great number if nowhere."""
+    key = owners * (int(words.max(initial=0)) + 1) + words
+    order = np.argsort(key, kind="stable")
+    out = np.full(len(words), np.iinfo(np.int64).max, dtype=np.int64)
+    again = key[order[1:]] == key[order[:-1]]
+    out[order[:-1][again]] = (order[1:] - order[:-1])[again]
+    return out
+
+
+def _seeds(words: np.ndarray, soon: np.ndarray, owners: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the blocks in ``words`` that occur again at a distance, and the distances; both inside one text.
+
+    ``soon``: how far off each word stands next.  A block occurs again within its window only if all its words do, so
+    the others need no transform.
+    """
     n = len(words) // size
-    starts, distances = [], []
+    starts, distances = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     per_slab = max(1, _SLAB // (2 * size))
     table = np.zeros((n + 2, size), dtype=np.int64)
     table[:n] = words.reshape(n, size)
-    for low in range(0, n, per_slab):
-        high = min(n, low + per_slab)
-        for zero, first in _zero_sums(table[low:high + 2], most):
+    hopeful = np.flatnonzero(soon.reshape(n, size).max(axis=1) < 2 * size)
+    for low in range(0, len(hopeful), per_slab):
+        asked = hopeful[low:low + per_slab]
+        for zero, first in _zero_sums(table, asked):
             lag, block = np.nonzero(zero)
-            start, distance = (low + block) * size, first + lag
+            start, distance = asked[block] * size, first + lag
             last = start + distance + size - 1
             fits = last < len(words)
             start, distance, last = start[fits], distance[fits], last[fits]
@@ -198,6 +220,8 @@ def runs_of(texts: list[np.ndarray], least: int = LEAST_WORDS, periods: int = LE
     bases = np.cumsum(sizes) - sizes
     found = _Found()
     size = _FIRST
+    flat = np.concatenate([np.zeros(0, np.int64), *texts])
+    soon = np.split(_next_same(flat, np.repeat(np.arange(len(texts)), sizes)), bases[1:]) if len(texts) else []
     while True:
         chosen = np.flatnonzero(sizes >= max(least, periods * (1 if size == _FIRST else size)))
         if not len(chosen):
@@ -205,10 +229,12 @@ def runs_of(texts: list[np.ndarray], least: int = LEAST_WORDS, periods: int = LE
         room = -(-sizes[chosen] // size) * size + size  # a gap ends every text, so no run goes on into the next
         offsets = np.cumsum(room) - room
         words = np.zeros(int(room.sum()), dtype=np.int64)
+        off = np.full(len(words), np.iinfo(np.int64).max, dtype=np.int64)
         for o, k in zip(offsets, chosen, strict=True):
             words[o:o + sizes[k]] = texts[k]
+            off[o:o + sizes[k]] = soon[k]
         owners = np.repeat(np.arange(len(chosen)), room)
-        start, distance = _seeds(words, owners, size, int(words.max()))
+        start, distance = _seeds(words, off, owners, size)
         shift = bases[chosen] - offsets
         if len(start):
             moved = start + shift[owners[start]]
