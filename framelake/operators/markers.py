@@ -7,7 +7,7 @@ the set of lengths at which some rule's network contains it.  A shape is tried o
 sides.
 
 Cells.  A rule that applies in ``[from, to)`` is filed under the cells of time it touches, in cells of 4^k nanoseconds,
-at least an eighth and at least a thirty-second of its duration: at most 34 of them.  A frame is looked up in one cell
+at most an eighth and over a thirty-second of its duration: at most 34 of them.  A frame is looked up in one cell
 of every size that occurs, and so meets rules that apply within a fraction of their own duration, not all that ever had
 the same key.
 """
@@ -83,7 +83,8 @@ def side_of(keyed: DataFrame, shapes: list[int], name: str, most: int = MOST_MAR
 
 
 def with_live(frames: DataFrame, side: Side) -> DataFrame:
-    """``frames`` with ``_live_<side>``, the set of prefix lengths at which some rule may contain the address."""
+    """``frames`` with ``_live_<side>``, the set of prefix lengths at which some rule may contain the address; frames
+    without any are gone before the other side is looked up."""
     live = F.lit(side.always).cast("bigint")
     address = f"{side.name}_ip"
     found = []
@@ -93,7 +94,7 @@ def with_live(frames: DataFrame, side: Side) -> DataFrame:
         frames = frames.join(F.broadcast(known), F.shiftright(address, 32 - STRIDE * level) == F.col("_at"), "left").drop("_at")
         live = live.bitwiseOR(F.coalesce(F.col(mark), F.lit(0).cast("bigint")))
         found.append(mark)
-    return frames.withColumn(f"_live_{side.name}", live).drop(*found)
+    return frames.withColumn(f"_live_{side.name}", live).drop(*found).filter(F.col(f"_live_{side.name}") != 0)
 
 
 def live_shapes(frames: DataFrame, shapes: list[int]) -> DataFrame:
