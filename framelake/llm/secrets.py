@@ -2,14 +2,16 @@
 
 Workers propose parts of credentials in each whole text: strong ones (assignments, access identifiers, long hex) are
 reported as they are; weak ones (short assignments, key-like words, endpoints) only when a complementary part lies in
-the same scope.  Parts are linked in Spark by an interval join: the starts and ends of a document's parts are put into
-position buckets as wide as the scope, a weak part's end meets the starts in its own and the next bucket and its start
-the ends in its own and the last, and both are held to the exact gap and line scope.  Parts have any length.
+the same scope.  Parts are linked in Spark by an interval join: positions are cut into buckets as wide as the scope, a
+part is filed under all buckets from its start to one behind its end, meets the starts of others there, and both are
+held to the exact gap and line scope.  Parts have any length, and may overlap, as a user and a password within an
+address do.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +27,7 @@ SCOPE_LINES = 6  #: and at most so many line ends
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
+_BREAK = re.compile("\n")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 #: weak parts: a name of an account beside a value, a 40-character key word, an endpoint
@@ -70,8 +73,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 roles = {p[0] for p in parts}
                 if len(roles) < 2:
                     parts = []
+                breaks = [m.start() for m in _BREAK.finditer(text)] if parts else []
                 rows["base"].append([{"start": s, "kind": k, "end": e} for s, k, e in strong])
-                rows["parts"].append([{"role": r, "kind": k, "start": s, "end": e, "line": text.count("\n", 0, s)}
+                rows["parts"].append([{"role": r, "kind": k, "start": s, "end": e, "line": bisect_left(breaks, s)}
                                       for r, k, s, e in parts])
             span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
             piece = pa.struct([("role", pa.string()), ("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()),
@@ -98,21 +102,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def link(parts: DataFrame, key: str = "row", scope_chars: int = SCOPE_CHARS, scope_lines: int = SCOPE_LINES) -> DataFrame:
     """Weak parts with a complementary part (another role) in scope: (key, start, kind, end), once each.
 
-    ``parts`` has key, role, kind, start, end, line.  Interval join on position buckets: each part is filed under its
-    start and under its end, whatever its length, and a weak part looks for what starts within the scope after its end
-    and what ends within the scope before its start, in two buckets each.
+    ``parts`` has key, role, kind, start, end, line.  Of two parts in scope the one that starts later does so between
+    the start of the other and ``scope_chars`` behind its end.  Interval join on position buckets: whichever part is
+    weak, the earlier one stands in all buckets that it reaches and the later one in that of its start.
     """
     bucket = lambda place: F.floor(F.col(place) / scope_chars)
-    at = lambda side, where: F.struct(F.lit(side).alias("side"), where.alias("bucket"))
-    weak = parts.filter("kind >= 3").withColumn("at", F.explode(F.array(
-        at(0, bucket("end")), at(0, bucket("end") + 1), at(1, bucket("start") - 1), at(1, bucket("start")))))
+    reached = F.sequence(bucket("start"), bucket("end") + 1)
+    at = lambda side, buckets: F.transform(buckets, lambda b: F.struct(F.lit(side).alias("side"), b.alias("bucket")))
+    weak = parts.filter("kind >= 3").withColumn("at", F.explode(F.concat(at(0, reached), at(1, F.array(bucket("start"))))))
     other = parts.select(F.col(key).alias("o_key"), F.col("role").alias("o_role"), F.col("start").alias("o_start"),
                          F.col("end").alias("o_end"), F.col("line").alias("o_line"),
-                         F.explode(F.array(at(0, bucket("start")), at(1, bucket("end")))).alias("o_at"))
-    gap = F.when(F.col("at.side") == 0, F.col("o_start") - F.col("end")).otherwise(F.col("start") - F.col("o_end"))
+                         F.explode(F.concat(at(0, F.array(bucket("start"))), at(1, reached))).alias("o_at"))
+    after = lambda later, start, end: (F.col(later) >= F.col(start)) & (F.col(later) - F.col(end) <= scope_chars)
+    in_scope = F.when(F.col("at.side") == 0, after("o_start", "start", "end")).otherwise(after("start", "o_start", "o_end"))
     near = ((F.col(key) == F.col("o_key")) & (F.col("at.side") == F.col("o_at.side"))
             & (F.col("at.bucket") == F.col("o_at.bucket")) & (F.col("role") != F.col("o_role"))
-            & gap.between(0, scope_chars) & (F.abs(F.col("line") - F.col("o_line")) <= scope_lines))
+            & in_scope & (F.abs(F.col("line") - F.col("o_line")) <= scope_lines))
     return weak.join(other, near, "left_semi").select(key, "start", "kind", "end").distinct()
 
 
