@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and very long texts, repeated rows, clashing columns, and empty tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.llm import (bpe, decontaminate, jaccard_join, language_id, line_dedup, pii, quality_net, quality_rules,
                            secrets, url_filter)
@@ -77,3 +78,33 @@ def test_near_duplicates_by_row(spark, odd):
     left = sorted((r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, odd, "").collect()), key=str)
     assert left == sorted([0, 1, 2, None, 3, 5, 6, 7, 8], key=str)
     assert corpus_pipeline.near_duplicates(spark, odd.limit(0), "").count() == 0
+
+
+def test_columns_named_like_helpers_keep_their_values(spark):
+    import corpus_pipeline
+
+    names = ["won", "at", "second", "lost", "doc", "key", "__won", "__url", "__lost", "__doc", "__key", "won_", "key_"]
+    line = "a line of some length that many documents have in common"
+    rows = [(i, f"http://spam{i % 3}.example.net/x\n{line}\nown words {i} " + f"w{i} " * 30) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    patterns = [("spam*.*/", "block"), ("casino*.*/", "block")]
+    for out in (url_filter.judge(docs, RULES, patterns, url_col="text"),
+                url_filter.judge(docs, RULES, patterns, url_col="text", inline=0),
+                line_dedup.drop_lines(docs, broadcast_decisions=-1), line_dedup.drop_lines(docs),
+                corpus_pipeline.near_duplicates(spark, docs, "")):
+        found = out.collect()
+        assert len(found) == 6
+        for r in found:
+            assert all(r[n] == f"{n}:{r['doc_id']}" for n in names)
+
+
+def test_patterns_are_filed_under_what_tokens_begin_with(spark):
+    assert url_filter.compile_rule("spam*.*/")[1] == ["spam*"]
+    assert url_filter.compile_rule("*spam.net/")[1] == ["net"] and url_filter.compile_rule("*x*/")[1] == [""]
+    urls = ["http://spammy.net/", "http://a.spam.org/x", "http://notspam.org/", "http://x.adults.com/spam", "http://spam/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "doc_id bigint, url string")
+    patterns = [("spam*.*/", "block"), ("adult*.*/", "block")]
+    for inline in (64, 0):
+        got = {r["doc_id"]: r["pattern"] for r in url_filter.judge(pages, [], patterns, inline=inline).collect()}
+        assert got == {0: "spam*.*/", 1: "spam*.*/", 2: None, 3: "adult*.*/", 4: None}
