@@ -114,20 +114,19 @@ def op11_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-def planted_typing_errors(doc_id: object) -> Callable[[bytes], bytes]:
+def planted_typing_errors(doc_id: object) -> Callable[[str], str]:
     """The change of words that op12's contract asks for: with h = crc32 of ``<doc_id>:<word>`` a multiple of 97, the
     word loses its code point h % length.  Null ids change nothing."""
     if doc_id is None:
         return lambda word: word
     before = zlib.crc32(f"{doc_id}:".encode())
 
-    def change(word: bytes) -> bytes:
-        h = zlib.crc32(word, before)
+    def change(word: str) -> str:
+        h = zlib.crc32(word.encode(), before)
         if h % 97:
             return word
-        letters = word.decode("utf-8")
-        at = h % len(letters)
-        return (letters[:at] + letters[at + 1:]).encode("utf-8")
+        at = h % len(word)
+        return word[:at] + word[at + 1:]
 
     return change
 

@@ -31,10 +31,9 @@ BLOCK = 1024  #: words of a bitset
 _HELD = 200_000  #: counted words that a task holds before it sends them on
 _CELLS = 1 << 21  #: letters of words compared at a time; more only if a single group has more
 
-#: ASCII letters and U+00C0 to U+00FF, in lower-cased UTF-8 (upper case outside ASCII stands for itself)
-_RUN = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")
+_RUN = re.compile("[a-z\u00C0-\u00FF]+")  #: after lower-casing ASCII letters only
 
-Change = Callable[[object], Callable[[bytes], bytes]]  #: for a document's id, what its words (UTF-8) are replaced by
+Change = Callable[[object], Callable[[str], str]]  #: for a document's id, what its words are replaced by
 
 
 def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", change: Change | None = None,
@@ -46,10 +45,10 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[bytes] = Counter()
+        total: Counter[str] = Counter()
 
         def sent() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8") for w in total], pa.string()),
+            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()),
                                               pa.array(list(total.values()), pa.int64())], names=["word", "n"])
             total.clear()
             return out
@@ -57,13 +56,8 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for part in chunks(batch, 1):
                 for key, text in zip(part.column(0).to_pylist(), texts_of(part), strict=True):
-                    own = Counter(_RUN.findall(text.encode("utf-8", "surrogatepass").lower()))
-                    if change is None:
-                        total.update(own)
-                        continue
-                    changed = change(key)
-                    for word, n in own.items():
-                        total[changed(word)] += n
+                    found = _RUN.findall(text.encode("utf-8").lower().decode("utf-8"))
+                    total.update(found if change is None else map(change(key), found))
                 if len(total) > _HELD:
                     yield sent()
         yield sent()
