@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.arrays import Texts, mix, owner
-from framelake.llm.common import chunks, texts_of, trimmed
+from framelake.llm.common import chunks, free_names, texts_of, trimmed
 from framelake.llm.twice_filter import PACKED, TWICE_BITS, pack, slices_for, suspected, twice_seen
 from framelake.session import stage
 
@@ -188,9 +188,10 @@ def _drop_by_join(base: DataFrame, bitmaps: np.ndarray, decided: DataFrame, id_c
                   min_chars: int) -> DataFrame:
     """Decisions too many to broadcast: they meet the suspected keys in a join, and the texts by id."""
     found = suspects(base, bitmaps, id_col, text_col, min_chars).distinct()
-    lost = found.join(decided, "key").filter(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id").agg(
-        F.collect_list("key").alias("__lost")).withColumnRenamed("id", "__doc")
-    joined = base.join(lost, F.col(id_col).eqNullSafe(F.col("__doc")), "left").drop("__doc")
+    lost, doc = free_names(base, "lost", "doc")
+    gone_of = found.join(decided, "key").filter(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id").agg(
+        F.collect_list("key").alias(lost)).withColumnRenamed("id", doc)
+    joined = base.join(gone_of, F.col(f"`{id_col}`").eqNullSafe(F.col(doc)), "left").drop(doc)
     names, place = base.columns, base.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
