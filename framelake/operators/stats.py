@@ -15,6 +15,7 @@ from framelake.functions.clock import interval_of
 from framelake.functions.measures import entropy_bits, entropy_terms
 from framelake.functions.packed import be_uint
 from framelake.operators.match import Fields, mask_column, rules_of_mask, with_mask
+from framelake.session import stage
 
 # Fixed value: sketch precision, 2^14 registers.
 SKETCH_LG_K = 14
@@ -162,8 +163,9 @@ def interval_stats(counts: DataFrame, exact: bool = False) -> DataFrame:
     """One row per rule and interval with mergeable address information.
 
     With ``exact`` the columns ``new_src`` / ``new_dst`` count addresses a rule sees for the first time, otherwise
-    ``src_sketch`` / ``dst_sketch`` hold sketches.
+    ``src_sketch`` / ``dst_sketch`` hold sketches.  Exact counting reads the counts twice, so they are written once.
     """
+    counts = stage(counts, "counts") if exact else counts
     src = F.col("side") == "src"
     known = F.col("ip").isNotNull()
     c = F.col("c")

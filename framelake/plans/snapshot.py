@@ -53,7 +53,7 @@ def idle_filled(totals: DataFrame, end, block: int = BLOCK) -> DataFrame:
     """Rows of running totals (with ``_next``, the rule's next interval) and the idle intervals behind each of them, up
     to ``end``: totals repeat, what belongs to one interval is zero.  In two steps, so that no row holds a long array."""
     until = F.coalesce(F.col("_next") - 1, end)
-    first, last = floor_div(F.col("interval"), block), floor_div(until, block)
+    first, last = floor_div(F.col("interval"), block), floor_div(F.col("_until"), block)
     pieces = totals.withColumn("_until", until).withColumn("_piece", F.explode(F.sequence(first, last)))
     low = F.greatest(F.col("interval"), F.col("_piece") * F.lit(block))
     high = F.least(F.col("_until"), F.col("_piece") * F.lit(block) + F.lit(block - 1))
