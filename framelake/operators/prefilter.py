@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.operators import markers as mk
 from framelake.operators import match as m
+from framelake.session import stage
 
 
 def _flagged(packets: DataFrame, rules: DataFrame, broadcast_rules: int) -> DataFrame:
@@ -40,22 +42,66 @@ def _flagged(packets: DataFrame, rules: DataFrame, broadcast_rules: int) -> Data
 _TUPLE = ("ip_proto", "src_ip", "dst_ip", "src_port", "dst_port")
 
 
+def _wide_first(counts: dict[int, int], most: int) -> list[list[int]]:
+    """Shapes (with their key counts) in at most ``m.BROADCASTS`` groups of at most ``most`` keys, those of the shortest
+    prefixes first; shapes that are in no group are shuffled."""
+    out, room = [], 0
+    for shape in sorted((s for s in counts if counts[s] <= most), key=lambda s: ((s >> 1 & 63) + (s >> 7 & 63), s)):
+        if counts[shape] > room or not out:
+            if len(out) == m.BROADCASTS:
+                break
+            out.append([])
+            room = most
+        out[-1].append(shape)
+        room -= counts[shape]
+    return out
+
+
 def _by_tuples(packets: DataFrame, rules: DataFrame, keep: bool, broadcast_rules: int) -> DataFrame:
     """One semi or anti join of frames with the distinct 5-tuples that some rule wants, however many shapes there are.
 
     The tuples are combined before they are shuffled and tried against the distinct masked keys of all rules; payloads
-    take part in the last join only.
+    take part in the last join only.  Keys too many to broadcast at once are tried in a few groups of shapes, wide
+    networks first, and only tuples that no group wanted are tried further.  What is over then is shuffled, and if it
+    has many shapes, only tuples whose key is in a broadcast bit table are.
     """
-    shapes = sorted(m.shapes_of(rules))
+    keyed = stage(m.rule_keys(rules).distinct(), "rule-keys")
+    counts = {r["_shape"]: r["count"] for r in keyed.groupBy("_shape").count().collect()}  # bounded by possible shapes
+    shapes = sorted(counts)
     if not shapes:
         return packets.filter(F.lit(False)) if keep else packets
-    keyed = m.rule_keys(rules).distinct()
-    few = keyed.count() <= broadcast_rules
-    sides = m.sides_of(keyed, shapes) if len(shapes) > m.TRIED_SHAPES or not few else None
-    keyed = F.broadcast(keyed) if few else keyed
+    few = sum(counts.values()) <= broadcast_rules
+    many = len(shapes) > m.TRIED_SHAPES
+    sides = m.sides_of(keyed, shapes) if many or not few else None
     tuples = packets.filter("match_ok").select(*_TUPLE).distinct().withColumn("match_ok", F.lit(True))
-    wanted = (m.tried(tuples, shapes, sides).withColumns(m.masked_fields())
-              .join(keyed, ["_shape", *m.masked_fields()], "left_semi").select(*_TUPLE).distinct())
+    if many:  # each tuple is tried many times: on all cores, however few bytes the tuples are
+        tuples = tuples.repartition(2 * packets.sparkSession.sparkContext.defaultParallelism, *_TUPLE)
+
+    def wanted_by(some: list[int], left: DataFrame, at_once: bool) -> DataFrame:
+        mine = keyed if len(some) == len(shapes) else keyed.filter(
+            F.array_contains(m.shapes_literal(some), F.col("_shape")))
+        found = m.tried(left, some, sides).withColumns(m.masked_fields())
+        if not at_once and len(some) > m.TRIED_SHAPES:
+            key = F.xxhash64("_shape", *m.masked_fields())
+            found = mk.with_known(found.withColumn("_key", key), mk.known_keys(mine.withColumn("_key", key))).drop("_key")
+        return found.join(F.broadcast(mine) if at_once else mine, ["_shape", *m.masked_fields()], "left_semi").select(
+            *_TUPLE).distinct()
+
+    if few:
+        wanted = wanted_by(shapes, tuples, True)
+    else:
+        groups = _wide_first(counts, broadcast_rules)
+        rest = sorted(set(shapes) - {s for group in groups for s in group})
+        left, parts = stage(tuples, "tuples") if groups else tuples, []
+        for i, group in enumerate(groups):
+            parts.append(stage(wanted_by(group, left, True), "wanted"))
+            if rest or i + 1 < len(groups):
+                left = stage(left.join(parts[-1], list(_TUPLE), "left_anti"), "tuples")
+        if rest:
+            parts.append(wanted_by(rest, left, False))
+        wanted = parts[0]
+        for part in parts[1:]:  # no tuple is in two parts
+            wanted = wanted.unionByName(part)
     wanted = wanted.select(*[F.col(c).alias(f"_w_{c}") for c in _TUPLE])
     on = F.col("match_ok")
     for c in _TUPLE:
