@@ -16,7 +16,7 @@ from framelake.functions.packed import be_hex
 from framelake.operators import rules as R
 from framelake.operators.blocked import running
 from framelake.operators.monitor import with_throughput
-from framelake.session import work_path
+from framelake.session import stage, work_path
 from framelake.sources.frames import read_frames
 
 DAY_NS = 86_400_000_000_000
@@ -49,6 +49,11 @@ def fixed_rules(spark: SparkSession, specs: list = RULES) -> DataFrame:
     return R.accepted(R.compile_rules(rule_specs(spark, specs)))
 
 
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to all cores: a file with few row groups would otherwise be worked on by as few tasks."""
+    return table.repartition(2 * table.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` with UTC instants: the stored wall-clock time is read as UTC whatever the session time zone."""
     schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
@@ -121,7 +126,7 @@ def _stored_frames(spark: SparkSession, sf_dir: str, name: str, build, capture:
         except AnalysisException:  # the work folder was cleared
             del _stored[key]
     path = work_path(spark, f"frames-{name}")
-    frames(build(spark, sf_dir), capture).write.parquet(path)
+    frames(spread(build(spark, sf_dir), "event_id"), capture).write.parquet(path)
     _stored[key] = path
     return read_frames(spark, path)
 
@@ -134,10 +139,15 @@ def lineitem_frames(spark: SparkSession, sf_dir: str, capture: str = "event_id")
     return _stored_frames(spark, sf_dir, "lineitem", lineitem_events, capture)
 
 
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys, written once: the filter on what rules compile to would be pushed below the shuffle, to the few tasks."""
+    return stage(spread(spark.read.schema("c_custkey long").parquet(f"{sf_dir}/customer.parquet"), "c_custkey"), "customers")
+
+
 def user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that grow with the data: one per customer (host route) and per supplier (network and port)."""
-    people = spark.read.schema("c_custkey long").parquet(f"{sf_dir}/customer.parquet")
-    shops = spark.read.schema("s_suppkey long").parquet(f"{sf_dir}/supplier.parquet")
+    people = _customers(spark, sf_dir)
+    shops = stage(spread(spark.read.schema("s_suppkey long").parquet(f"{sf_dir}/supplier.parquet"), "s_suppkey"), "suppliers")
     key = F.col("c_custkey")
     hosts = people.select(
         key.alias("rule_id"),
@@ -159,7 +169,7 @@ def shape_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     src = F.lit(167772160) + F.pmod(key, F.lit(4)) * 65536 + key
     dst = F.lit(3232235520) + F.pmod(key, F.lit(1000))
-    specs = spark.read.schema("c_custkey long").parquet(f"{sf_dir}/customer.parquet").select(
+    specs = _customers(spark, sf_dir).select(
         key.alias("rule_id"),
         F.concat(ip_text(src), F.lit("/"), (F.lit(16) + F.pmod(key, F.lit(17))).cast("string")).alias("src_ip"),
         F.concat(ip_text(dst), F.lit("/"), (F.lit(20) + F.pmod(key, F.lit(13))).cast("string")).alias("dst_ip"),
@@ -178,7 +188,7 @@ def wide_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     def network(address, length):
         return F.concat(ip_text(address), F.lit("/"), length.cast("string"))
 
-    specs = spark.read.schema("c_custkey long").parquet(f"{sf_dir}/customer.parquet").select(
+    specs = _customers(spark, sf_dir).select(
         key.alias("rule_id"), network(src, F.pmod(key, F.lit(33))).alias("src_ip"),
         network(dst, F.pmod(key * 7, F.lit(33))).alias("dst_ip"),
         F.when(F.pmod(key, F.lit(5)) == 0, F.lit(1024) + F.pmod(key, F.lit(500))).otherwise(0).cast("bigint").alias("src_port"),
