@@ -47,7 +47,8 @@ def _wide_first(counts: dict[int, int], most: int) -> list[list[int]]:
     prefixes first; shapes that are in no group are shuffled."""
     out, room = [], 0
     for shape in sorted((s for s in counts if counts[s] <= most), key=lambda s: ((s >> 1 & 63) + (s >> 7 & 63), s)):
-        if counts[shape] > room or not out:
+        # few shapes first: what the widest rules want is not tried against all others
+        if counts[shape] > room or not out or (len(out) == 1 and len(out[0]) == m.TRIED_SHAPES):
             if len(out) == m.BROADCASTS:
                 break
             out.append([])
