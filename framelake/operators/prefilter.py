@@ -73,7 +73,7 @@ def _by_tuples(packets: DataFrame, rules: DataFrame, keep: bool, broadcast_rules
         return packets.filter(F.lit(False)) if keep else packets
     few = sum(counts.values()) <= broadcast_rules
     many = len(shapes) > m.TRIED_SHAPES
-    sides = m.sides_of(keyed, shapes) if many or not few else None
+    marks = m.marks_of(keyed, shapes) if many or not few else None
     tuples = packets.filter("match_ok").select(*_TUPLE).distinct().withColumn("match_ok", F.lit(True))
     if many:  # each tuple is tried many times: on all cores, however few bytes the tuples are
         tuples = tuples.repartition(2 * packets.sparkSession.sparkContext.defaultParallelism, *_TUPLE)
@@ -81,7 +81,7 @@ def _by_tuples(packets: DataFrame, rules: DataFrame, keep: bool, broadcast_rules
     def wanted_by(some: list[int], left: DataFrame, at_once: bool) -> DataFrame:
         mine = keyed if len(some) == len(shapes) else keyed.filter(
             F.array_contains(m.shapes_literal(some), F.col("_shape")))
-        found = m.tried(left, some, sides).withColumns(m.masked_fields())
+        found = m.tried(left, some, marks).withColumns(m.masked_fields())
         if not at_once and len(some) > m.TRIED_SHAPES:
             key = F.xxhash64("_shape", *m.masked_fields())
             found = mk.with_known(found.withColumn("_key", key), mk.known_keys(mine.withColumn("_key", key))).drop("_key")
