@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from framelake.llm.common import chunks, texts_of, trimmed
 
 CACHED = 100_000  #: pieces, and words, that a task keeps at least while they are in use (twice as many at most, some 70 MB)
+CACHED_ALONE = 400_000  #: the same for a job that has its executors to itself: texts have many rare words (some 280 MB)
 _CHUNK = 1 << 20
 
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -271,9 +272,10 @@ def _lists(counts: list[int], joined: list[str]) -> pa.Array:
 
 
 def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text",
-           digests: bool = False) -> DataFrame:
+           digests: bool = False, cached: int = CACHED) -> DataFrame:
     """One row per input row: the id, ``n_tokens``, and ``ids`` (array) with ``decoded``, or with ``digests`` only
-    their SHA-256, as ``ids_sha256`` (ids joined by one space) and ``decoded_sha256`` (decoded text in UTF-8).
+    their SHA-256, as ``ids_sha256`` (ids joined by one space) and ``decoded_sha256`` (decoded text in UTF-8).  A task
+    keeps ``cached`` pieces and words that are in use.
 
     The vocabulary is a file of the driver, a few MB whatever the data, and is broadcast.  Null and empty texts have no
     ids and decode to the empty text; repeated rows stay; a text of any length is encoded whole.
@@ -282,7 +284,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(Vocabulary(shared.value))  # goes with the task: workers live on, and may do other things next
+        coder = Coder(Vocabulary(shared.value), cached)  # goes with the task: workers live on, and may do other things next
         digest = lambda t: hashlib.sha256(t.encode("utf-8")).hexdigest()
         for batch in batches:
             for part in chunks(batch, 1, _CHUNK):

@@ -41,6 +41,18 @@ def test_bpe_equals_the_library():
         assert decoded == library.decode(want, skip_special_tokens=False), repr(text)
 
 
+def test_bpe_encodes_words_in_use_once(monkeypatch):
+    """op3_bpe: words that came back after 100,000 others were encoded again."""
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        coder = bpe.Coder(bpe.Vocabulary(f.read()), bpe.CACHED_ALONE)
+    met, encode = [], coder.vocabulary.encode_words
+    monkeypatch.setattr(coder.vocabulary, "encode_words", lambda words: met.extend(words) or encode(words))
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(330_000)]
+    parts = [" ".join(words[i:i + 30_000]) for i in range(0, len(words), 30_000)]
+    first = [list(coder.texts([p]))[0] for p in parts]
+    assert [list(coder.texts([p]))[0] for p in parts] == first and len(met) == len(words)
+
+
 def test_bpe_round_trip(spark):
     docs = spark.createDataFrame([(1, "The thing is <|endoftext|> 42 things!"), (2, None)], "doc_id bigint, text string")
     coded = bpe.encode(docs, tokenizer_path())
